@@ -200,7 +200,9 @@ def nearest(vectors: DataFrame, k: int = K, dim: int = DIM, shard: int = SHARD,
     gives n - 1 neighbours; other columns are dropped; an empty table gives no rows.
     """
     valid = common.checkpoint(valid_vectors(vectors, dim))
-    centroids = valid.sparkSession.sparkContext.broadcast(fit_shards(valid, shard))
+    fitted = fit_shards(valid, shard)
+    groups = min(4096, max(12, 2 * sum(map(len, fitted.values()))))  # tasks: shards are few bytes but much work, so they are not coalesced
+    centroids = valid.sparkSession.sparkContext.broadcast(fitted)
     columns = ["collection", "shard", "part", "id", "embedding"]
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,7 +227,7 @@ def nearest(vectors: DataFrame, k: int = K, dim: int = DIM, shard: int = SHARD,
         graph, entries = build_graph(x)
         return pd.DataFrame({"collection": [key[0]], "shard": [key[1]], "part": [key[2]], "names": [own.id.tolist()], "vectors": [x.tobytes()], "graph": [graph.tobytes()], "entries": [entries.tobytes()]})
 
-    graphs = stored.select(*columns).groupBy("collection", "shard", "part").applyInPandas(build, "collection string, shard int, part int, names array<string>, vectors binary, graph binary, entries binary")
+    graphs = stored.select(*columns).repartition(groups, "collection", "shard", "part").groupBy("collection", "shard", "part").applyInPandas(build, "collection string, shard int, part int, names array<string>, vectors binary, graph binary, entries binary")
     graphs = common.checkpoint(graphs).join(F.broadcast(salts), ["collection", "shard"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
 
     def search(key: tuple, own: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
@@ -250,8 +252,8 @@ def nearest(vectors: DataFrame, k: int = K, dim: int = DIM, shard: int = SHARD,
         flat = {n: np.concatenate(v) if v else np.array([], dtype=object) for n, v in out.items()}
         return pd.DataFrame(flat).assign(collection=key[0])[["collection", "id", "neighbour", "similarity"]]
 
-    a = graphs.groupBy("collection", "shard", "part", "salt")
-    b = asked.select(*columns, "salt").groupBy("collection", "shard", "part", "salt")
+    a = graphs.repartition(groups, "collection", "shard", "part", "salt").groupBy("collection", "shard", "part", "salt")
+    b = asked.select(*columns, "salt").repartition(groups, "collection", "shard", "part", "salt").groupBy("collection", "shard", "part", "salt")
     hits = a.cogroup(b).applyInPandas(search, "collection string, id string, neighbour string, similarity double")
     best = Window.partitionBy("collection", "id").orderBy(F.col("similarity").desc(), "neighbour")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
