@@ -97,7 +97,7 @@ def person_readings(name: str) -> list[tuple[str, str, str]]:
             for root in _roots(words[0]):
                 out.append(("full", surname, " ".join([root, *words[1:]])))
                 out.append(("of_initial", surname, root[0]))
-            out.append(("latin", surname, "".join(words)))
+            out.append(("latin", surname, "".join(words).replace("-", "")))
         elif given:
             out.append(("initial", surname, given[0]))
     return out
