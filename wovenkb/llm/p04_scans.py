@@ -306,7 +306,7 @@ def repair(text: str | None, v: Vocabulary) -> tuple[list[str], str | None]:
 
     def word(m: re.Match) -> str:
         w = m[0]
-        if w in v.counts and v.counts[w] > 50 * RATIO or not re.search("[a-z]", w):
+        if len(w) < 3 or (w in v.counts and v.counts[w] > 50 * RATIO) or not re.search("[a-z]", w):
             return w
         low = w
         if not w[0].islower() and w[0] not in "1|056":
