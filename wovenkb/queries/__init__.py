@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from . import graph_queries, store_queries
+from .graph_queries import flagship
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placeholder until the expansion is in place."""
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").limit(1)
+_MODULES = (store_queries, graph_queries)
+QUERIES: dict = {name: q for m in _MODULES for name, q in m.Q.items()}
+SQL: dict[str, str] = {name: q for m in _MODULES for name, q in m.S.items()}
