@@ -6,6 +6,7 @@ needs an action, and hubs are dropped by their degree before the join that they
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -15,15 +16,48 @@ from ..params import SearchParams
 from . import stats, store
 
 
-def _with_threshold(frontier: DataFrame, p: SearchParams) -> DataFrame:
-    """(entity_id, degree, n, n_abs, by_abs, by_method): what the absolute limit and the outlier method keep."""
-    by_abs = F.lit(True) if p.degree_most <= 0 else F.col("degree") <= p.degree_most
-    x = frontier.withColumn("by_abs", by_abs)
-    counts = x.agg(F.count("*").alias("n"), F.count_if("by_abs").alias("n_abs"))
-    cut = stats.degree_threshold(x.filter("by_abs"), "degree", p.degree_method, p.percentile, p.outlier_k)
-    x = x.crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(cut))
-    used = F.lit(p.degree_method != "none") & (F.col("n_abs") >= p.min_batch)
-    return x.withColumn("by_method", F.col("by_abs") & (~used | (F.col("degree") <= F.col("threshold"))))
+def reuse(rows: DataFrame) -> DataFrame:
+    """Keep a small frame (a frontier or a one-row decision) that the plan reads several times; lost blocks are recomputed."""
+    return rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+
+
+def _all():
+    """The window over a whole (bounded) frontier."""
+    return Window.partitionBy()
+
+
+def _threshold(col: str, keep: str, p: SearchParams) -> tuple[dict[str, Column], Column]:
+    """Helper columns and the threshold of a frontier over the rows where ``keep`` holds, as windows over the frontier.
+
+    The frontier is bounded by the parameters (the seed entities times the absolute degree limit, later the hop's
+    seeds), so one task holds it and no join or extra job is needed; ``stats`` has the same for frames of any size.
+    """
+    x = F.when(F.col(keep), F.col(col).cast("double"))
+    if p.degree_method == "none":
+        return {}, F.lit(float("inf"))
+    if p.degree_method == "mad":
+        steps = {"_mid": F.percentile(x, F.lit(0.5)).over(_all())}
+        mad = F.percentile(F.abs(x - F.col("_mid")), F.lit(0.5)).over(_all())
+        return steps | {"_mad": mad}, F.when(F.col("_mad") <= 0, F.col("_mid") * 2).otherwise(F.col("_mid") + p.outlier_k * F.col("_mad") / 0.6745)
+    if p.degree_method == "tukey":
+        q = {"_q1": F.percentile(x, F.lit(0.25)).over(_all()), "_q3": F.percentile(x, F.lit(0.75)).over(_all())}
+        gap = F.col("_q3") - F.col("_q1")
+        return q, F.when(gap <= 0, F.col("_q3") * 2).otherwise(F.col("_q3") + p.outlier_k * gap)
+    if p.degree_method == "otsu":
+        n, lo, hi = F.col("_n"), F.col("_lo"), F.col("_hi")
+        wide = (hi - lo) / F.col("_bins")
+        upto = Window.partitionBy().orderBy("_bin").rangeBetween(Window.unboundedPreceding, 0)
+        kept = F.col("_bin").isNotNull()
+        var = F.when(kept & (n > F.col("_wb")), F.col("_wb") * (n - F.col("_wb")) * F.pow(F.col("_sb") / F.col("_wb") - (F.col("_total") - F.col("_sb")) / (n - F.col("_wb")), F.lit(2.0)))
+        steps = {"_n": F.count(x).over(_all()), "_lo": F.min(x).over(_all()), "_hi": F.max(x).over(_all()), "_total": F.sum(x).over(_all())}
+        more = {"_bins": F.least(F.lit(20), n)}, {"_bin": F.when(F.col(keep) & (hi > lo), F.least(F.floor((F.col(col) - lo) / wide), F.col("_bins") - 1).cast("int"))}, {"_centre": lo + (F.col("_bin") + 0.5) * wide}
+        for m in more:
+            steps |= m
+        steps |= {"_wb": F.count("_bin").over(upto), "_sb": F.sum("_centre").over(upto), "_var": var, "_cut": F.max(F.when(F.col("_var") > 0, F.struct("_var", (-F.col("_bin")).alias("b"), "_centre"))).over(_all())["_centre"]}
+        return steps, F.coalesce("_cut", hi)
+    return {"_p": F.percentile(x, F.lit(p.percentile / 100)).over(_all())}, F.col("_p")
 
 
 def degree_filter(frontier: DataFrame, p: SearchParams, seeds: bool = False) -> DataFrame:
@@ -35,42 +69,51 @@ def degree_filter(frontier: DataFrame, p: SearchParams, seeds: bool = False) ->
     """
     if seeds and p.degree_most <= 0:
         return frontier.select("entity_id", "degree", F.lit(True).alias("kept"), F.lit(False).alias("rejected"))
-    x = _with_threshold(frontier, p)
-    n_method = x.agg(F.count_if("by_method").alias("n_method"))
-    x = x.crossJoin(F.broadcast(n_method))
-    floor = F.lit(max(p.min_batch, 5)) if seeds else F.greatest(F.floor(F.col("n") / 2), F.lit(5))
-    relaxed = (F.col("n_method") < floor) & (F.col("n_abs") < F.col("n")) & (F.lit(not seeds) | ((F.col("n_abs") >= p.min_batch) & F.lit(p.degree_method != "none")))
-    left = F.when(relaxed, F.col("n_abs")).otherwise(F.col("n_method"))
-    kept = F.when(left == 0, True).when(relaxed, F.col("by_abs")).otherwise(F.col("by_method"))
-    x = x.withColumn("kept", kept)
+    x = frontier.withColumn("_abs", F.lit(True) if p.degree_most <= 0 else F.col("degree") <= p.degree_most)
+    x = x.withColumns({"_all": F.count(F.lit(1)).over(_all()), "_n_abs": F.count_if("_abs").over(_all())})
+    steps, cut = _threshold("degree", "_abs", p)
+    for name, c in steps.items():
+        x = x.withColumn(name, c)
+    used = F.lit(p.degree_method != "none") & (F.col("_n_abs") >= p.min_batch)
+    x = x.withColumn("_method", F.col("_abs") & (~used | (F.col("degree") <= cut))).withColumn("_n_method", F.count_if("_method").over(_all()))
+    floor = F.lit(max(p.min_batch, 5)) if seeds else F.greatest(F.floor(F.col("_all") / 2), F.lit(5))
+    relaxed = (F.col("_n_method") < floor) & (F.col("_n_abs") < F.col("_all")) & (used | F.lit(not seeds))
+    left = F.when(relaxed, F.col("_n_abs")).otherwise(F.col("_n_method"))
+    kept = F.when(left == 0, True).when(relaxed, F.col("_abs")).otherwise(F.col("_method"))
     rejected = ~F.col("kept") if seeds else ~F.col("kept") & (F.col("degree") > p.degree_most) & F.lit(p.degree_most > 0)
-    return x.select("entity_id", "degree", "kept", rejected.alias("rejected"))
+    return x.withColumn("kept", kept).select("entity_id", "degree", "kept", rejected.alias("rejected"))
+
+
+def _scaled(x: DataFrame, col: str) -> DataFrame:
+    """With the column between its winsorised bounds; null values (not in the frontier any more) don't count."""
+    n, at = F.count(col).over(_all()), F.row_number().over(Window.partitionBy().orderBy(F.col(col).asc_nulls_last()))
+    place = lambda share: F.when(F.col("_n") < 4, 1 if share < 0.5 else F.col("_n")).otherwise(F.floor(F.col("_n") * share) + 1)
+    y = x.withColumns({"_n": n, "_at": at})
+    y = y.withColumns({"_lo": F.max(F.when(F.col("_at") == place(0.1), F.col(col))).over(_all()), "_hi": F.max(F.when(F.col("_at") == place(0.9), F.col(col))).over(_all())})
+    return y.withColumn(col, stats.winsor_scale(F.col(col), F.col("_lo"), F.col("_hi"))).drop("_n", "_at", "_lo", "_hi")
 
 
-def frontier_scores(frontier: DataFrame, similarity: DataFrame, p: SearchParams) -> DataFrame:
-    """(entity_id, score): (1 - a) idf + a similarity, both scaled between their winsorised bounds."""
-    x = frontier.join(similarity, "entity_id", "left").select("entity_id", (1.0 / (1.0 + F.col("degree"))).alias("idf"), F.greatest(F.coalesce("sim", F.lit(0.0)), F.lit(0.0)).alias("sim"))
-    i = stats.winsor_bounds(x, "idf").select(F.col("lo").alias("i_lo"), F.col("hi").alias("i_hi"))
-    s = stats.winsor_bounds(x, "sim").select(F.col("lo").alias("s_lo"), F.col("hi").alias("s_hi"))
-    y = x.crossJoin(F.broadcast(i)).crossJoin(F.broadcast(s))
-    score = (1.0 - p.query_weight) * stats.winsor_scale(F.col("idf"), F.col("i_lo"), F.col("i_hi")) + p.query_weight * stats.winsor_scale(F.col("sim"), F.col("s_lo"), F.col("s_hi"))
-    return y.select("entity_id", score.alias("score"))
+def frontier_scores(frontier: DataFrame, similarity: DataFrame | None, p: SearchParams) -> DataFrame:
+    """(entity_id, score and the columns of the frontier): (1 - a) idf + a similarity, both scaled between their winsorised bounds."""
+    sim = frontier.withColumn("sim", F.lit(0.0)) if similarity is None else frontier.join(similarity, "entity_id", "left")
+    x = sim.withColumn("idf", 1.0 / (1.0 + F.col("degree"))).withColumn("sim", F.greatest(F.coalesce("sim", F.lit(0.0)), F.lit(0.0)))
+    x = _scaled(_scaled(x, "idf"), "sim")
+    return x.withColumn("score", (1.0 - p.query_weight) * F.col("idf") + p.query_weight * F.col("sim")).drop("idf", "sim")
 
 
 def filter_frontier(entities: DataFrame, links: DataFrame, similarity: DataFrame | None, p: SearchParams) -> DataFrame:
     """(entity_id, rejected): the entities over which the next hop goes (rejected false), and those that never return.
 
-    Over the budget the best by frontier score remain; without a filter the first by id.
+    Over the budget the best by frontier score remain (without similarities the score falls with the degree);
+    without a filter the first by id.
     """
     budget = max(p.frontier_budget, 1)
     if not p.frontier_filter:
         return entities.select("entity_id").orderBy("entity_id").limit(budget).withColumn("rejected", F.lit(False))
     marked = degree_filter(store.entity_degrees(links, entities), p)
-    kept = marked.filter("kept")
-    none = entities.sparkSession.createDataFrame([], "entity_id string, sim double")
-    scores = frontier_scores(kept, similarity if similarity is not None else none, p)
-    best = kept.join(scores, "entity_id").orderBy(F.col("score").desc(), "entity_id").limit(budget)
-    return best.select("entity_id", F.lit(False).alias("rejected")).unionByName(marked.filter("rejected").select("entity_id", "rejected"))
+    scores = frontier_scores(marked.filter("kept"), similarity, p).unionByName(marked.filter("rejected").withColumn("score", F.lit(0.0))) if similarity is not None else marked.withColumn("score", -F.col("degree"))
+    at = F.row_number().over(Window.orderBy(F.col("kept").desc(), F.col("score").desc(), "entity_id"))
+    return scores.withColumn("_at", at).filter((F.col("kept") & (F.col("_at") <= budget)) | F.col("rejected")).select("entity_id", "rejected")
 
 
 def expand(seeds: DataFrame, links: DataFrame, p: SearchParams, events: DataFrame | None = None, source_ids: list[str] | None = None, entity_similarity: DataFrame | None = None, event_similarity: DataFrame | None = None, visited_entities: DataFrame | None = None) -> DataFrame:
@@ -80,15 +123,15 @@ def expand(seeds: DataFrame, links: DataFrame, p: SearchParams, events: DataFram
     similar as the next seeds and stops after a hop whose best is under ``hop_relevance``; "multi" takes the first by id.
     A missing similarity is 0. A visited entity or event never counts again.
     """
-    frames = [seeds.select("event_id").distinct().withColumn("depth", F.lit(0))]
+    frames = [reuse(seeds.select("event_id").distinct()).withColumn("depth", F.lit(0))]
     seen_events = frames[0].select("event_id")
     seen_entities = visited_entities.select("entity_id").distinct() if visited_entities is not None else seeds.sparkSession.createDataFrame([], "entity_id string")
     now = seen_events
     for hop in range(p.max_hops):
-        new = links.join(now, "event_id", "left_semi").select("entity_id").distinct().join(seen_entities, "entity_id", "left_anti")
-        frontier = filter_frontier(new, links, entity_similarity, p)
+        new = reuse(links.join(now, "event_id", "left_semi").select("entity_id").distinct().join(seen_entities, "entity_id", "left_anti"))
+        frontier = reuse(filter_frontier(new, links, entity_similarity, p))
         seen_entities = seen_entities.unionByName(frontier.select("entity_id"))
-        found = store.events_of_entities(frontier.filter("not rejected"), links, events, source_ids, seen_events)
+        found = reuse(store.events_of_entities(frontier.filter("not rejected"), links, events, source_ids, seen_events))
         seen_events = seen_events.unionByName(found)
         scored = found.withColumn("sim", F.lit(0.0)) if event_similarity is None else found.join(event_similarity, "event_id", "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
         if p.soft_threshold > 0 and event_similarity is not None:
@@ -99,7 +142,7 @@ def expand(seeds: DataFrame, links: DataFrame, p: SearchParams, events: DataFram
         if p.strategy == "hopllm":
             best = scored.agg(F.max("sim").alias("_best"))
             top = scored.orderBy(F.col("sim").desc(), "event_id").limit(p.hop_seeds)
-            now = top.crossJoin(F.broadcast(best)).filter(F.col("_best") >= p.hop_relevance).select("event_id")
+            now = reuse(top.crossJoin(F.broadcast(best)).filter(F.col("_best") >= p.hop_relevance).select("event_id"))
         else:
             now = scored.select("event_id").orderBy("event_id").limit(p.hop_seeds)
     out = frames[0]

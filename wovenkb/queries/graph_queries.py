@@ -182,7 +182,7 @@ bd AS (SELECT CASE WHEN n < 4 THEN a[1] ELSE a[floor(n * 0.1)::INT + 1] END AS i
 SELECT entity_id, round(0.4 * CASE WHEN ih - il < 1e-8 THEN 1 ELSE least(greatest((idf - il) / (ih - il), 0), 1) END + 0.6 * CASE WHEN sh - sl < 1e-8 THEN 1 ELSE least(greatest((s - sl) / (sh - sl), 0), 1) END, 5) AS score FROM x, bd""")
 def g6_frontier_scores(spark, d):
     sims = expand.query_similarity(table(spark, d, "vectors").filter(F.size("embedding") == 64), "entities", _query_vector(spark, d), "entity_id").filter(~F.isnan("sim"))
-    return expand.frontier_scores(_entity_frontier(spark, d), sims, P).withColumn("score", F.round("score", 5))
+    return expand.frontier_scores(_entity_frontier(spark, d), sims, P).select("entity_id", F.round("score", 5).alias("score"))
 
 
 def _kb_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
