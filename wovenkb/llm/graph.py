@@ -31,7 +31,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     now = common.checkpoint(edges.select("u", "v").filter("u is not null and v is not null and u != v").distinct())
     mark = None
     for _ in range(rounds):
-        now = common.checkpoint(_star(_star(now, True), False))
+        before, now = now, common.checkpoint(_star(_star(now, True), False))
+        common.discard(before)
         new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if new == mark:
             break
