@@ -6,21 +6,19 @@ needs an action, and hubs are dropped by their degree before the join that they
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import vectors as V
 from ..params import SearchParams
+from ..session import checkpoint
 from . import stats, store
 
 
 def reuse(rows: DataFrame) -> DataFrame:
-    """Keep a small frame (a frontier or a one-row decision) that the plan reads several times; lost blocks are recomputed."""
-    return rows.persist(StorageLevel.MEMORY_AND_DISK)
-
-
+    """Write a frontier or a hop's events as a small table: later hops read it instead of repeating the plan before it."""
+    return checkpoint(rows)
 
 
 def _all():

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,13 +29,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names; only where none is named (tests) a temporary one, kept for the session."""
+    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not named:
+        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = set_dir.get() if set_dir.isDefined() else tempfile.mkdtemp(prefix="wovenkb-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table written to the shared folder: it survives the loss of an executor, the rows are
+    computed once (an RDD checkpoint computes them twice), and later plans start at a plain scan."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/wovenkb/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._wovenkb_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a checkpoint that no plan reads any more."""
+    path = getattr(df, "_wovenkb_path", None)
+    if path:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, so that Python workers can import it anywhere."""
     import shutil
-    import tempfile
     from pathlib import Path
 
     sc = spark.sparkContext
