@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint, discard  # noqa: F401
+
 #: Rows of an Arrow batch are handled in groups of about this many characters, so that memory doesn't grow with a batch.
 GROUP_CHARS = 2_000_000
 
@@ -20,36 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; only where none is named (tests) a temporary one, kept for the session."""
-    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not named:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = set_dir.get() if set_dir.isDefined() else tempfile.mkdtemp(prefix="wovenkb-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table written to the shared folder: it survives the loss of an executor, the rows are
-    computed once (an RDD checkpoint computes them twice), and later plans start at a plain scan."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/wovenkb/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._wovenkb_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a checkpoint that no plan reads any more."""
-    path = getattr(df, "_wovenkb_path", None)
-    if path:
-        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def text_groups(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about GROUP_CHARS bytes of text each (a single longer text stays whole)."""
     for batch in batches:
