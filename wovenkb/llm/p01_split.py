@@ -53,8 +53,10 @@ def split_spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP, lengths:
     it are then searched. The strongest boundary kind that leaves a piece at least half full is taken; else the
     weakest boundary at all; else the cut is hard. The next span begins at the first sentence or weaker
     boundary within the overlap before the cut, or exactly the overlap before it. A single character longer
-    than the limit stays one piece.
+    than the limit stays one piece. The overlap must be less than the limit.
     """
+    if overlap >= limit:
+        raise ValueError("the overlap must be less than the limit")
     n = len(text)
     total = np.concatenate(([0], np.cumsum(np.ones(n, dtype=np.int64) if lengths is None else lengths))).tolist() if lengths is not None else None
     size = (lambda a: a) if total is None else (lambda a: total[a])
@@ -67,7 +69,8 @@ def split_spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP, lengths:
     while True:
         end = max(start + 1, min(n, reach(start, limit)))
         if end < n:
-            half, cut = reach(start, limit // 2), 0
+            least = spans[-1][1] if spans else start
+            half, cut = max(reach(start, limit // 2), least), 0
             for kind in kinds:
                 i = bisect_right(kind, end) - 1
                 if i >= 0 and kind[i] > half:
@@ -75,8 +78,7 @@ def split_spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP, lengths:
                     break
             if not cut:
                 i = bisect_right(merged, end) - 1
-                least = start if not spans else spans[-1][1]
-                cut = merged[i] if i >= 0 and merged[i] > least else _combining_before(text, end, start)
+                cut = merged[i] if i >= 0 and merged[i] > least else _combining_before(text, end, least)
             end = cut
         spans.append((start, end))
         if end >= n:

@@ -21,9 +21,9 @@ from . import common
 
 # Letters of other scripts that look like a Latin letter, and Greek and Cyrillic ones that look like each other.
 LOOKALIKES = {
-    "A": "ΑА", "B": "ΒВ", "C": "СϹ", "E": "ΕЕ", "H": "ΗН", "I": "ΙІӀ", "J": "ЈͿ", "K": "ΚК", "M": "ΜМ", "N": "Ν", "O": "ΟОՕ", "P": "ΡР",
+    "A": "ΑА", "B": "ΒВ", "C": "С", "E": "ΕЕ", "H": "ΗН", "I": "ΙІӀ", "J": "ЈͿ", "K": "ΚК", "M": "ΜМ", "N": "Ν", "O": "ΟОՕ", "P": "ΡР",
     "S": "ЅՏ", "T": "ΤТ", "W": "Ԝ", "X": "ΧХ", "Y": "ΥУҮ", "Z": "Ζ", "Q": "Ԛ", "G": "Ԍ",
-    "a": "аα", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һհ", "i": "іι", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "οоօ", "p": "рρ",
+    "a": "аα", "c": "с", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һհ", "i": "іι", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "οоօ", "p": "рρ",
     "q": "ԛ", "s": "ѕ", "u": "սυ", "v": "νѵ", "w": "ԝ", "x": "х", "y": "уү",
     "Γ": "Г", "Π": "П", "Φ": "Ф", "κ": "к",
 }
@@ -31,8 +31,8 @@ LOOKALIKES = {
 #: Kinds of compatibility characters that look the same as what they stand for; superscripts, circles and the like don't.
 _SAME_LOOK = {"<wide>", "<narrow>", "<compat>", "<noBreak>", "<small>", "<initial>", "<medial>", "<final>", "<isolated>", "<vertical>"}
 
-#: Cost of a change of script inside a word, and the weight of an unseen bigram.
-SCRIPT_CHANGE, UNSEEN = 8.0, 0.1
+#: Cost of a change of script inside a word, weight of single letters beside bigrams, and count of an unseen letter.
+SCRIPT_CHANGE, SINGLE, UNSEEN = 8.0, 5.0, 0.01
 
 
 def _script(ch: str) -> str:
@@ -78,19 +78,27 @@ def bigrams(text: str) -> Counter:
     return out
 
 
+def _first(found: tuple[float, str]) -> float:
+    """The score of a path; of equal paths the first is taken, which has the base letters of the classes."""
+    return round(found[0], 9)
+
+
 class Model:
     """Bigram scores of the collection and the words already solved."""
 
     def __init__(self, counts: dict[tuple[str, str], int]) -> None:
         self.counts = counts
         self.totals: Counter = Counter()
-        for (a, _), n in counts.items():
+        self.letters: Counter = Counter()
+        for (a, b), n in counts.items():
             self.totals[a] += n
+            self.letters[b] += n
+        self.all = sum(self.letters.values()) + 1
         self.words: dict[str, str] = {}
 
     def score(self, a: str, b: str) -> float:
         """Log weight of b after a, less the penalty if both are look-alike letters of different scripts."""
-        s = math.log((self.counts.get((a, b), 0) + UNSEEN) / (self.totals[a] + UNSEEN * 64))
+        s = math.log((self.counts.get((a, b), 0) + SINGLE * (self.letters[b] + UNSEEN) / self.all) / (self.totals[a] + SINGLE))
         x, y = SCRIPTS.get(a), SCRIPTS.get(b)
         return s - SCRIPT_CHANGE if x and y and x != y else s
 
@@ -103,8 +111,8 @@ class Model:
         best: dict[str, tuple[float, str]] = {"^": (0.0, "")}
         for _, ch in letters:
             states = CLASSES.get(ch, (ch,))
-            best = {c: max((s + self.score(p, c), path + c) for p, (s, path) in best.items()) for c in states}
-        path = max((s + self.score(p, "$"), path) for p, (s, path) in best.items())[1]
+            best = {c: max(((s + self.score(p, c), path + c) for p, (s, path) in best.items()), key=_first) for c in states}
+        path = max(((s + self.score(p, "$"), path) for p, (s, path) in best.items()), key=_first)[1]
         out = list(key)
         for (i, _), c in zip(letters, path):
             out[i] = c
