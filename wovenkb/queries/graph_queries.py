@@ -218,8 +218,8 @@ def a5_depths(spark, d):
 
 @query(with_sql("kb_entities", "kb_event_entities") + """, ex AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos FROM m_entities WHERE entity_type = 'topic'),
 nr AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos FROM m_entities WHERE entity_type IN ('topic', 'metric')),
-u AS (SELECT id, min((part, pos)) AS at FROM (SELECT id, 0 AS part, pos FROM ex UNION ALL SELECT id, 1, pos FROM nr) GROUP BY 1)
-SELECT id AS entity_id, row_number() OVER (ORDER BY at, id) - 1 AS pos FROM u ORDER BY at, id LIMIT 200""")
+u AS (SELECT id, min((part, pos)) AS place FROM (SELECT id, 0 AS part, pos FROM ex UNION ALL SELECT id, 1, pos FROM nr) GROUP BY 1)
+SELECT id AS entity_id, row_number() OVER (ORDER BY place, id) - 1 AS pos FROM u ORDER BY place, id LIMIT 200""")
 def g1_recall_entities(spark, d):
     e = model(spark, d, "kb_entities")
     number = lambda x: x.select(F.col("id").alias("entity_id"), (F.row_number().over(Window.orderBy("id")) - 1).alias("pos"))
@@ -297,14 +297,14 @@ def _fused(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
 
 
 @query(_RERANK.format(n=3) + _DIRECT + """, u AS (SELECT chunk_id, 0 AS part, pos FROM sx WHERE pos < 5 UNION ALL SELECT chunk_id, 1, pos FROM dr WHERE pos < 10 - (SELECT count(*) FROM sx WHERE pos < 5)),
-o AS (SELECT chunk_id, min((part, pos)) AS at FROM u GROUP BY 1), f AS (SELECT chunk_id, row_number() OVER (ORDER BY at, chunk_id) - 1 AS pos FROM o) SELECT * FROM f WHERE pos < 10""")
+o AS (SELECT chunk_id, min((part, pos)) AS place FROM u GROUP BY 1), f AS (SELECT chunk_id, row_number() OVER (ORDER BY place, chunk_id) - 1 AS pos FROM o) SELECT * FROM f WHERE pos < 10""")
 def r11_fuse_concat(spark, d):
     return _fused(spark, d, "concat")
 
 
 @query(_RERANK.format(n=3) + _DIRECT + """, dx AS (SELECT chunk_id, row_number() OVER (ORDER BY pos) - 1 AS pos FROM dr WHERE chunk_id NOT IN (SELECT chunk_id FROM sx WHERE pos < 5)),
 u AS (SELECT chunk_id, 0 AS part, pos FROM sx WHERE pos < 5 UNION ALL SELECT chunk_id, 1, pos FROM dx WHERE pos < 5 - (SELECT count(*) FROM sx WHERE pos < 5)),
-o AS (SELECT chunk_id, min((part, pos)) AS at FROM u GROUP BY 1), f AS (SELECT chunk_id, row_number() OVER (ORDER BY at, chunk_id) - 1 AS pos FROM o) SELECT * FROM f WHERE pos < 5""")
+o AS (SELECT chunk_id, min((part, pos)) AS place FROM u GROUP BY 1), f AS (SELECT chunk_id, row_number() OVER (ORDER BY place, chunk_id) - 1 AS pos FROM o) SELECT * FROM f WHERE pos < 5""")
 def r12_fuse_supplement(spark, d):
     return _fused(spark, d, "supplement")
 
@@ -315,8 +315,8 @@ def r14_source_names(spark, d):
 
 
 @query(with_sql("kb_events") + """, ca AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos FROM m_events ORDER BY id LIMIT 6),
-o AS (SELECT * FROM (VALUES (4, 0), (9, 1), (1, 2), (4, 3)) t(i, at)), g AS (SELECT i, min(at) AS at FROM o WHERE i < 6 GROUP BY 1)
-SELECT * FROM (SELECT id, row_number() OVER (ORDER BY at NULLS LAST, pos) - 1 AS rank FROM ca LEFT JOIN g ON g.i = ca.pos) WHERE rank < 5""")
+o AS (SELECT * FROM (VALUES (4, 0), (9, 1), (1, 2), (4, 3)) t(i, place)), g AS (SELECT i, min(place) AS place FROM o WHERE i < 6 GROUP BY 1)
+SELECT * FROM (SELECT id, row_number() OVER (ORDER BY place NULLS LAST, pos) - 1 AS rank FROM ca LEFT JOIN g ON g.i = ca.pos) WHERE rank < 5""")
 def r9_model_order(spark, d):
     ids = model(spark, d, "kb_events").select("id").orderBy("id").limit(6)
     cand = ids.withColumn("pos", F.row_number().over(Window.orderBy("id")) - 1)
