@@ -161,6 +161,9 @@ def test_workbook_and_word(tmp_path, spark):
     sheet = f'<worksheet {m}><sheetData><row r="1">{c("A1", "Report")}</row><row r="2">{c("A2", "item")}{c("B2", "n")}</row><row r="3">{c("A3", "x")}<c r="B3"><v>5</v></c></row><row r="4"><c r="B4" s="1"><v>0.25</v></c></row><row r="5" hidden="1">{c("A5", "no")}</row></sheetData><mergeCells><mergeCell ref="A3:A4"/></mergeCells></worksheet>'
     book = _zip({"xl/workbook.xml": f'<workbook {m}><sheets><sheet name="S" r:id="r1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>', "xl/worksheets/sheet1.xml": sheet, "xl/styles.xml": f'<styleSheet {m}><cellXfs><xf numFmtId="0"/><xf numFmtId="9"/></cellXfs></styleSheet>'})
     assert office.workbook_text(book) == "=== S ===\n#TITLE#Report,\n#DATA#item,n\n#DATA#x,5\n#DATA#x,25%"
+    assert office.workbook_arrays(book)["S"] == [["Report", None], ["item", "n"], ["x", 5], ["x", "25%"]]
+    assert office.workbook_sections(book)[0]["rows"] == [{"item": "x", "n": "5"}, {"item": "x", "n": "25%"}] and office.workbook_sections(book)[0]["title"] == "Report"
+    assert office.workbook_markdown(book) == "## S\n\n### Report\n\n| item | n |\n|---|---|\n| x | 5 |\n| x | 25% |"
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     p = lambda t, s="": f'<w:p>{f"<w:pPr><w:pStyle w:val=\"{s}\"/></w:pPr>" if s else ""}<w:r><w:t>{t}</w:t></w:r></w:p>'
     doc = _zip({"word/document.xml": f'<w:document {w}><w:body>{p("Head", "Heading1")}{p("Text")}<w:tbl><w:tr><w:tc>{p("a")}</w:tc><w:tc>{p("b")}</w:tc></w:tr></w:tbl></w:body></w:document>', "word/styles.xml": f'<w:styles {w}><w:style w:styleId="Heading1"><w:name w:val="heading 1"/></w:style></w:styles>'})

@@ -110,10 +110,106 @@ def workbook_cells(data: bytes, hidden: bool = False) -> list[dict]:
             if c1 == c2 and (r1, c1) in cells:
                 for r in range(r1 + 1, r2 + 1):
                     cells[r, c1] = {**cells[r1, c1], "row": r, "formula": None}
-        out += [cells[k] for k in sorted(cells)]
+        own_rels, notes, links = _sheet_relations(z, names, path), {}, {}
+        for kind, target in own_rels.values():
+            if kind.endswith("/comments") and target in names:
+                for c in ET.fromstring(z.read(target)).iter(f"{_M}comment"):
+                    notes[_place(c.get("ref"))] = "".join(t.text or "" for t in c.iter(f"{_M}t")).strip()
+        for h in root.iter(f"{_M}hyperlink"):
+            links[_place(h.get("ref").partition(":")[0])] = own_rels.get(h.get(f"{_R}id"), ("", h.get("location") or ""))[1]
+        out += [cells[k] | {"comment": notes.get(k), "link": links.get(k)} for k in sorted(cells)]
     return out
 
 
+def _sheet_relations(z: zipfile.ZipFile, names: set[str], path: str) -> dict[str, tuple[str, str]]:
+    """(type, target) of the relations of a sheet by id; targets inside the file as full paths."""
+    folder, _, name = path.rpartition("/")
+    rels = f"{folder}/_rels/{name}.rels"
+    if rels not in names:
+        return {}
+    out = {}
+    for r in ET.fromstring(z.read(rels)):
+        target = r.get("Target", "")
+        if r.get("TargetMode") != "External":
+            parts = target.lstrip("/").split("/") if target.startswith("/") else [*folder.split("/"), *target.split("/")]
+            full: list[str] = []
+            for x in parts:
+                if x == "..":
+                    full.pop()
+                elif x not in ("", "."):
+                    full.append(x)
+            target = "/".join(full)
+        out[r.get("Id")] = (r.get("Type", ""), target)
+    return out
+
+
+def _grids(data: bytes) -> dict[str, list[list[dict | None]]]:
+    by: dict[str, dict[tuple[int, int], dict]] = {}
+    for c in workbook_cells(data):
+        by.setdefault(c["sheet"], {})[c["row"], c["col"]] = c
+    return {n: [[cells.get((r, c)) for c in range(max(k[1] for k in cells) + 1)] for r in sorted({k[0] for k in cells})] for n, cells in by.items()}
+
+
+def workbook_markdown(data: bytes, notes: bool = False) -> str:
+    """Sheets as Markdown: titles, form and signing rows as paragraphs, data as tables; with notes also formulas, comments and links as a list."""
+    out = []
+    for name, grid in _grids(data).items():
+        out.append(f"## {name}")
+        rows = [[c["text"] if c else "" for c in r] for r in grid]
+        table: list[list[str]] = []
+        for r, role in zip(rows, row_roles(rows)):
+            if role in ("data", "group_header"):
+                table.append(r)
+            elif any(r):
+                out.append(("### " if role == "title" else "") + " | ".join(c for c in r if c))
+        if table:
+            lines = ["| " + " | ".join(c.replace("|", "\\|") for c in r) + " |" for r in table]
+            out.append("\n".join([lines[0], "|" + "---|" * len(table[0]), *lines[1:]]))
+        if notes:
+            for c in (c for r in grid for c in r if c):
+                said = [f"{k}: {c[k]}" for k in ("formula", "comment", "link") if c.get(k)]
+                if said:
+                    out.append(f"- {_ref(c['row'], c['col'])}: " + "; ".join(said))
+    return "\n\n".join(out)
+
+
+def _ref(row: int, col: int) -> str:
+    letters = ""
+    col += 1
+    while col:
+        col, rest = divmod(col - 1, 26)
+        letters = chr(65 + rest) + letters
+    return f"{letters}{row + 1}"
+
+
+def workbook_sections(data: bytes) -> list[dict]:
+    """Per sheet: title, form, signing, header, rows as records, and notes resolved to (row, header)."""
+    out = []
+    for name, grid in _grids(data).items():
+        rows = [[c["text"] if c else "" for c in r] for r in grid]
+        roles = row_roles(rows)
+        pick = lambda role: [c for r, k in zip(rows, roles) if k == role for c in r if c]  # noqa: B023, E731
+        data_at = [i for i, k in enumerate(roles) if k == "data"]
+        header = rows[data_at[0]] if data_at else []
+        names = [h or f"列{i + 1}" for i, h in enumerate(header)]
+        records = [{n: v for n, v in zip(names, rows[i]) if v} for i in data_at[1:]]
+        notes = [{"row": k, "header": names[c["col"]] if c["col"] < len(names) else "", **{f: c[f] for f in ("formula", "comment", "link") if c.get(f)}} for k, i in enumerate(data_at[1:]) for c in grid[i] if c and any(c.get(f) for f in ("formula", "comment", "link"))]
+        out.append({"sheet": name, "title": next(iter(pick("title")), ""), "form": pick("form"), "signing": pick("signing"), "header": header, "rows": records, "notes": notes})
+    return out
+
+
+def workbook_arrays(data: bytes) -> dict[str, list[list[object]]]:
+    """Per sheet a two-dimensional array: numbers and booleans as such, formulas with their value, empty cells null."""
+    def native(c: dict | None) -> object:
+        if c is None or (not c["text"] and not c["formula"]):
+            return None
+        t = c["text"]
+        value = t == "TRUE" if t in ("TRUE", "FALSE") else int(t) if re.fullmatch(r"-?\d{1,15}", t) and not re.match(r"-?0\d", t) else float(t) if re.fullmatch(r"-?\d+\.\d+", t) else t
+        return {"formula": c["formula"], "value": value} if c["formula"] else value
+
+    return {n: [[native(c) for c in r] for r in grid] for n, grid in _grids(data).items()}
+
+
 def workbook_text(data: bytes) -> str:
     """Role-marked CSV of all sheets, the form that the table splitter reads."""
     out: list[str] = []
