@@ -163,12 +163,14 @@ def lookalike_pairs(rows: DataFrame, id_col: str, text_col: str, group_col: str
     """
     group = F.col(group_col) if group_col else F.lit("")
     x = canonicalize(rows.select(F.col(id_col).alias("_id"), group.cast("string").alias("_g"), F.col(text_col).cast("string").alias("_t")).filter("_id is not null and _t is not null and _g is not null").distinct(), "_t", model, "_c")
+    x = common.checkpoint(x)
     texts = x.select("_g", "_c", "_t").distinct()
-    several = texts.groupBy("_g", "_c").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    few = common.checkpoint(x.join(several, ["_g", "_c"]))
-    b = few.select("_g", "_c", F.col("_id").alias("_id2"), F.col("_t").alias("_t2"))
-    pairs = few.join(b, ["_g", "_c"]).filter((F.col("_t") != F.col("_t2")) & (F.col("_id") < F.col("_id2")))
-    return pairs.select(F.col("_id").alias("id_a"), F.col("_id2").alias("id_b")).distinct()
+    other = texts.select("_g", "_c", F.col("_t").alias("_t2"))
+    differ = texts.join(other, ["_g", "_c"]).filter(F.col("_t") < F.col("_t2")).drop("_c")  # pairs of spellings, not of rows
+    one = x.select("_g", "_t", F.col("_id").alias("_a"))
+    two = x.select("_g", F.col("_t").alias("_t2"), F.col("_id").alias("_b"))
+    pairs = differ.join(one, ["_g", "_t"]).join(two, ["_g", "_t2"]).filter("_a != _b")
+    return pairs.select(F.least("_a", "_b").alias("id_a"), F.greatest("_a", "_b").alias("id_b")).distinct()
 
 
 def _model(spark: SparkSession, sf_dir: str) -> Model:
