@@ -129,6 +129,16 @@ def test_scan_leaves_clean_text_alone():
     assert p4.repair(text, _vocabulary())[0] == []
 
 
+def test_scan_guards_dont_depend_on_size():
+    counts = {"invoice": 500, "invoicc": 5, "iron": 500, "form": 500, "of": 5000, "archive": 500, "board": 500}
+    for size in (1, 200):
+        v = p4.Vocabulary({w: n * size for w, n in counts.items()}, 10000 * size, frozenset())
+        assert p4.repair("of the invoicc of\nthe board.\nInvoicc of the form. Iron of the form.", v) == (["misread"], "of the invoice of the board. Invoice of the form. Iron of the form.")
+        assert not p4.joins("archive", "board", v)
+    v = p4.Vocabulary({"archive": 80, "board": 80, "of": 10**6}, 10**7, frozenset())
+    assert p4.joins("archive", "board", v)
+
+
 def test_scan_frames(spark):
     df = spark.createDataFrame([("a", None), ("b", ""), ("c", "one line"), ("c", "one line"), (None, "x\n" * 5000)], "id string, content string").selectExpr("*", "1 as noise")
     out = p4.repair_scans(df).collect()

@@ -32,8 +32,11 @@ HYPHENS = "-‐‑\u00ad¬⁃"
 #: A word is common with this share of all words or characters, so that the vocabulary that is sent to all tasks has at
 #: most 1/COMMON entries; and a correction must be so many times as frequent as what was read.
 COMMON, LEAST, RATIO = 1e-6, 4, 8
-#: A corrected Chinese context must have this share of all contexts, which keeps names out.
+#: A corrected Chinese context must have this share of all words and contexts, which keeps names out.
 COMMON_ZH = 1e-4
+#: What a capitalised word is corrected to must have this share, which keeps names out; and two words that both have it
+#: and that stand nowhere undivided are a compound.
+COMMON_LATIN = 1e-4
 
 _N = r"(\d{1,4}|[ivxl]{1,7}|[\doOlISB]{2,4})"
 _FORMS = tuple(
@@ -207,6 +210,10 @@ class Vocabulary:
             if w.isascii() and n >= LEAST:
                 self.alike.setdefault(w.translate(_CLASS), []).append(w)
 
+    def share(self, part: float) -> float:
+        """The count that makes this part of all words."""
+        return max(LEAST, part * self.total)
+
     def corrected(self, word: str) -> str | None:
         """The common word that a rare one was read from, if there is one."""
         if word not in self.known:
@@ -255,7 +262,7 @@ def joins(a: str, b: str, v: Vocabulary) -> bool:
     one, two = v.is_word(a + b), v.counts.get(f"{a}-{b}", 0)
     if one or two:
         return one > two
-    return not (v.counts.get(a, 0) > 50 and v.counts.get(b, 0) > 50)
+    return not min(v.counts.get(a, 0), v.counts.get(b, 0)) > v.share(COMMON_LATIN)
 
 
 def repair(text: str | None, v: Vocabulary) -> tuple[list[str], str | None]:
@@ -306,7 +313,7 @@ def repair(text: str | None, v: Vocabulary) -> tuple[list[str], str | None]:
 
     def word(m: re.Match) -> str:
         w = m[0]
-        if len(w) < 3 or (w in v.counts and v.counts[w] > 50 * RATIO) or not re.search("[a-z]", w):
+        if len(w) < 3 or v.known.get(w, w) is None or not re.search("[a-z]", w):
             return w
         low = w
         if not w[0].islower() and w[0] not in "1|056":
@@ -314,10 +321,8 @@ def repair(text: str | None, v: Vocabulary) -> tuple[list[str], str | None]:
             if before not in ("", "\n", ".", "。") or not w[1:].islower():
                 return w
             low = w.lower() if w[0] != "I" else "l" + w[1:]
-            if v.counts.get(w.lower()):
-                return w
         fixed = v.corrected(low)
-        if fixed is None or (low != w and v.counts.get(fixed, 0) < 50):
+        if fixed is None or (low != w and (fixed == w.lower() or v.counts.get(fixed, 0) < v.share(COMMON_LATIN) or v.counts.get(fixed, 0) <= RATIO * v.counts.get(w.lower(), 0))):
             return w
         kinds.add("misread")
         return fixed if low == w else fixed.capitalize()
@@ -331,7 +336,7 @@ def repair(text: str | None, v: Vocabulary) -> tuple[list[str], str | None]:
             have = context(flat, m.start(), m[0])
             for other in ZH_ALL.get(m[0], ()):
                 want = context(flat, m.start(), other)
-                if want and v.counts.get(want, 0) >= max(LEAST, COMMON_ZH * v.total) and v.counts.get(want, 0) > RATIO * v.counts.get(have, 0):
+                if want and v.counts.get(want, 0) >= v.share(COMMON_ZH) and v.counts.get(want, 0) > RATIO * v.counts.get(have, 0):
                     fixes[flat_at[m.start()]] = other
         if fixes:
             kinds.add("misread")
