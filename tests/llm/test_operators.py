@@ -139,6 +139,25 @@ def test_scan_guards_dont_depend_on_size():
     assert p4.joins("archive", "board", v)
 
 
+def test_scan_counts_of_rare_words_are_exact(spark, monkeypatch):
+    long = "of the\n" * 300
+    texts = [long, *["the east of\nthe signed"] * 7, "the cast of\nthe siqned", "the long-term of\nthe term", "of the long-\nterm of the\nlong term", "long term\n" * 20, "Eust of the\neust of", "the siqn-\ned of"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, content string")
+    for common in (1e-6, 0.05):
+        monkeypatch.setattr(p4, "COMMON", common)
+        out = {r.id: r for r in p4.repair_scans(df).collect()}
+        assert len(out) == len(texts)
+        # 'cast' occurs once, 'east' 7 times: not 8 times as often; 'siqned' is corrected only where its own count allows it.
+        assert out["8"].repaired_text == "the cast of the siqned" and out["8"].noise == []
+        assert "long-term" in out["10"].repaired_text and out["10"].noise == []
+    more = df.unionByName(spark.createDataFrame([(f"m{i}", "the signed\nthe east") for i in range(3)], "id string, content string"))
+    for common in (1e-6, 0.05):
+        monkeypatch.setattr(p4, "COMMON", common)
+        out = {r.id: r for r in p4.repair_scans(more).collect()}
+        assert out["8"].repaired_text == "the east of the signed" and out["8"].noise == ["misread"]
+        assert out["13"].noise == ["hyphen", "misread"] and out["13"].repaired_text == "the signed of"
+
+
 def test_scan_frames(spark):
     df = spark.createDataFrame([("a", None), ("b", ""), ("c", "one line"), ("c", "one line"), (None, "x\n" * 5000)], "id string, content string").selectExpr("*", "1 as noise")
     out = p4.repair_scans(df).collect()

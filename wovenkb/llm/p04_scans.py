@@ -30,7 +30,8 @@ DIGITS = {"O": "0", "o": "0", "l": "1", "I": "1", "i": "1", "|": "1", "S": "5",
 #: Signs at a line end that divide a word.
 HYPHENS = "-‐‑\u00ad¬⁃"
 #: A word is common with this share of all words or characters, so that the vocabulary that is sent to all tasks has at
-#: most 1/COMMON entries; and a correction must be so many times as frequent as what was read.
+#: most 1/COMMON entries (the exact counts of rarer words are joined to the documents that ask for them); and a
+#: correction must occur more than LEAST times and be more than so many times as frequent as what was read.
 COMMON, LEAST, RATIO = 1e-6, 4, 8
 #: A corrected Chinese context must have this share of all words and contexts, which keeps names out.
 COMMON_ZH = 1e-4
@@ -198,24 +199,58 @@ def words_of(text: str) -> Counter:
     return out
 
 
+def confusions(word: str) -> list[tuple[int, str]]:
+    """(how many groups of letters were exchanged, class of letters) of all that a word may have been read from."""
+    places = [(m.start(), a, b) for a, b in GROUPS for m in re.finditer(a, word)]
+    out = []
+    for n in (0, 1, 2):  # confusions of single letters, with up to two of groups of letters
+        for chosen in combinations(places, n):
+            chosen = sorted(chosen)
+            if n == 2 and chosen[0][0] + len(chosen[0][1]) > chosen[1][0]:
+                continue
+            x = word
+            for at, a, b in reversed(chosen):
+                x = x[:at] + b + x[at + len(a) :]
+            out.append((n, x.translate(_CLASS)))
+    return out
+
+
 class Vocabulary:
-    """Counts of the common words and contexts of the corpus, and the templates of its header lines."""
+    """Counts of the common words and contexts of the corpus, and the templates of its header lines.
+
+    ``rare`` are the counts of words that aren't common, as far as the text in work asks for them (``asked``).
+    """
 
     def __init__(self, counts: dict[str, int], total: int, templates: frozenset[str]) -> None:
         self.counts, self.total, self.templates = counts, total, templates
         self.known: dict[str, str | None] = {}
         self.longest = max((len(w) for w in counts if w.isascii()), default=0)
-        self.alike: dict[str, list[str]] = {}
+        self.alike = self._by_class(counts)
+        self.rare: dict[str, int] = {}
+        self.rare_alike: dict[str, list[str]] = {}
+
+    @staticmethod
+    def _by_class(counts: dict[str, int]) -> dict[str, list[str]]:
+        out: dict[str, list[str]] = {}
         for w, n in counts.items():
             if w.isascii() and n >= LEAST:
-                self.alike.setdefault(w.translate(_CLASS), []).append(w)
+                out.setdefault(w.translate(_CLASS), []).append(w)
+        return out
+
+    def add_rare(self, rare: dict[str, int]) -> None:
+        """Take these counts of rare words for the next text, instead of those of the text before."""
+        self.rare, self.rare_alike = rare, self._by_class(rare)
+
+    def count(self, word: str) -> int:
+        n = self.counts.get(word)
+        return self.rare.get(word, 0) if n is None else n
 
     def share(self, part: float) -> float:
         """The count that makes this part of all words."""
         return max(LEAST, part * self.total)
 
     def corrected(self, word: str) -> str | None:
-        """The common word that a rare one was read from, if there is one."""
+        """The word that a rare one was read from, if there is one."""
         if word not in self.known:
             if len(self.known) > 300_000:
                 self.known.clear()
@@ -223,31 +258,24 @@ class Vocabulary:
         return self.known[word]
 
     def _corrected(self, word: str) -> str | None:
-        if len(word) > self.longest + 4:  # no word can come of it
+        longest = max((len(w) for w in self.rare), default=0)
+        if len(word) > max(self.longest, longest) + 4:  # no word can come of it
             return None
-        own = self.counts.get(word, 0)
-        best, top = None, max(LEAST, own * RATIO)
-        places = [(m.start(), a, b) for a, b in GROUPS for m in re.finditer(a, word)]
-        for n in (0, 1, 2):  # confusions of single letters, with up to two of groups of letters
-            for chosen in combinations(places, n):
-                chosen = sorted(chosen)
-                if n == 2 and chosen[0][0] + len(chosen[0][1]) > chosen[1][0]:
-                    continue
-                x = word
-                for at, a, b in reversed(chosen):
-                    x = x[:at] + b + x[at + len(a) :]
-                for w in self.alike.get(x.translate(_CLASS), ()):
-                    k = self.counts[w]
-                    if w != word and (k > top or (k == top and best and w < best)):
-                        best, top = w, k
-            if best:
-                return best
+        best, top, level = None, max(LEAST, self.count(word) * RATIO), 0
+        for n, x in confusions(word):
+            if n > level and best:
+                break
+            level = n
+            for w in (*self.alike.get(x, ()), *self.rare_alike.get(x, ())):
+                k = self.count(w)
+                if w != word and (k > top or (k == top and best and w < best)):
+                    best, top = w, k
         return best
 
     def is_word(self, word: str) -> int:
         """How often a word occurs, as read or corrected."""
-        n = self.counts.get(word, 0)
-        return n if n else self.counts.get(self.corrected(word) or "", 0)
+        n = self.count(word)
+        return n if n else self.count(self.corrected(word) or "")
 
 
 def _number(m: re.Match) -> str:
@@ -259,16 +287,19 @@ def joins(a: str, b: str, v: Vocabulary) -> bool:
     if not b[:1].islower() or not (a[-1:].islower() or a[-1:] in "10|I5") or re.fullmatch(r"\d+", a):
         return False
     a, b = a.lower(), b.lower()
-    one, two = v.is_word(a + b), v.counts.get(f"{a}-{b}", 0)
+    one, two = v.is_word(a + b), v.count(f"{a}-{b}")
     if one or two:
         return one > two
-    return not min(v.counts.get(a, 0), v.counts.get(b, 0)) > v.share(COMMON_LATIN)
+    return not min(v.count(a), v.count(b)) > v.share(COMMON_LATIN)
 
 
 def repair(text: str | None, v: Vocabulary) -> tuple[list[str], str | None]:
     """The kinds of noise in a text and its repaired form: continuous paragraphs, blank lines between them."""
-    if not text:
-        return [], text
+    return repair_words(*without_furniture(text, v), v) if text else ([], text)
+
+
+def without_furniture(text: str, v: Vocabulary) -> tuple[set[str], str]:
+    """The kinds of page furniture in a text and its lines without them."""
     page = Page(text, v.templates)
     kinds = set()
     if page.headers:
@@ -293,7 +324,25 @@ def repair(text: str | None, v: Vocabulary) -> tuple[list[str], str | None]:
                 lines.append("")
         cut = False
         lines.append(line.rstrip())
-    body = "\n".join(lines)
+    return kinds, "\n".join(lines)
+
+
+def asked(body: str, v: Vocabulary) -> list[str]:
+    """The words and contexts that aren't common whose counts the repair of a body can ask for."""
+    out = set()
+    for m in _SPLIT.finditer(body):
+        out.update((f"{m[1]}{m[2]}".lower(), f"{m[1]}-{m[2]}".lower()))
+    for w in set(_MIXED.findall(_SPLIT.sub(r"\1\2", body))):
+        if len(w) > 2:
+            out.update((w,) if not w[0].isupper() else (w.lower(), "l" + w[1:]) if w[0] == "I" else (w.lower(),))
+    if v.share(COMMON_ZH) <= RATIO * LEAST:  # else a common context is always more than RATIO times one that isn't
+        flat = body.replace("\n", "")
+        out.update(c for m in _ZH.finditer(flat) if (c := context(flat, m.start(), m[0])))
+    return [w for w in out if w not in v.counts and not w.isdigit() and not w.isupper()]
+
+
+def repair_words(kinds: set[str], body: str, v: Vocabulary) -> tuple[list[str], str]:
+    """The kinds of noise, those given included, and the repaired form of a body without page furniture."""
 
     def divided(m: re.Match) -> str:
         if joins(m[1], m[2], v):
@@ -322,7 +371,7 @@ def repair(text: str | None, v: Vocabulary) -> tuple[list[str], str | None]:
                 return w
             low = w.lower() if w[0] != "I" else "l" + w[1:]
         fixed = v.corrected(low)
-        if fixed is None or (low != w and (fixed == w.lower() or v.counts.get(fixed, 0) < v.share(COMMON_LATIN) or v.counts.get(fixed, 0) <= RATIO * v.counts.get(w.lower(), 0))):
+        if fixed is None or (low != w and (fixed == w.lower() or v.count(fixed) < v.share(COMMON_LATIN) or v.count(fixed) <= RATIO * v.count(w.lower()))):
             return w
         kinds.add("misread")
         return fixed if low == w else fixed.capitalize()
@@ -336,7 +385,7 @@ def repair(text: str | None, v: Vocabulary) -> tuple[list[str], str | None]:
             have = context(flat, m.start(), m[0])
             for other in ZH_ALL.get(m[0], ()):
                 want = context(flat, m.start(), other)
-                if want and v.counts.get(want, 0) >= v.share(COMMON_ZH) and v.counts.get(want, 0) > RATIO * v.counts.get(have, 0):
+                if want and v.count(want) >= v.share(COMMON_ZH) and v.count(want) > RATIO * v.count(have):
                     fixes[flat_at[m.start()]] = other
         if fixes:
             kinds.add("misread")
@@ -366,8 +415,8 @@ def is_plain(text: str | None) -> bool:
 _MARKED = re.compile(r"\\(?:begin|end|section|item|textbf)\b|</?(?:p|li|td|tr|ul|ol|h\d|pre|table|div)\b|^```|^~~~|^\{\||^#{1,6} |^={2,}|\*\*|\[\[|^#[A-Z_]+#|\|---", re.M | re.I)
 
 
-def fit_vocabulary(docs: DataFrame, content_col: str = "content") -> Vocabulary:
-    """Counts over the whole corpus. Words under the share COMMON are left out of what is sent, so it has a bound."""
+def count_words(docs: DataFrame, content_col: str = "content") -> DataFrame:
+    """(kind, word, n) over the whole corpus: w for words and contexts, h for templates of headers, n for the total."""
     rows = docs.select(F.col(content_col).cast("string").alias("_text")).filter("_text is not null")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -381,31 +430,72 @@ def fit_vocabulary(docs: DataFrame, content_col: str = "content") -> Vocabulary:
                     heads.update({k for i in page.repeated for k in templates_of(page.lines[i])})
         yield pd.DataFrame([("w", w, n) for w, n in words.items()] + [("h", w, n) for w, n in heads.items()] + [("n", "", sum(words.values()))], columns=["kind", "word", "n"])
 
-    counts = common.checkpoint(rows.mapInPandas(count, "kind string, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n")))
+    return common.checkpoint(rows.mapInPandas(count, "kind string, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n")))
+
+
+def fit_vocabulary(counts: DataFrame) -> Vocabulary:
+    """The common part of the counts. Words under the share COMMON are left out of what is sent, so it has a bound."""
     total = counts.filter("kind = 'n'").agg(F.sum("n")).first()[0] or 0
     words = counts.filter((F.col("kind") == "w") & (F.col("n") >= max(2, COMMON * total))).collect()
     heads = counts.filter((F.col("kind") == "h") & (F.col("n") >= max(3, COMMON * total))).collect()
     return Vocabulary({r.word: r.n for r in words}, total, frozenset(r.word for r in heads))
 
 
+def rare_counts(asked_for: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """(word, rare array<string>) of the words in ``asked_for`` (_row, word): "count word" of each itself and of the rare words it may have been read from."""
+    rare = counts.filter((F.col("kind") == "w") & (F.col("n") < max(2, COMMON * total))).select("word", "n")
+    words = asked_for.select("word").distinct()
+    found = words.join(rare, "word").select("word", F.col("word").alias("w"), "n")
+    if COMMON * total > LEAST + 1:  # else no rare word can be a correction
+        able = rare.filter((F.col("n") > LEAST) & F.col("word").rlike("^[a-z-]+$")).select(F.translate("word", "".join(map(chr, _CLASS)), "".join(_CLASS.values())).alias("_class"), F.col("word").alias("w"), "n")
+        longest = able.agg(F.max(F.length("w"))).first()[0] or 0
+
+        def classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for df in batches:
+                yield pd.DataFrame([(w, x) for w in df["word"] if len(w) <= longest + 4 for x in {x for _, x in confusions(w)}], columns=["word", "_class"])
+
+        found = found.unionByName(words.filter("word rlike '^[A-Za-z0-9|]+$'").mapInPandas(classes, "word string, _class string").join(able, "_class").select("word", "w", "n"))
+    return found.groupBy("word").agg(F.collect_set(F.concat_ws(" ", "n", "w")).alias("rare"))
+
+
 def repair_scans(docs: DataFrame, id_col: str = "id", content_col: str = "content", vocabulary: Vocabulary | None = None) -> DataFrame:
     """(id, noise array<string>, repaired_text) for every row.
 
     Texts of one line, with markup or with sheet rows don't come from scanned pages and are kept as they are. Null
-    content gives no noise and null text; repeated rows and null ids are kept; other columns are dropped.
+    content gives no noise and null text; repeated rows and null ids are kept; other columns are dropped. A vocabulary
+    that is given counts as whole: what it lacks was never seen.
     """
-    vocabulary = vocabulary or fit_vocabulary(docs, content_col)
+    counts = count_words(docs, content_col) if vocabulary is None else None
+    vocabulary = vocabulary or fit_vocabulary(counts)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(content_col).cast("string").alias("_text"))
     id_type = rows.schema["_id"].dataType.simpleString()
 
+    def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v = sent.value
+        for df in batches:
+            done = [(*without_furniture(t, v), True) if is_plain(t) else ((), t, False) for t in df["_text"]]
+            yield pd.DataFrame({"_id": df["_id"], "_kinds": [list(d[0]) for d in done], "_text": [d[1] for d in done], "_plain": [d[2] for d in done], "_asked": [asked(d[1], v) if d[2] else [] for d in done]})
+
+    bodies = rows.mapInPandas(strip, f"_id {id_type}, _kinds array<string>, _text string, _plain boolean, _asked array<string>")
+    bodies = bodies.withColumn("_rare", F.lit(None).cast("array<string>"))
+    if counts is not None:
+        bodies = common.checkpoint(bodies.drop("_rare").withColumn("_row", F.monotonically_increasing_id()))
+        wanted = bodies.select("_row", F.explode("_asked").alias("word"))
+        told = wanted.join(rare_counts(wanted, counts, vocabulary.total), "word").groupBy("_row").agg(F.array_distinct(F.flatten(F.collect_list("rare"))).alias("_rare"))
+        bodies = bodies.filter("_plain").join(told, "_row", "left").unionByName(bodies.filter("not _plain"), allowMissingColumns=True)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = sent.value
         for df in batches:
-            done = [repair(t, v) if is_plain(t) else ([], t) for t in df["_text"]]
+            done = []
+            for t, k, plain, rare in zip(df["_text"], df["_kinds"], df["_plain"], df["_rare"]):
+                if plain:
+                    v.add_rare({w: int(n) for n, w in (x.split(" ", 1) for x in (rare if rare is not None else ()))})
+                done.append(repair_words(set(k), t, v) if plain else ([], t))
             yield pd.DataFrame({id_col: df["_id"], "noise": [d[0] for d in done], "repaired_text": [d[1] for d in done]})
 
-    return rows.mapInPandas(run, f"`{id_col}` {id_type}, noise array<string>, repaired_text string")
+    return bodies.select("_id", "_kinds", "_text", "_plain", "_rare").mapInPandas(run, f"`{id_col}` {id_type}, noise array<string>, repaired_text string")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
