@@ -234,6 +234,17 @@ def test_variants_are_linked(spark):
     assert p6.link_variants(df.limit(0), p5.Model({})).count() == 0
 
 
+def test_variants_with_an_edit_keep_to_their_description(spark):
+    rows = [
+        ("1", "person", "Jonas Rizorhelmo", "auditor"), ("2", "person", "Rizorhelmo, Jonas", "treasurer"), ("3", "person", "Jonas Rizorhellmo", "treasurer"), ("4", "person", "Jonas Rizorhemo", "clerk"), ("5", "person", "Jonas Rizzorhelmo", None),
+        ("6", "person", "Samuel Quentovar", None), ("7", "person", "Quentovar, Samuel", "auditor"), ("8", "person", "Samuel Quentovaar", "auditor"),
+    ]
+    by = {}
+    for r in p6.link_variants(spark.createDataFrame(rows, "id string, entity_type string, name string, description string"), p5.Model({})).collect():
+        by.setdefault(r["class"], set()).add(r.id)
+    assert sorted(map(sorted, by.values())) == [["1", "5"], ["2", "3"], ["4"], ["6", "7", "8"]]
+
+
 def test_components(spark):
     random.seed(2)
     edges = [(f"a{i}", f"a{i + 1}") for i in range(25)] + [("hub", f"h{i}") for i in range(40)] + [("x", "x"), (None, "y"), ("p", "q"), ("p", "q")]

@@ -230,24 +230,29 @@ def link_variants(entities: DataFrame, model: Model, id_col: str = "id", type_co
     first = exact.groupBy(*key).agg(F.min(F.when(F.col("d").isNull(), F.col("node"))).alias("u"), F.min(F.when(F.col("d").isNotNull(), F.col("node"))).alias("v"))
     links = ties.unionByName(loose).unionByName(first.filter("u is not null and v is not null").select("u", "v"))
 
-    # Readings with one edit.
-    forms = exact.filter("kind in ('full', 'zh')").groupBy("t", "kind", "a", "b").agg(F.min("node").alias("node"), F.min("d").alias("d1"), F.max("d").alias("d2"))
+    # Readings with one edit. That the ranges of descriptions meet only keeps down what is verified; what is linked is settled below.
+    edited = exact.filter("kind in ('full', 'zh')")
+    forms = edited.groupBy(*key).agg(F.min("d").alias("d1"), F.max("d").alias("d2"))
+    columns = ["t", "kind", "a", "b", "d1", "d2"]
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for df in batches:
             out = []
-            for t, kind, a, b, node, d1, d2 in df[["t", "kind", "a", "b", "node", "d1", "d2"]].itertuples(index=False):
+            for t, kind, a, b, d1, d2 in df[columns].itertuples(index=False):
                 for side, k in reading_keys(kind, a, b):
-                    out.append((xxhash.xxh64_intdigest(f"{t}\x01{kind}\x01{k}") - (1 << 63), side, kind, a, b, node, d1, d2))
-            yield pd.DataFrame(out, columns=["key", "side", "kind", "a", "b", "node", "d1", "d2"])
+                    out.append((xxhash.xxh64_intdigest(f"{t}\x01{kind}\x01{k}") - (1 << 63), side, t, kind, a, b, d1, d2))
+            yield pd.DataFrame(out, columns=["key", "side", *columns])
 
-    keys = forms.mapInPandas(index, "key bigint, side boolean, kind string, a string, b string, node string, d1 string, d2 string")
-    left = keys.select("key", "side", *(F.col(c).alias("l_" + c) for c in ("kind", "a", "b", "node", "d1", "d2")))
-    right = keys.filter("side").select("key", *(F.col(c).alias("r_" + c) for c in ("kind", "a", "b", "node", "d1", "d2")))
+    keys = forms.mapInPandas(index, "key bigint, side boolean, t string, kind string, a string, b string, d1 string, d2 string")
+    left = keys.select("key", "side", *(F.col(c).alias("l_" + c) for c in columns))
+    right = keys.filter("side").select("key", *(F.col(c).alias("r_" + c) for c in columns))
     agree = F.coalesce((F.col("l_d1") <= F.col("r_d2")) & (F.col("r_d1") <= F.col("l_d2")), F.lit(True))
-    near = left.join(right, "key").filter((F.col("l_node") != F.col("r_node")) & (~F.col("side") | (F.col("l_node") < F.col("r_node"))) & agree & (F.abs(F.length("l_a") - F.length("r_a")) <= 1) & (F.abs(F.length("l_b") - F.length("r_b")) <= 1)).drop("key", "side").distinct()
+    alike = (F.col("l_t") == F.col("r_t")) & (F.col("l_kind") == F.col("r_kind"))
+    x, y = F.struct("l_a", "l_b"), F.struct("r_a", "r_b")
+    near = left.join(right, "key").filter(alike & (x != y) & (~F.col("side") | (x < y)) & agree & (F.abs(F.length("l_a") - F.length("r_a")) <= 1) & (F.abs(F.length("l_b") - F.length("r_b")) <= 1))
+    near = near.select("l_t", "l_kind", "l_a", "l_b", "r_a", "r_b").distinct()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -255,9 +260,17 @@ def link_variants(entities: DataFrame, model: Model, id_col: str = "id", type_co
                 (x.l_a == x.r_a or x.l_b == x.r_b) and within_one(x.l_a, x.r_a) and within_one(x.l_b, x.r_b) and _numbers(x.l_b) == _numbers(x.r_b) and _numbers(x.l_a) == _numbers(x.r_a)
                 for x in df.itertuples(index=False)
             ]
-            yield pd.DataFrame({"u": df.l_node[ok], "v": df.r_node[ok]})
-
-    fuzzy = near.mapInPandas(verify, "u string, v string")
+            yield df[ok].set_axis([*key, "a2", "b2"], axis=1)
+
+    pairs = common.checkpoint(near.mapInPandas(verify, "t string, kind string, a string, b string, a2 string, b2 string"))
+    # Nodes of equal descriptions are tied. A reading without any description is tied to one node of the other, as equal readings are.
+    each = edited.filter("d is not null").groupBy(*key, "d").agg(F.min("node").alias("u"))
+    other = each.select("t", "kind", F.col("a").alias("a2"), F.col("b").alias("b2"), "d", F.col("u").alias("v"))
+    fuzzy = pairs.join(each, key).join(other, ["t", "kind", "a2", "b2", "d"]).select("u", "v")
+    ends = edited.groupBy(*key).agg(F.max(F.col("d").isNotNull()).alias("_told"), F.coalesce(F.min(F.when(F.col("d").isNull(), F.col("node"))), F.min("node")).alias("u"))
+    other = ends.select("t", "kind", F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("_told").alias("_told2"), F.col("u").alias("v"))
+    untold = pairs.join(ends, key).join(other, ["t", "kind", "a2", "b2"]).filter("not (_told and _told2)").select("u", "v")
+    fuzzy = fuzzy.unionByName(untold).filter("u != v").distinct()
     one = graph.components(links.unionByName(fuzzy))
 
     # Initials, short names and Latin spellings: to the only class of a whole form that they can mean.
