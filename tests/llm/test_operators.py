@@ -245,6 +245,19 @@ def test_variants_with_an_edit_keep_to_their_description(spark):
     assert sorted(map(sorted, by.values())) == [["1", "5"], ["2", "3"], ["4"], ["6", "7", "8"]]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abcd", min_size=2, max_size=6), st.integers(0, 6), st.sampled_from("abcd"), st.sampled_from("idst"), st.sampled_from(["full", "zh"]))
+def test_short_parts_are_proposed(a, at, ch, how, kind):
+    at %= len(a)
+    b = {"i": a[:at] + ch + a[at:], "d": a[:at] + a[at + 1 :], "s": a[:at] + ch + a[at + 1 :], "t": a[:at] + a[at : at + 2][::-1] + a[at + 2 :]}[how]
+    if len(b) < 2 or len(a) + len(b) < 5:
+        return
+    rest = "" if kind == "zh" else "rizorhelmo"
+    x, y = p6.reading_keys(kind, a, rest), p6.reading_keys(kind, b, rest)
+    index = lambda k: {v for side, v in k if side}
+    assert {v for _, v in x} & index(y) or {v for _, v in y} & index(x)
+
+
 def test_components(spark):
     random.seed(2)
     edges = [(f"a{i}", f"a{i + 1}") for i in range(25)] + [("hub", f"h{i}") for i in range(40)] + [("x", "x"), (None, "y"), ("p", "q"), ("p", "q")]

@@ -173,16 +173,25 @@ def segment_keys(text: str, fixed: str, m: int, keep: int) -> list[tuple[bool, s
     return list(dict.fromkeys(out))
 
 
+def deletion_keys(text: str, fixed: str) -> list[tuple[bool, str]]:
+    """Keys of a text that is too short for segments: itself and, from three characters on, itself without one of them.
+
+    Two texts with one edit share one of these.
+    """
+    own = [text] + [text[:i] + text[i + 1 :] for i in range(len(text)) if len(text) > 2]
+    return [(True, f"{fixed}\x01-\x01{x}") for x in dict.fromkeys(own)]
+
+
+def part_keys(text: str, fixed: str, m: int, keep: int) -> list[tuple[bool, str]]:
+    """Segments from ``m`` characters on, deletions up to ``m``: those of ``m`` itself have both, for what is one shorter."""
+    return (segment_keys(text, fixed, m, keep) if len(text) >= m else []) + (deletion_keys(text, fixed) if 2 <= len(text) <= m else [])
+
+
 def reading_keys(kind: str, a: str, b: str) -> list[tuple[bool, str]]:
-    """The keys of a reading: (a intact, segments of b) and (b intact, segments of a)."""
+    """The keys of a reading: (a intact, segments or deletions of b) and (b intact, those of a)."""
     if kind == "zh":
-        return segment_keys(a, "z", 5, 3) if len(a) >= 5 else []
-    out = []
-    if len(a) >= 4:
-        out += segment_keys(a, f"a\x01{b}", 4, 2)
-    if len(b) >= 4:
-        out += segment_keys(b, f"b\x01{a}", 4, 2)
-    return out
+        return part_keys(a, "z", 5, 3)
+    return part_keys(a, f"a\x01{b}", 4, 2) + part_keys(b, f"b\x01{a}", 4, 2)
 
 
 def _numbers(text: str) -> list[str]:
