@@ -258,6 +258,13 @@ def test_short_parts_are_proposed(a, at, ch, how, kind):
     assert {v for _, v in x} & index(y) or {v for _, v in y} & index(x)
 
 
+def test_components_say_when_they_are_not_whole(spark):
+    edges = spark.createDataFrame([(f"a{i:02}", f"a{i + 1:02}") for i in range(25)], "u string, v string")
+    with pytest.raises(RuntimeError):
+        graph.components(edges, rounds=1)
+    assert {r.component for r in graph.components(edges).collect()} == {"a00"}
+
+
 def test_components(spark):
     random.seed(2)
     edges = [(f"a{i}", f"a{i + 1}") for i in range(25)] + [("hub", f"h{i}") for i in range(40)] + [("x", "x"), (None, "y"), ("p", "q"), ("p", "q")]
