@@ -103,6 +103,7 @@ def r15_l2_top_k(spark, d):
 
 @query()
 def j10_many_queries(spark, d):
+    """The best hits of four entities. Only a handful of searches at once is meant: they are broadcast and compared with every row."""
     v = table(spark, d, "vectors").filter(V.usable(F.col("embedding"), 64))
     queries = v.filter("collection = 'entities'").dropDuplicates(["id"]).orderBy("id").limit(4).select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
     return rank.top_k_each(v, "entities", queries, P.entity_topk, P.entity_threshold).withColumn("score", F.round("score", 6))

@@ -125,6 +125,7 @@ def c25_safe_text(spark, d):
 
 @query()
 def c24_context(spark, d):
+    """The context of five chunks: one text of a few sections is meant, not of a whole table."""
     x = model(spark, d, "kb_chunks").orderBy("id").limit(5)
     return rank.context_text(x.select((F.row_number().over(Window.orderBy("id")) - 1).alias("pos"), "heading", "content", F.lit("source").alias("source_name"), F.lit(0.5).alias("score")))
 
