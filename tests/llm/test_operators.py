@@ -219,6 +219,15 @@ def test_segments_find_every_edit(a, at, ch, how):
     assert {v for _, v in x} & index(y) or {v for _, v in y} & index(x)
 
 
+def test_formulas_of_any_length():
+    long = "a + b - " * 1000 + "c"
+    for formula in (f"${long}$", f"$${long}$$", f"\\[{long}\\]", f"\\({long}\\)"):
+        assert p7._MATH.fullmatch(formula) and p7.kinds(f"So {formula} holds") == ["latex"]
+    assert p7._MATH.fullmatch("\\[ a \\\\[2pt] b \\]")
+    for open_mark in ("\\[ ", "\\( ", "$ ", "$$ x ", "$x "):
+        p7.kinds(open_mark * 20000)
+
+
 def test_variants_are_linked(spark):
     rows = [
         ("1", "person", "Elizabeth Rizorhelmo", "auditor, Quenby"), ("2", "person", "Rizorhelmo, E.C.", "auditor at Quenby"), ("3", "person", "Liz Rizorheelmo", None), ("4", "person", "Samuel Rizorhelmo", "treasurer, Quenby"),

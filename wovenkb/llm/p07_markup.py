@@ -44,8 +44,9 @@ _BLOCKS = re.compile(
 )
 _BLOCK_KIND = {"fence": "markdown", "pre": "html", "code": "html", "source": "wiki", "nowiki": "wiki", "verbatim": "latex"}
 
-_INLINE_MATH = r"(?<![\\$\w])\$(?=[^\s$])(?:[^$\n\\]|\\.){1,300}?(?<!\s)\$(?![\d$])"
-_MATH = re.compile(r"\$\$(?:[^$]|\\\$){1,2000}?\$\$|\\\[.{1,2000}?\\\]|\\\(.{1,500}?\\\)|" + _INLINE_MATH + r"|\\begin\{(?P<menv>equation|align|gather|multline|displaymath)\*?\}.*?\\end\{(?P=menv)\*?\}", re.S)
+# Formulas of any length: none goes on over the beginning of another, so that unclosed ones are scanned once.
+_INLINE_MATH = r"(?<![\\$\w])\$(?=[^\s$])(?:[^$\n\\]|\\.)+?(?<!\s)\$(?![\d$])"
+_MATH = re.compile(r"\$\$(?:[^$\\]|\\.)+?\$\$|\\\[(?:(?!(?<!\\)\\\[).)+?\\\]|\\\((?:(?!(?<!\\)\\\().)+?\\\)|" + _INLINE_MATH + r"|\\begin\{(?P<menv>equation|align|gather|multline|displaymath)\*?\}.*?\\end\{(?P=menv)\*?\}", re.S)
 _LATEX = re.compile(r"\\(?:begin|end)\{|\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{|\\(?:" + "|".join(_COMMANDS.split()) + r")(?![a-zA-Z])|(?<=[\d\w])\\[%&]")
 # Each pattern of Markdown with a character without which it can't match.
 _MARKDOWN = tuple((c, re.compile(p, re.M)) for c, p in (
