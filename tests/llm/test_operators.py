@@ -307,6 +307,28 @@ def test_markup_cleaning():
     assert p7.clean("plain *") == "plain *" and p7.clean(None) is None
 
 
+def test_shared_marks_go_to_the_kind_that_scores():
+    assert p7.kinds("== Notes ==\n\nText.\n\n# ''one''\n# ''two''\n\n # set in\n") == ["wiki"]
+    assert p7.kinds("# Head\n\nText with [[a link]] of another kind.") == ["markdown", "wiki"]
+    assert p7.clean("== H ==\n\n# one\n# two\n** deep\n\n code x") == "## H\n\n1. one\n2. two\n  - deep\n\n```\ncode x\n```"
+
+
+def test_markup_of_any_length_and_depth():
+    formula = "$$" + "x+" * 5_000 + "y$$"
+    assert p7.kinds(formula) == ["latex"] and formula in p7.clean(f"See {formula} there.")
+    nested = "w"
+    for _ in range(10):
+        nested = "\\textbf{\\emph{" + nested + "}}"
+    assert p7.clean(nested) == "w" and p7.clean("\\textbf{open \\emph{x}") == "\\textbf{open x"
+
+
+def test_boilerplate_paths_fall_under_the_threshold():
+    long = "A paragraph with many words, and marks; it goes on and on. It has text enough to be content, surely."
+    page = f"<div><p>{long}</p><div>Copyright</div><ul><li><a href='x'>home</a></li><li><a href='y'>more</a></li></ul><h2>Head</h2><ul><li>item</li></ul></div>"
+    assert p7.clean(page).split("\n") == [long, "", "## Head", "", "- item"]
+    assert p7.clean("<div>only</div><div>short</div>").split() == ["only", "short"]
+
+
 def test_markup_frames(spark):
     df = spark.createDataFrame([("a", None), ("b", ""), (None, "<b>x</b>"), ("c", "x" * 100_000), ("c", "x" * 100_000)], "id string, content string").selectExpr("*", "1 as markup")
     assert sorted((r.id or "", tuple(r.markup)) for r in p7.clean_markup(df).collect()) == [("", ("html",)), ("a", ()), ("b", ()), ("c", ()), ("c", ())]

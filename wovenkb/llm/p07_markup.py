@@ -1,9 +1,13 @@
 """Markup residue in text documents.
 
-Method: tag-path ratios for pages of HTML: text length and punctuation are aggregated for each path from the
-root, smoothed over neighbouring nodes, fused, and paths under a threshold are left out as navigation. Around
-it stand converters for HTML, Markdown, wiki and LaTeX markup that keep headings, lists, code blocks, tables
-and formulas in one plain notation. Code blocks and formulas are taken out first and put back unchanged.
+Method: tag-path ratios. A document is read as nodes, each with its path from the root: the elements of HTML, and
+likewise the headings, lists, links, tables, commands and formulas of Markdown, wiki and LaTeX. Text length and
+punctuation are aggregated for each path, smoothed over neighbouring nodes and fused to one score. The scores decide
+what a document holds: marks that two kinds of markup share (``#`` and ``*`` at the beginning of a line, lines set in by
+a blank) belong to the kind whose own paths score higher, and the kinds of all paths that then have a score are
+reported. In pages of HTML they also decide what is content: paths under a threshold are left out as boilerplate.
+Converters bring what stays to one plain notation that keeps headings, lists, code blocks, tables and formulas; code
+blocks and formulas are taken out first and put back unchanged.
 """
 
 from __future__ import annotations
@@ -48,21 +52,21 @@ _BLOCK_KIND = {"fence": "markdown", "pre": "html", "code": "html", "source": "wi
 _INLINE_MATH = r"(?<![\\$\w])\$(?=[^\s$])(?:[^$\n\\]|\\.)+?(?<!\s)\$(?![\d$])"
 _MATH = re.compile(r"\$\$(?:[^$\\]|\\.)+?\$\$|\\\[(?:(?!(?<!\\)\\\[).)+?\\\]|\\\((?:(?!(?<!\\)\\\().)+?\\\)|" + _INLINE_MATH + r"|\\begin\{(?P<menv>equation|align|gather|multline|displaymath)\*?\}.*?\\end\{(?P=menv)\*?\}", re.S)
 _LATEX = re.compile(r"\\(?:begin|end)\{|\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{|\\(?:" + "|".join(_COMMANDS.split()) + r")(?![a-zA-Z])|(?<=[\d\w])\\[%&]")
-# Each pattern of Markdown with a character without which it can't match.
-_MARKDOWN = tuple((c, re.compile(p, re.M)) for c, p in (
-    ("#", r"^ {0,3}#{1,6}[ \t]+\S"),
-    ("**", r"(?<![*\\])\*\*(?=[^\s*])[^*\n]*[^\s*]\*\*"),
-    ("__", r"(?<![_\w])__(?=[^\s_])[^_\n]*[^\s_]__(?!\w)"),
-    ("~~", r"~~(?=[^\s~])[^~\n]+~~"),
-    ("](", r"!?\[[^\]\[\n]+\]\([^()\s]+(?:\s+\"[^\"\n]*\")?\)"),
-    ("`", r"(?<!`)`[^`\n]+`(?!`)"),
-    ("---", r"^ {0,3}\|?[ \t]*:?-{3,}:?[ \t]*\|[-:| \t]*$"),
-    (">", r"^> +\S"),
-    ("*", r"(?<![*\w\\])\*(?=[^\s*])[^*\n]*[^\s*]\*(?![*\w])"),
-    ("_", r"(?<![_\w\\{}$^])_(?=[^\s_])[^_\n]*[^\s_]_(?!\w)"),
-    ("]:", r"^\[[^\]\n]+\]:[ \t]*\S+"),
+# The marks of Markdown: a character without which the pattern can't match, its name in paths, and the pattern.
+_MARKDOWN = tuple((c, name, re.compile(p, re.M)) for c, name, p in (
+    ("**", "strong", r"(?<![*\\])\*\*(?=[^\s*])[^*\n]*[^\s*]\*\*"),
+    ("__", "strong", r"(?<![_\w])__(?=[^\s_])[^_\n]*[^\s_]__(?!\w)"),
+    ("~~", "struck", r"~~(?=[^\s~])[^~\n]+~~"),
+    ("](", "link", r"!?\[[^\]\[\n]+\]\([^()\s]+(?:\s+\"[^\"\n]*\")?\)"),
+    ("`", "code", r"(?<!`)`[^`\n]+`(?!`)"),
+    ("---", "table", r"^ {0,3}\|?[ \t]*:?-{3,}:?[ \t]*\|[-:| \t]*$"),
+    (">", "quote", r"^> +\S[^\n]*"),
+    ("*", "emphasis", r"(?<![*\w\\])\*(?=[^\s*])[^*\n]*[^\s*]\*(?![*\w])"),
+    ("_", "emphasis", r"(?<![_\w\\{}$^])_(?=[^\s_])[^_\n]*[^\s_]_(?!\w)"),
+    ("]:", "link", r"^\[[^\]\n]+\]:[ \t]*\S+"),
 ))
-_STARS = re.compile(r"^ {0,3}[*+][ \t]+\S", re.M)
+_HASH = re.compile(r"^( {0,3})#{1,6}[ \t]+(\S[^\n]*)", re.M)
+_STARS = re.compile(r"^ {0,3}[*+][ \t]+(\S[^\n]*)", re.M)
 _UNDERLINE = re.compile(r"\n(={3,}|-{3,})[ \t]*(?=\n|\Z)")
 _NO_HEADING = re.compile(r"[ \t]*(?:[-*+>#|=]|\d+[.)])|[ \t]*$")
 
@@ -78,35 +82,109 @@ def _underlined(text: str) -> list[tuple[int, re.Match]]:
     return out
 
 
-_WIKI = re.compile(r"\[\[[^\[\]\n]+\]\]|\{\{[^{}\n]+\}\}|'''?(?=[^\s'])[^\n]*?'''?|^={2,6}[^=\n].*?={2,6}[ \t\r]*$|^\{\||^\|\}|^\|-+[ \t]*$|__(?:TOC|NOTOC|NOEDITSECTION)__|\[https?://\S+ [^\]\n]+\]", re.M)
+_WIKI = re.compile(
+    r"(?P<link>\[\[[^\[\]\n]+\]\])|(?P<template>\{\{[^{}\n]+\}\})|(?P<emphasis>'''?(?=[^\s'])[^\n]*?'''?)|(?P<heading>^={2,6}[^=\n].*?={2,6}[ \t\r]*$)"
+    r"|(?P<table>^\{\||^\|\}|^\|-+[ \t]*$)|(?P<switch>__(?:TOC|NOTOC|NOEDITSECTION)__)|(?P<address>\[https?://\S+ [^\]\n]+\])",
+    re.M,
+)
+#: Paths that structure lines, as opposed to marks inside a line.
+_STRUCTURE = frozenset(("wiki/heading", "wiki/table", "markdown/heading", "markdown/table", "markdown/quote", "markdown/block"))
 
+#: A node is (where it begins, its path, its text).
+Node = tuple[int, str, str]
 
-def kinds(text: str | None) -> list[str]:
-    """The kinds of markup that a text holds, in the order of KINDS. What stands inside a code block counts for nothing."""
-    if not text:
-        return []
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
-    found: set[str] = set()
 
-    def out(m: re.Match) -> str:
-        found.add(_BLOCK_KIND[m.lastgroup if m.lastgroup in _BLOCK_KIND else next(k for k in _BLOCK_KIND if m[k] is not None)])
-        return "\n"
+def mark_nodes(text: str) -> tuple[list[Node], list[Node]]:
+    """The marked-up nodes of a text (with normal line ends) in their order: those whose kind is certain, and those
+    whose marks Markdown and wiki share. What stands inside a code block gives no node, the block itself one."""
+    sure: list[Node] = []
+
+    def seen(pattern: re.Pattern, path: str, fill: str = " "):
+        def one(m: re.Match) -> str:
+            sure.append((m.start(), path, m[0]))
+            return fill * len(m[0])
+
+        return pattern.sub(one, text)
+
+    def block(m: re.Match) -> str:
+        kind = _BLOCK_KIND[m.lastgroup if m.lastgroup in _BLOCK_KIND else next(k for k in _BLOCK_KIND if m[k] is not None)]
+        sure.append((m.start(), f"{kind}/block", m[0]))
+        return "\n" * len(m[0])
 
     if "```" in text or "~~~" in text or "<" in text or "\\begin" in text:
-        text = _BLOCKS.sub(out, text)
-    if ("<" in text and (_TAG.search(text) or _DECLARATION.search(text))) or ("&" in text and _ENTITY.search(text)):
-        found.add("html")
-        text = _ENTITY.sub(" ", _TAG.sub(" ", _DECLARATION.sub(" ", text)))
+        text = _BLOCKS.sub(block, text)
+    if "<" in text:
+        stack: list[str] = []
+        text = seen(_DECLARATION, "html/declaration")
+        last = None
+        for m in _TAG.finditer(text):  # a tag's node is the text up to the next tag
+            if last is not None:
+                sure.append((last.start(), "html/" + "/".join(stack), text[last.end() : m.start()]))
+            _walk(stack, m)
+            last = m
+        if last is not None:
+            sure.append((last.start(), "html/" + "/".join(stack), text[last.end() :]))
+            text = _TAG.sub(lambda m: " " * len(m[0]), text)
+    if "&" in text:
+        text = seen(_ENTITY, "html/entity")
     if "$" in text or "\\" in text:
-        if _MATH.search(text) or _LATEX.search(text):
-            found.add("latex")
-            text = _MATH.sub(" ", text)
-    if "'" in text or "[" in text or "{" in text or "=" in text or "_" in text:
-        if _WIKI.search(text):
-            found.add("wiki")
-    if any(c in text and p.search(text) for c, p in _MARKDOWN) or _underlined(text) or (not found & {"wiki", "latex"} and _STARS.search(text)):
-        found.add("markdown")
-    return [k for k in KINDS if k in found]
+        held = text
+        text = seen(_MATH, "latex/formula")
+        for m in _LATEX.finditer(held):
+            sure.append((m.start(), "latex/" + m[0].strip("\\{"), m[0]))
+    for m in _WIKI.finditer(text) if any(c in text for c in "'[{=_") else ():
+        sure.append((m.start(), f"wiki/{m.lastgroup}", m[0]))
+    for c, name, p in _MARKDOWN:
+        if c in text:
+            sure += [(m.start(), f"markdown/{name}", m[0]) for m in p.finditer(text)]
+    sure += [(begin, "markdown/heading", text[begin : m.start()]) for begin, m in _underlined(text)]
+    shared: list[Node] = []
+    if "#" in text:
+        hashes = list(_HASH.finditer(text))
+        for i, m in enumerate(hashes):
+            near = (i > 0 and hashes[i - 1].end() + 1 == m.start()) or (i + 1 < len(hashes) and hashes[i + 1].start() == m.end() + 1)
+            shared.append((m.start(), "set in" if m[1] else "run" if near else "line", m[2]))
+    if "*" in text or "+" in text:
+        shared += [(m.start(), "star", m[1]) for m in _STARS.finditer(text)]
+    return sorted(sure), shared
+
+
+def kind_scores(sure: list[Node]) -> dict[str, tuple[float, float]]:
+    """(score of all its paths, score of those that structure lines) of each kind of markup."""
+    total: dict[str, tuple[float, float]] = {}
+    for path, score in path_scores([(path, text or " ", 0) for _, path, text in sure], links=False).items():
+        a, b = total.get(kind := path.partition("/")[0], (0.0, 0.0))
+        total[kind] = (a + score, b + score * (path in _STRUCTURE))
+    return total
+
+
+def analyse(text: str) -> tuple[list[str], str]:
+    """The kinds of markup in a text, in the order of KINDS, and whether shared marks are "wiki" or "markdown".
+
+    A line with ``#`` is a heading of Markdown unless wiki structures the text; one among others, or set in, is an
+    item (or code) of wiki if wiki has the higher score. Stars are items of the kind that is there; in plain text and beside
+    HTML alone they count as Markdown.
+    """
+    if not any(c in text for c in _ANY):
+        return [], "markdown"
+    sure, shared = mark_nodes(text)
+    scores = kind_scores(sure)
+    wiki, own = scores.get("wiki", (0.0, 0.0)), scores.get("markdown", (0.0, 0.0))
+    for _, shape, words in shared:
+        if (shape == "line" and not wiki[1] > own[1]) or (shape in ("run", "set in") and not wiki[0] > own[0]) or (shape == "star" and "wiki" not in scores and "latex" not in scores):
+            a, b = scores.get("markdown", (0.0, 0.0))
+            scores["markdown"] = (a + len(words), b + len(words))
+    owner = "wiki" if wiki[0] > scores.get("markdown", (0.0, 0.0))[0] else "markdown"
+    return [k for k in KINDS if k in scores and scores[k][0] > 0], owner
+
+
+#: A text without any of these has no markup.
+_ANY = ("<", "&", "$", "\\", "#", "*", "_", "~", "[", "`", "---", "===", ">", "{", "''", "==", "+", "|")
+
+
+def kinds(text: str | None) -> list[str]:
+    """The kinds of markup that a text holds, in the order of KINDS."""
+    return analyse(text.replace("\r\n", "\n").replace("\r", "\n"))[0] if text else []
 
 
 # Conversion
@@ -119,15 +197,13 @@ class _Kept:
         self.parts: list[str] = []
 
     def put(self, text: str) -> str:
-        self.parts.append(text)
+        self.parts.append(self.back(text))  # so no part holds another
         return f"\ue000{len(self.parts) - 1}\ue001"
 
     def back(self, text: str) -> str:
-        for _ in range(3):
-            if "\ue000" not in text:
-                break
-            text = re.sub("\ue000(\\d+)\ue001", lambda m: self.parts[int(m[1])] if int(m[1]) < len(self.parts) else m[0], text)
-        return text
+        if "\ue000" not in text:
+            return text
+        return re.sub("\ue000(\\d+)\ue001", lambda m: self.parts[int(m[1])] if int(m[1]) < len(self.parts) else m[0], text)
 
 
 def _fenced(body: str, info: str = "") -> str:
@@ -157,54 +233,75 @@ _BLOCK_TAGS = frozenset("p div section article header footer nav aside main ul o
 _VOID = frozenset("br hr img input meta link".split())
 
 
-def path_scores(nodes: list[tuple[str, str, bool]]) -> dict[str, float]:
-    """Fused score of each tag path from (path, text, inside a link) nodes: text length and punctuation a node,
-    smoothed over the neighbouring nodes of the page, weighed by the share outside links."""
+def _walk(stack: list[str], m: re.Match) -> None:
+    """Take one tag into the stack of open elements; elements that end where the next of their kind begins are closed."""
+    tag = m[2].lower()
+    if m[1]:
+        if tag in stack:
+            del stack[len(stack) - 1 - stack[::-1].index(tag) :]
+    elif tag not in _VOID and not m[3].endswith("/"):
+        if tag in ("li", "tr", "td", "th", "p") and tag in stack[-2:]:
+            del stack[len(stack) - 1 - stack[::-1].index(tag) :]
+        stack.append(tag)
+
+
+def path_scores(nodes: list[tuple[str, str, int]], links: bool = True) -> dict[str, float]:
+    """Fused score of each path from (path, text, block) nodes: text length and punctuation a node, smoothed over the
+    neighbouring nodes of the same block, and with ``links`` weighed by the share that stands outside links."""
     n = len(nodes)
-    length = [float(len(t.strip())) for _, t, _ in nodes]
-    marks = [float(sum(t.count(c) for c in ",.;:!?，。；：！？、")) for _, t, _ in nodes]
-    smooth = lambda x: [sum(w * x[j] for j, w in ((i - 1, 1), (i, 2), (i + 1, 1)) if 0 <= j < n) / 4 for i in range(n)]
-    length_s, marks_s = smooth(length), smooth(marks)
+    length = [float(max(1, len(t.strip()))) for _, t, _ in nodes]
+    marks = [float(sum(map(t.count, ",.;:!?，。；：！？、"))) for _, t, _ in nodes]
+
+    def smooth(x: list[float]) -> list[float]:
+        near = [[(x[j], w) for j, w in ((i - 1, 1), (i, 2), (i + 1, 1)) if 0 <= j < n and nodes[j][2] == nodes[i][2]] for i in range(n)]
+        return [sum(v * w for v, w in own) / sum(w for _, w in own) for own in near]
+
     total: dict[str, list[float]] = {}
-    for (path, _, link), a, b, own in zip(nodes, length_s, marks_s, length):
+    for (path, _, _), a, b, own in zip(nodes, smooth(length), smooth(marks), length):
         x = total.setdefault(path, [0.0, 0.0, 0.0, 0.0, 0.0])
         x[0] += a
         x[1] += b
         x[2] += 1
-        x[3] += own * link
+        x[3] += own * (links and "a" in path.split("/"))
         x[4] += own
-    return {p: (x[0] / x[2]) * (1 + x[1] / x[2]) * (1 - x[3] / x[4] if x[4] else 0) for p, x in total.items()}
+    return {p: (x[0] / x[2]) * (1 + x[1] / x[2]) * (1 - x[3] / x[4]) for p, x in total.items()}
+
+
+#: A path is content with this share of the best path's score; headings, cells, items and quotations are short by nature
+#: and are content unless all their text stands in links.
+CONTENT = 0.05
+_SHORT = frozenset("h1 h2 h3 h4 h5 h6 li dt dd td th caption blockquote figcaption title p".split())
+
+
+def content_paths(nodes: list[tuple[str, str, int]]) -> set[str]:
+    """The paths that are content, by their scores."""
+    scores = path_scores(nodes)
+    least = CONTENT * max(scores.values(), default=0.0)
+    return {p for p, s in scores.items() if s >= least or (s > 0 and _SHORT & set(p.split("/")) and "nav" not in p.split("/")) or ("a" in p.split("/") and "p" in p.split("/"))}
 
 
 def _from_html(text: str, kept: _Kept) -> str:
     text = _SKIPPED.sub("\n", _DECLARATION.sub("", text))
-    pieces: list[tuple[str, str | None, str]] = []  # (path, tag or None for text, text)
+    pieces: list[tuple[str, str | None, str, int]] = []  # (path, tag or None for text, text, block)
     stack: list[str] = []
-    at = 0
+    at = block = 0
     for m in _TAG.finditer(text):
         if m.start() > at:
-            pieces.append(("/".join(stack), None, text[at : m.start()]))
+            pieces.append(("/".join(stack), None, text[at : m.start()], block))
         at = m.end()
-        tag, close = m[2].lower(), bool(m[1])
-        pieces.append(("/".join(stack), ("/" if close else "") + tag, m[3]))
-        if close:
-            if tag in stack:
-                del stack[len(stack) - 1 - stack[::-1].index(tag) :]
-        elif tag not in _VOID and not m[3].endswith("/"):
-            if tag in ("li", "tr", "td", "th", "p") and tag in stack[-2:]:
-                del stack[len(stack) - 1 - stack[::-1].index(tag) :]
-            stack.append(tag)
+        tag = m[2].lower()
+        block += tag in _BLOCK_TAGS or tag in ("li", "td", "th")
+        pieces.append(("/".join(stack), ("/" if m[1] else "") + tag, m[3], block))
+        _walk(stack, m)
     if at < len(text):
-        pieces.append(("/".join(stack), None, text[at:]))
-    scores = path_scores([(p, t, "a" in p.split("/")) for p, tag, t in pieces if tag is None and t.strip()])
-    top = max(scores.values(), default=0.0)
-    drop = {p for p, s in scores.items() if s < 0.001 * top and ("nav" in p.split("/") or ("a" in p.split("/") and {"ul", "li", "header", "footer", "aside"} & set(p.split("/")) and not any(k in p for k in ("p", "h1", "h2", "td"))))}
+        pieces.append(("/".join(stack), None, text[at:], block))
+    content = content_paths([(p, t, b) for p, tag, t, b in pieces if tag is None and t.strip()])
     out: list[str] = []
     lists: list[list] = []
     row: list[str] | None = None
-    for path, tag, t in pieces:
+    for path, tag, t, _ in pieces:
         if tag is None:
-            if path not in drop:
+            if path in content or not t.strip():
                 out.append(t)
             continue
         name = tag.lstrip("/")
@@ -234,13 +331,34 @@ def _from_html(text: str, kept: _Kept) -> str:
             out.append("\n")
         elif name in _BLOCK_TAGS:
             out.append("\n\n")
-    return html.unescape("".join(out)).replace("\xa0", " ")
+    plain = re.sub(r"(?m)^[ \t]*(?:-|\d+\.)[ \t]*\n(?=[ \t]*(?:-|\d+\.|\n|\Z))", "", "".join(out))  # items whose text was left out
+    return html.unescape(plain).replace("\xa0", " ")
 
 
 _LATEX_DROP = re.compile(r"\\(?:documentclass|usepackage|bibliographystyle|bibliography|label|vspace|hspace|pagestyle|setlength|newcommand)\*?(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})+|\\(?:noindent|maketitle|tableofcontents|newpage|clearpage|centering|hline|toprule|midrule|bottomrule|bigskip|medskip|smallskip|hfill|vfill|indent|par)(?![a-zA-Z])\s?")
 _HEADS = {"part": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4, "subparagraph": 5}
 
 
+_BRACE = re.compile(r"\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{|\\.|[{}]", re.S)
+
+
+def _unbraced(text: str) -> str:
+    """Without commands around braces, to any depth: their text stays. One pass; braces that don't close stay as they are."""
+    open_: list[re.Match] = []
+    gone: list[tuple[int, int]] = []
+    for m in _BRACE.finditer(text):
+        if m[0] == "}":
+            if open_ and len((begin := open_.pop())[0]) > 1:
+                gone += [begin.span(), m.span()]
+        elif m[0].endswith("{") and m[0] != "\\{":
+            open_.append(m)
+    out, last = [], 0
+    for a, b in sorted(gone):
+        out.append(text[last:a])
+        last = b
+    return "".join(out) + text[last:]
+
+
 def _from_latex(text: str, kept: _Kept) -> str:
     text = re.sub(r"(?m)(?<!\\)(?<![\d\w])%[^\n]*\n?", "", text) if "\\" in text else text
     text = _LATEX_DROP.sub("", text)
@@ -256,22 +374,24 @@ def _from_latex(text: str, kept: _Kept) -> str:
     text = re.sub(r"~?\\(?:cite|citep|citet|ref|eqref|pageref)\*?(?:\[[^\]\n]*\])*\{[^{}\n]*\}", "", text)
     text = re.sub(r"\\footnote\{([^{}\n]*)\}", r" (\1)", text)
     text = re.sub(r"\\href\{[^{}\n]*\}\{([^{}\n]*)\}", r"\1", text)
-    for _ in range(3):
-        text, n = re.subn(r"\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}", r"\1", text)
-        if not n:
-            break
+    text = _unbraced(text)
     text = re.sub(r"\\([%&$#_{}])", r"\1", text)
     return re.sub(r"(?<=\S)~(?=\S)", " ", text) if "\\" in text else text
 
 
-def _from_wiki(text: str) -> str:
+def _set_in(text: str, kept: _Kept) -> str:
+    """Lines set in by a blank are code in wiki text; a run of them becomes a block."""
+    return re.sub(r"(?m)(?:^ [^\n]*\S[^\n]*(?:\n|\Z))+", lambda m: kept.put(_fenced(re.sub(r"(?m)^ ", "", m[0]))) + "\n", text)
+
+
+def _from_wiki(text: str, lists: bool) -> str:
+    """Plain notation of wiki markup; ``lists``: lines that begin with # are numbered items."""
     text = re.sub(r"\[\[(?:Category|File|Image|分类|文件):[^\[\]\n]*\]\]", "", text)
     text = re.sub(r"\[\[(?:[^\[\]|\n]*\|)*([^\[\]|\n]*)\]\]", r"\1", text)
     text = re.sub(r"\[https?://\S+ ([^\]\n]+)\]", r"\1", text)
     text = re.sub(r"\{\{formula\|([^{}\n]*)\}\}", lambda m: " ".join(m[1].split("|")), text)
     text = re.sub(r"\{\{[^{}\n]*\}\}", "", text)
     text = re.sub(r"'''''|'''|''", "", text)
-    text = re.sub(r"(?m)^(={1,6})[ \t]*(.+?)[ \t]*\1[ \t]*$", lambda m: "#" * len(m[1]) + " " + m[2], text)
 
     def table(m: re.Match) -> str:
         rows, now = [], []
@@ -289,7 +409,18 @@ def _from_wiki(text: str) -> str:
 
     text = re.sub(r"(?ms)^\{\|[^\n]*\n(.*?)^\|\}", table, text)
     text = re.sub(r"__(?:TOC|NOTOC|NOEDITSECTION)__", "", text)
-    return re.sub(r"(?m)^([*#]+)[ \t]+", lambda m: "  " * (len(m[1]) - 1) + "- " if "*" in m[1] else m[0], text)
+    out: list[str] = []
+    numbers: list[int] = []
+    for line in text.split("\n"):
+        m = re.match(r"([*#]+)[ \t]+" if lists else r"(\*+)[ \t]+", line)
+        if m:
+            numbers = (numbers + [0] * len(m[1]))[: len(m[1])]
+            numbers[-1] += 1
+            line = "  " * (len(m[1]) - 1) + (f"{numbers[-1]}. " if m[1][-1] == "#" else "- ") + line[m.end() :]
+        else:
+            numbers = []
+        out.append(line)
+    return re.sub(r"(?m)^(={1,6})[ \t]*(.+?)[ \t]*\1[ \t]*$", lambda m: "#" * len(m[1]) + " " + m[2], "\n".join(out))
 
 
 def _from_markdown(text: str) -> str:
@@ -313,19 +444,21 @@ def clean(text: str | None) -> str | None:
     if not text:
         return text
     text = text.replace("\r\n", "\n").replace("\r", "\n")
-    found = kinds(text)
+    found, owner = analyse(text)
     if not found:
         return text
     kept = _Kept()
     text = _take_blocks(text, kept)
     if "latex" in found or "markdown" in found:
         text = _MATH.sub(lambda m: kept.put(m[0]), text)
+    if owner == "wiki":
+        text = _set_in(text, kept)
     if "html" in found:
         text = _from_html(text, kept)
     if "latex" in found:
         text = _from_latex(text, kept)
     if "wiki" in found:
-        text = _from_wiki(text)
+        text = _from_wiki(text, owner == "wiki")
     if "markdown" in found:
         text = _from_markdown(text)
     text = re.sub(r"[ \t]+\n", "\n", text)
