@@ -228,6 +228,49 @@ def test_formulas_of_any_length():
         p7.kinds(open_mark * 20000)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abc", max_size=9), st.text(alphabet="abc", max_size=9), st.integers(0, 3))
+def test_band_of_any_width(a, b, most):
+    assert p6.distance(a, b, most) == min(_edits(a, b), most + 1)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="abcd", min_size=4, max_size=16), st.integers(1, 3), st.lists(st.tuples(st.sampled_from("ids"), st.integers(0, 15), st.sampled_from("abcd")), max_size=3))
+def test_one_of_k_and_one_segments_stays(a, k, edits):
+    b = a
+    for how, at, ch in edits[:k]:
+        at %= max(1, len(b))
+        b = {"i": b[:at] + ch + b[at:], "d": b[:at] + b[at + 1 :], "s": b[:at] + ch + b[at + 1 :]}[how]
+    if min(len(a), len(b)) <= k:
+        return
+    x, y = p6.shifted_keys(a, "", k), p6.shifted_keys(b, "", k)
+    index = lambda keys: {v for side, v in keys if side}
+    assert {v for side, v in x if not side} & index(y) or {v for side, v in y if not side} & index(x)
+
+
+def test_short_forms_are_learned_from_the_collection():
+    lexicon = p6.Lexicon({"maximilian": 30, "konstantin": 40, "anna": 50, "hannah": 50}, {"fisheries": 40, "breweries": 50, "finance": 30, "inc": 90})
+    assert [lexicon.word(x) for x in ("fshrs", "brwrs", "fin", "ii", "inc", "zzz")] == ["fisheries", "breweries", "finance", "ii", "inc", "zzz"]
+    assert lexicon.roots("maxi") == ["maxi", "maximilian"] and lexicon.roots("konny") == ["konny", "konstantin"] and lexicon.roots("bob") == ["bob", "robert"] and lexicon.roots("anna") == ["anna"]
+    assert p6.typed_alike("rizorhelmo", "konstntin", "rizorhalmo", "konstantin", 2, lexicon) and not p6.typed_alike("rizor", "anna", "rizor", "hanna", 0, lexicon)
+    assert not p6.typed_alike("fund", "breweries ii", "fund", "breweries iii", 2, lexicon)
+
+
+def test_two_edits_are_linked_between_equal_descriptions(spark):
+    rows = [
+        ("1", "person", "Konstanze Uhlenbrockmeier", "pilot, Rye"), ("2", "person", "Konstanze Uhlnbrockmeyer", "pilot, Rye"), ("3", "person", "Konstanzze Uhlenbrokmeier", "pilot at Rye"), ("4", "person", "Konstanze Uhlnbrockmeyrr", "baker, Rye"),
+        ("5", "person", "Konstanze Ehlonbrickmeier", "pilot, Rye"), ("6", "person", "龚骁骐", "驾驶员"), ("7", "person", "龚晓琪", "驾驶员"), ("8", "person", "GONG XIAOQI", None), ("9", "person", "龚骁峻", "驾驶员"), ("10", "person", "Lü Ruihua", None), ("11", "person", "吕瑞桦", None), ("12", "person", "Lv Ruihua", None),
+        *((f"f{i}", "organization", f"{name} Fisheries plc", None) for i, name in enumerate(("Quandorjan", "Wexlebury", "Marrowick", "Tolspinney", "Brackenfold"))), ("20", "organization", "Quandorjan Fshrs", None),
+    ]
+    by = {}
+    for r in p6.link_variants(spark.createDataFrame(rows, "id string, entity_type string, name string, description string"), p5.Model({})).collect():
+        by.setdefault(r["class"], set()).add(r.id)
+    classes = sorted(map(sorted, by.values()))
+    for own in (["1", "2", "3"], ["4"], ["5"], ["6", "7", "8"], ["9"]):
+        assert own in classes
+    assert any({"11", "12"} <= set(c) for c in classes) and any({"f0", "20"} <= set(c) for c in classes)
+
+
 def test_variants_are_linked(spark):
     rows = [
         ("1", "person", "Elizabeth Rizorhelmo", "auditor, Quenby"), ("2", "person", "Rizorhelmo, E.C.", "auditor at Quenby"), ("3", "person", "Liz Rizorheelmo", None), ("4", "person", "Samuel Rizorhelmo", "treasurer, Quenby"),

@@ -1,16 +1,20 @@
 """Variant spellings of names typed by people.
 
-Method: the pigeonhole segment join. Each name is read as a distinctive part and a rest; one of the two holds
-at most one edit and the other none. The part with the edit is cut into segments of which at least two (or
-three of five) stay intact; those, at shifted positions too, are looked up in an inverted index, and a banded
-edit distance verifies what it proposes. Before that names are brought to readings that know titles, legal
-forms, abbreviations, nicknames, order and homophones; initials and shortened names are linked afterwards
-to the one entity they can mean. Links become classes by connected components.
+Method: the pigeonhole segment join. Each name is read as a distinctive part and a rest. Names with k edits are
+proposed by cutting a part into segments of which some stay intact, whatever the k edits hit: those are looked up, at
+shifted positions too, in an inverted index, and a banded edit distance verifies what it proposes. Two edits are allowed
+between names of equal descriptions (three segments of the distinctive part, one of them intact); one edit between all
+(four segments, two of them intact, and the other part whole, which keeps the groups of common words small).
+
+Before that names are brought to readings that know titles, legal forms, order, homophones and the collection's own
+words: a rare word that shortens a common word of the collection is read as that word. Initials and shortened names are
+linked afterwards to the one entity they can mean. Links become classes by connected components.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -21,40 +25,34 @@ from pyspark.sql import functions as F
 from . import common, graph
 from .p05_lookalike import Model, _model, canonicalize
 
-# Short forms of English given names.
+# Short forms of English given names that no rule gives (``shortens`` knows the regular ones).
 NICKNAMES = {
-    "alexandra": "alex lexi sandra sasha", "amara": "mara", "anthony": "tony ant", "beatriz": "bea trixie", "benjamin": "ben benny benji", "charles": "charlie chuck chas",
-    "deborah": "deb debbie debby", "dmitri": "dima mitya", "edward": "ed eddie ned ted", "eleanor": "ellie nell nora elly", "elizabeth": "liz lizzie beth betty betsy eliza libby", "frederick": "fred freddie freddy",
-    "gabriella": "gabby gabi ella", "harold": "hal harry", "ingrid": "inga", "james": "jim jimmy jamie", "josephine": "jo josie", "katherine": "kate kathy katie kat kit",
-    "leonard": "len lenny leo", "margaret": "peggy maggie meg marge peg madge", "michael": "mike mick mickey", "nicholas": "nick nicky", "patricia": "pat patty trish tricia", "rebecca": "becky becca",
-    "richard": "dick rick rich richie", "robert": "bob bobby rob robbie", "samuel": "sam sammy", "susannah": "sue susie suzy susan", "theodore": "ted teddy theo", "victoria": "vicky vicki tori",
-    "william": "bill billy will liam", "zachary": "zach zack zak",
-    "john": "jack johnny", "thomas": "tom tommy", "joseph": "joe joey", "andrew": "andy drew", "daniel": "dan danny", "matthew": "matt", "christopher": "chris kit", "david": "dave davy", "jennifer": "jen jenny", "catherine": "cathy cat",
+    "abigail": "gail", "adelaide": "addie della", "agnes": "nessie", "albert": "bert", "alexander": "sandy sasha xander lex", "alexandra": "sasha sandra lexi", "alfred": "fred", "alice": "ally", "amelia": "millie", "andrew": "drew",
+    "ann": "nancy nan", "anthony": "tony", "arabella": "bella", "archibald": "baldie", "augustus": "gus", "barbara": "babs bobbie", "bartholomew": "bart", "beatrice": "trixie", "beatriz": "trixie", "bernard": "bernie", "bridget": "biddy",
+    "caroline": "carrie lina", "catherine": "kate kathy kitty kit katie", "cecilia": "cissy celia", "charles": "chuck chas charley", "charlotte": "lottie", "christina": "tina", "christopher": "kit topher", "clarence": "clay", "constance": "connie",
+    "cordelia": "delia", "daniel": "danny", "david": "davy", "deborah": "debbie", "dmitri": "dima mitya", "dorothy": "dot dolly", "edmund": "ned ted", "edward": "ted ned teddy", "edwin": "ned", "eleanor": "nell nora nellie", "elizabeth": "betty betsy liz libby bess",
+    "emily": "millie", "ernest": "ernie", "esther": "hetty", "eugene": "gene", "florence": "flossie", "frances": "fanny", "francis": "frank", "franklin": "frank", "geoffrey": "jeff", "george": "dod", "gerald": "jerry", "gertrude": "trudy", "gilbert": "bert",
+    "harold": "hal harry", "helen": "nell ellie", "henrietta": "hetty etta", "henry": "harry hank hal", "herbert": "bert", "hubert": "bert", "isabella": "bella", "james": "jim jimmy", "jane": "jenny", "janet": "jessie", "jeffrey": "geoff", "jeremiah": "jerry",
+    "jerome": "jerry", "joanna": "nan", "john": "jack johnny", "jonathan": "nathan", "joseph": "joe", "josephine": "jo josie fina", "julia": "jill", "katherine": "kit kitty kate", "kenneth": "ken", "lawrence": "larry", "leonard": "len lenny", "louise": "lulu", "lucille": "lucy",
+    "margaret": "peggy meg maggie daisy peg madge rita", "martha": "patty mattie", "mary": "molly polly", "matilda": "tilly", "matthew": "matty", "mercedes": "sadie", "michael": "mike mick micky", "mildred": "milly", "nathaniel": "nat", "nicholas": "nick klaus", "oliver": "noll",
+    "olivia": "livvy", "patricia": "trish patsy", "patrick": "paddy pat", "penelope": "nell", "philip": "pip flip", "prudence": "prue", "rachel": "shelly", "raymond": "ray", "rebecca": "becky becca", "reginald": "rex", "richard": "dick rick", "robert": "bob bobby", "rosemary": "romy",
+    "rudolph": "dolph", "samantha": "sammie", "sarah": "sally sadie", "sigmund": "ziggy", "sophia": "sukie", "stephen": "steve", "susan": "sukey", "susannah": "sue suzy", "theodore": "ted teddy", "theresa": "tess", "thomas": "tom", "timothy": "tim", "veronica": "ronnie",
+    "victoria": "vicky vicki tori", "vincent": "vinny", "virginia": "ginger ginny", "walter": "wat", "wilhelmina": "mina billie", "william": "bill billy liam", "winifred": "freddie", "zachary": "zak",
 }
 
-# Titles, legal forms and abbreviations.
+# Titles and legal forms.
 TITLES = frozenset("mr mrs ms miss dr prof professor sir dame madam mx hon rev eng".split())
 LEGAL = frozenset("ltd limited inc incorporated corp corporation plc gmbh llc llp lp co company ag sa bv nv pty".split())
-ABBREVIATIONS = {
-    "inds": "industries", "ind": "industries", "tech": "technologies", "techs": "technologies", "svcs": "services", "svc": "services", "ptnrs": "partners", "ptnr": "partners", "mfg": "manufacturing",
-    "grp": "group", "gp": "group", "hldgs": "holdings", "hldg": "holdings", "intl": "international", "int'l": "international", "chem": "chemicals", "chems": "chemicals", "pkg": "packaging", "pkgg": "packaging",
-    "ins": "insurance", "cap": "capital", "ship": "shipping", "shpg": "shipping", "frt": "freight", "sw": "software", "soft": "software", "text": "textiles", "txtl": "textiles", "cer": "ceramics", "opt": "optics",
-    "pharm": "pharma", "eng": "energy", "nrg": "energy", "robo": "robotics", "lsg": "leasing", "leas": "leasing", "min": "mining", "tmbr": "timber", "fds": "foods", "dry": "dairy", "assoc": "associates", "bros": "brothers", "mgmt": "management",
-}
 ZH_TITLES = re.compile("(先生|女士|小姐|经理|总经理|总监|博士|教授|老师|主任|总)$")
 ZH_LEGAL = re.compile("(股份有限公司|有限责任公司|有限公司|集团公司|公司|集团)$")
 
-# Pinyin of characters that are common in names, for homophones and for names written in Latin letters.
-PINYIN = {
-    py: chars
-    for py, chars in (x.split(":") for x in (
-        "an:安 bei:蓓贝 bo:博伯 cai:蔡 cao:曹 chen:晨辰陈 cheng:诚程成 chuan:川 chun:春椿淳 da:达答 dai:戴 deng:邓 ding:丁 dong:董冬东 du:杜 fan:帆凡范 fang:方航芳 feng:丰冯锋峰 fu:傅 guo:郭 "
-        "han:涵晗韩 hang:航杭 hao:浩皓 heng:衡恒 hui:慧惠 jia:佳嘉贾 jiang:蒋 jing:静婧 jun:俊峻 kai:凯铠 ke:柯珂 lan:兰岚 lang:朗琅 li:立力 lin:林 ling:翎玲 lu:卢 lv:吕 mao:茂 miao:苗淼 min:敏闽 ming:明鸣 ni:霓妮 ning:宁凝 "
-        "pan:潘 peng:彭芃鹏 qi:琪琦 qin:秦 qun:群 ran:然冉 ren:任 rong:榕蓉 rui:芮瑞 ruo:若偌 shao:韶 shen:沈 shi:石 shu:书舒 shuang:霜双 si:思 song:松嵩 su:苏 tang:棠堂唐 tian:田 ting:婷 tong:同童 "
-        "wang:汪 wei:魏 wen:文纹 xi:曦 xia:夏 xiao:晓筱 xin:昕欣 xu:许 xuan:萱宣轩 xue:薛 xun:勋勛 ya:雅亚 yan:阎 yao:姚 ye:叶野冶 yu:余宇羽 yuan:袁远 yue:月悦 ze:泽择 zeng:曾 zhen:珍 zhong:钟 zi:梓子"
-    ).split())
-}
-_SYLLABLE = {ch: py for py, chars in PINYIN.items() for ch in chars} | {"航": "hang"}
+#: A word of this share of all words of its kind of names, and of so many at least, is common; there are at most 1/COMMON.
+COMMON, COMMON_LEAST = 1e-4, 3
+#: How much more frequent a word must be than what shortens it.
+RATIO = 3
+#: A word so many times rarer than another common one may be an error for it.
+ERROR_RATIO = 10
+
 _ROOTS: dict[str, list[str]] = {}
 for _full, _short in NICKNAMES.items():
     for _s in _short.split():
@@ -64,19 +62,87 @@ _HAN = re.compile(r"[㐀-鿿]")
 _ROMAN = re.compile(r"(?:\d+|[ivx]+)$")
 
 
-def _roots(given: str) -> list[str]:
-    return [given, *_ROOTS.get(given, ())]
+def shortens(x: str, word: str) -> bool:
+    """Whether ``x`` is a regular short form of a given name: a piece of it, with or without a diminutive ending."""
+    stem = re.sub("(?:ie|ey|y|i)$", "", x)
+    stem = stem[:-1] if len(stem) > 3 and stem[-1] == stem[-2] else stem
+    return len(word) > len(x) > 1 and any(len(v) > 2 and v in word or len(v) > 1 and word.startswith(v) for v in (x, stem))
+
+
+def abbreviates(x: str, word: str) -> bool:
+    """Whether ``x`` can be an abbreviation: it begins as the word does and holds some of its letters in their order."""
+    rest = iter(word)
+    return len(word) > len(x) + 1 > 2 and x[0] == word[0] and not _ROMAN.match(x) and all(ch in rest for ch in x)
+
+
+class Lexicon:
+    """What the readings know of a collection: its common words, for people and for organisations, and the sound of characters.
+
+    ``sounds`` gives the syllable of a Chinese character, and its syllable as a surname.
+    """
+
+    def __init__(self, people: dict[str, int] | None = None, firms: dict[str, int] | None = None, sounds: dict[str, tuple[str, str]] | None = None) -> None:
+        self.people, self.firms, self.sounds = people or {}, firms or {}, sounds or {}
+        self.known: dict[str, str] = {}
+
+    def roots(self, given: str) -> list[str]:
+        """A given name and what it may be short for."""
+        own = self.people.get(given, 0)
+        regular = [w for w, n in self.people.items() if n >= RATIO * own and w not in TITLES and shortens(given, w)] if len(given) > 1 else []
+        return list(dict.fromkeys([given, *_ROOTS.get(given, ()), *sorted(regular)]))
+
+    def word(self, x: str) -> str:
+        """The common word that a word of an organisation's name abbreviates, or the word itself."""
+        if x not in self.known:
+            own, bare = self.firms.get(x, 0), x.replace("'", "")
+            found = [(not w.startswith(bare), -n, w) for w, n in self.firms.items() if n >= RATIO * own and w != x and w not in LEGAL and len(bare) > 1 and abbreviates(bare, w)]
+            if len(self.known) > 200_000:  # a bounded memory, not a bound on the words
+                self.known.clear()
+            self.known[x] = min(found)[2] if found else x
+        return self.known[x]
+
+    def both_words(self, x: str, y: str) -> bool:
+        """Whether two different words are both words of their own: common, and neither so much rarer that it may be an error."""
+        a, b = (max(self.people.get(w, 0), self.firms.get(w, 0)) for w in (x, y))
+        return min(a, b) * ERROR_RATIO > max(a, b)
+
+
+def pinyin(spark: SparkSession) -> dict[str, tuple[str, str]]:
+    """The syllable of each Chinese character, and as a surname: the public transliteration data that Spark brings along."""
+    if not _SOUNDS:
+        chars = [chr(c) for c in range(0x3400, 0xA000)]
+        kinds = spark._jvm.com.ibm.icu.text.Transliterator
+        ways = [kinds.getInstance(k).transliterate("\n".join(chars)).split("\n") for k in ("Han-Latin", "Han-Latin/Names; Han-Latin")]
+        plain = lambda x: "".join(ch for ch in unicodedata.normalize("NFD", x.strip()) if not unicodedata.combining(ch) or ch == "\u0308").replace("u\u0308", "ü")
+        _SOUNDS.update({ch: (plain(a), plain(b)) for ch, a, b in zip(chars, *ways)})
+    return _SOUNDS
 
 
-def person_readings(name: str) -> list[tuple[str, str, str]]:
+_SOUNDS: dict[str, tuple[str, str]] = {}
+
+
+def fit_lexicon(nodes: DataFrame) -> Lexicon:
+    """The lexicon of (entity_type, _c): words are counted over all names; what is collected has a bound, see COMMON."""
+    kind = F.lower(F.trim("entity_type"))
+    words = nodes.select(kind.alias("t"), F.explode(F.split(F.regexp_replace("_c", r"[.,()（）]", " "), r"\s+")).alias("w")).filter("length(w) > 1 and w rlike '[a-z]'").groupBy("t", "w").agg(F.count("*").alias("n"))
+    total = words.groupBy("t").agg(F.sum("n").alias("_all"))
+    rows = words.join(F.broadcast(total), "t").filter(F.col("n") >= F.greatest(F.lit(COMMON_LEAST), F.lit(COMMON) * F.col("_all"))).collect()
+    return Lexicon({r.w: r.n for r in rows if r.t == "person"}, {r.w: r.n for r in rows if r.t != "person"}, pinyin(nodes.sparkSession))
+
+
+def person_readings(name: str, lexicon: Lexicon) -> list[tuple[str, str, str]]:
     """(kind, a, b) of a folded person's name. Kinds: full (a surname, b given), initial and its whole form, latin and zh for pinyin."""
     if _HAN.search(name):
         core = re.sub(r"\(.*?\)|\s+", "", name)
         core = ZH_TITLES.sub("", core) if len(core) > 2 else core
         if not core:
             return []
-        syllables = [_SYLLABLE.get(ch, ch) for ch in core]
-        return [("same", core[0], "".join(syllables[1:])), ("of_latin", "".join(syllables[:1]), "".join(syllables[1:]))]
+        given = "".join(lexicon.sounds.get(ch, (ch, ch))[0] for ch in core[1:])
+        out = [("same", core[0], given)]
+        for surname in dict.fromkeys(lexicon.sounds.get(core[0], (core[0], core[0]))):
+            for u in ("u", "v") if "ü" in surname + given else ("u",):
+                out.append(("of_latin", surname.replace("ü", u), given.replace("ü", u)))
+        return out
     name = re.sub(r"\(.*?\)", " ", name)
     comma = "," in name
     parts = [re.sub(r"[^\w'’ -]", " ", p.replace(".", " ")).split() for p in name.split(",")]
@@ -94,7 +160,7 @@ def person_readings(name: str) -> list[tuple[str, str, str]]:
             continue
         words = [g for g in given if len(g) > 1]
         if words:
-            for root in _roots(words[0]):
+            for root in lexicon.roots(words[0]):
                 out.append(("full", surname, " ".join([root, *words[1:]])))
                 out.append(("of_initial", surname, root[0]))
             out.append(("latin", surname, "".join(words).replace("-", "")))
@@ -103,7 +169,7 @@ def person_readings(name: str) -> list[tuple[str, str, str]]:
     return out
 
 
-def organization_readings(name: str) -> list[tuple[str, str, str]]:
+def organization_readings(name: str, lexicon: Lexicon) -> list[tuple[str, str, str]]:
     """(kind, a, b) of a folded organisation's name. Kinds: full (a first word, b the rest), short and its whole form."""
     place = re.search(r"[(（](.*?)[)）]", name)
     name = re.sub(r"[(（].*?[)）]", " ", name).strip()
@@ -128,7 +194,7 @@ def organization_readings(name: str) -> list[tuple[str, str, str]]:
         t = t[1:]
     while len(t) > 1 and t[-1] in LEGAL:
         t = t[:-1]
-    t = [ABBREVIATIONS.get(x, x) for x in t]
+    t = [lexicon.word(x) for x in t]
     if not t:
         return []
     out = [("full", t[0], " ".join(t[1:]))]
@@ -151,6 +217,30 @@ def within_one(a: str, b: str) -> bool:
     return x[1:] == y[1:] or x == y[1:] or x[1:] == y or (len(x) > 1 and len(y) > 1 and x[0] == y[1] and x[1] == y[0] and x[2:] == y[2:])
 
 
+def distance(a: str, b: str, most: int) -> int:
+    """Edit distance (insertion, deletion, substitution, swap of neighbours) in a band of that width; ``most`` + 1 if it is more."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    if a == b or most == 1:
+        return 0 if a == b else 2 - within_one(a, b)
+    far = most + 1
+    before: list[int] = []
+    last = [j if j <= most else far for j in range(len(b) + 1)]
+    for i, x in enumerate(a, 1):
+        now = [far] * (len(b) + 1)
+        if i <= most:
+            now[0] = i
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):
+            v = min(last[j - 1] + (x != b[j - 1]), last[j] + 1, now[j - 1] + 1)
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == b[j - 1]:
+                v = min(v, before[j - 2] + 1)
+            now[j] = min(v, far)
+        if min(now) >= far:
+            return far
+        before, last = last, now
+    return last[-1]
+
+
 def _layout(length: int, m: int) -> list[tuple[int, int]]:
     return [(length * i // m, length * (i + 1) // m) for i in range(m)]
 
@@ -173,6 +263,19 @@ def segment_keys(text: str, fixed: str, m: int, keep: int) -> list[tuple[bool, s
     return list(dict.fromkeys(out))
 
 
+def shifted_keys(text: str, fixed: str, k: int) -> list[tuple[bool, str]]:
+    """(index side, key) for k edits: of k + 1 segments one stays intact. The index has a text's own segments; a text looks
+    for the segments of texts that are up to k shorter, at the places to which edits before and behind can move them."""
+    n, out = len(text), []
+    for i, (lo, hi) in enumerate(_layout(n, k + 1)):
+        out.append((True, f"{fixed}\x01{n}\x01{i}\x01{text[lo:hi]}"))
+    for size in range(max(k + 1, n - k), n + 1):
+        for i, (lo, hi) in enumerate(_layout(size, k + 1)):
+            for at in range(max(0, lo - i, lo + n - size - (k - i)), min(n - hi + lo, lo + i, lo + n - size + (k - i)) + 1):
+                out.append((False, f"{fixed}\x01{size}\x01{i}\x01{text[at : at + hi - lo]}"))
+    return list(dict.fromkeys(out))
+
+
 def deletion_keys(text: str, fixed: str) -> list[tuple[bool, str]]:
     """Keys of a text that is too short for segments: itself and, from three characters on, itself without one of them.
 
@@ -198,6 +301,28 @@ def _numbers(text: str) -> list[str]:
     return [t for t in text.split() if _ROMAN.match(t)]
 
 
+#: Edits between names of equal descriptions, in all and in a part of less than LONG letters. Of Chinese characters, each of
+#: which is a syllable, one may differ.
+EDITS, EDITS_SHORT, LONG = 2, 1, 8
+
+
+def typed_alike(a: str, b: str, a2: str, b2: str, most: int, lexicon: Lexicon) -> bool:
+    """Whether two readings differ by at most ``most`` edits that may be typing errors: numbers are equal, and no common
+    word of the collection stands for another."""
+    if _numbers(a) != _numbers(a2) or _numbers(b) != _numbers(b2):
+        return False
+    left = most
+    for x, y in ((a, a2), (b, b2)):
+        n = distance(x, y, min(left, most if min(len(x), len(y)) >= LONG else EDITS_SHORT)) if left or x == y else left + 1
+        left -= n
+        if left < 0 or (n and min(len(x), len(y)) < LONG and n > EDITS_SHORT):
+            return False
+        u, v = x.split(), y.split()
+        if n and len(u) == len(v) and any(p != q and lexicon.both_words(p, q) for p, q in zip(u, v)):
+            return False
+    return True
+
+
 def described(desc: Column) -> Column:
     """The description as a hint: lower case, with place and role joined in one way; empty is null."""
     x = F.regexp_replace(F.lower(F.trim(desc)), r"\s*(,| at | in )\s*", "|")
@@ -218,12 +343,16 @@ def link_variants(entities: DataFrame, model: Model, id_col: str = "id", type_co
     hint = described(F.col("description"))
     nodes = named.filter("length(_c) > 0").groupBy("node", "entity_type", "_c").agg(F.min(hint).alias("d"), F.max(hint).alias("_d2")).withColumn("d", F.when(F.col("d") == F.col("_d2"), F.col("d"))).drop("_d2")
 
+    nodes = common.checkpoint(nodes)
+    sent = entities.sparkSession.sparkContext.broadcast(fit_lexicon(nodes))
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = sent.value
         for df in batches:
             out = []
             for node, t, c, d in df[["node", "entity_type", "_c", "d"]].itertuples(index=False):
                 f = person_readings if t.strip().lower() == "person" else organization_readings
-                out += [(node, t, d, *r) for r in dict.fromkeys(f(c))]
+                out += [(node, t, d, *r) for r in dict.fromkeys(f(c, lexicon))]
             yield pd.DataFrame(out, columns=["node", "t", "d", "kind", "a", "b"])
 
     readings = common.checkpoint(nodes.mapInPandas(read, "node string, t string, d string, kind string, a string, b string"))
@@ -265,10 +394,7 @@ def link_variants(entities: DataFrame, model: Model, id_col: str = "id", type_co
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            ok = [
-                (x.l_a == x.r_a or x.l_b == x.r_b) and within_one(x.l_a, x.r_a) and within_one(x.l_b, x.r_b) and _numbers(x.l_b) == _numbers(x.r_b) and _numbers(x.l_a) == _numbers(x.r_a)
-                for x in df.itertuples(index=False)
-            ]
+            ok = [(x.l_a == x.r_a or x.l_b == x.r_b) and typed_alike(x.l_a, x.l_b, x.r_a, x.r_b, 1, sent.value) for x in df.itertuples(index=False)]
             yield df[ok].set_axis([*key, "a2", "b2"], axis=1)
 
     pairs = common.checkpoint(near.mapInPandas(verify, "t string, kind string, a string, b string, a2 string, b2 string"))
@@ -280,6 +406,32 @@ def link_variants(entities: DataFrame, model: Model, id_col: str = "id", type_co
     other = ends.select("t", "kind", F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("_told").alias("_told2"), F.col("u").alias("v"))
     untold = pairs.join(ends, key).join(other, ["t", "kind", "a2", "b2"]).filter("not (_told and _told2)").select("u", "v")
     fuzzy = fuzzy.unionByName(untold).filter("u != v").distinct()
+    # Two edits between readings of equal descriptions: segments of the distinctive part, looked up among those.
+    told = common.checkpoint(edited.filter("d is not null and kind = 'full'").groupBy(*key, "d").agg(F.min("node").alias("node")))
+    width = ["node", "kind", "a", "b"]
+
+    def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for df in batches:
+            out = []
+            for t, kind, a, b, d, node in df[["t", "kind", "a", "b", "d", "node"]].itertuples(index=False):
+                if len(a) >= LONG - EDITS:
+                    out += [(xxhash.xxh64_intdigest(k) - (1 << 63), side, node, kind, a, b) for side, k in shifted_keys(a, f"{t}\x01{kind}\x01{d}", EDITS)]
+            yield pd.DataFrame(out, columns=["key", "side", *width])
+
+    cut = told.mapInPandas(segments, "key bigint, side boolean, node string, kind string, a string, b string")
+    seek = cut.select("key", "side", *(F.col(c).alias("l_" + c) for c in width))
+    held = cut.filter("side").select("key", *(F.col(c).alias("r_" + c) for c in width))
+    apart = F.struct("l_a", "l_b") != F.struct("r_a", "r_b")
+    two_off = seek.filter("not side").drop("side").join(held, "key").filter((F.col("l_kind") == F.col("r_kind")) & apart & (F.abs(F.length("l_b") - F.length("r_b")) <= EDITS)).drop("key").distinct()
+
+    def verify_two(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            ok = [typed_alike(x.l_a, x.l_b, x.r_a, x.r_b, EDITS, sent.value) for x in df.itertuples(index=False)]
+            yield df.loc[ok, ["l_node", "r_node"]].set_axis(["u", "v"], axis=1)
+
+    fuzzy = fuzzy.unionByName(two_off.mapInPandas(verify_two, "u string, v string").filter("u != v"))
     one = graph.components(links.unionByName(fuzzy))
 
     # Initials, short names and Latin spellings: to the only class of a whole form that they can mean.
