@@ -61,6 +61,29 @@ def test_split_frames(spark):
     assert p1.split_chunks(df.limit(0)).count() == 0
 
 
+def test_split_frames_by_tokens_and_bytes(spark):
+    text = "Größe und Maß. " * 40 + "文字的长度不同。" * 30
+    df = spark.createDataFrame([("a", text), ("b", None), ("c", "")], "id string, content string")
+    for lengths, limit, overlap in ((p1.token_lengths(), 60, 8), (p1.byte_lengths, 120, 20)):
+        own = lengths(text)
+        assert own.sum() == (len(p8._encoder("byte_bpe_50k", p8.VOCABULARY_DIR).encode_ordinary(text)) if limit == 60 else len(text.encode()))
+        pieces = sorted((r.piece, r.start_at, r.end_at) for r in p1.split_pieces(df, limit=limit, overlap=overlap, lengths=lengths).filter("id = 'a'").collect())
+        assert pieces[0][1] == 0 and pieces[-1][2] == len(text) and all(own[a:b].sum() <= limit for _, a, b in pieces)
+        assert all(a < c <= b and own[c:b].sum() <= overlap for (_, a, b), (_, c, _) in zip(pieces, pieces[1:]))
+
+
+def test_ranks_of_a_document_without_old_ranks_are_running(spark):
+    rows = [(f"{i:03}", "d" if i % 3 else None, None if i % 2 else 7, "x" * (100 + 50 * i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, document_id string, rank_index int, content string").selectExpr("*", "cast(null as string) as heading")
+    got: dict = {}
+    for r in p1.split_chunks(df, limit=500, overlap=50).collect():
+        got.setdefault(r.document_id, []).append((r.rank_index, r.chunk_id, r.piece))
+    for own in got.values():
+        assert [k for k, _, _ in sorted(own)] == list(range(len(own)))
+        by_rank = [(7 if int(i) % 2 == 0 else -1, i, k) for _, i, k in sorted(own)]
+        assert by_rank == sorted(by_rank)
+
+
 # 2
 
 
@@ -188,6 +211,26 @@ def test_lookalike_form_depends_on_the_look_alone(text):
     assert model.canonical(text) == model.canonical(other)
 
 
+def test_words_keep_the_script_of_their_other_letters():
+    words = "вода город молоко хорошо слово δρόμος λόγος water model house cope score".split()
+    counts = {}
+    for w in words:
+        for pair, n in p5.bigrams(p5.compatible(w)).items():
+            counts[pair] = counts.get(pair, 0) + n
+    for model in (p5.Model(counts), p5.Model({k: n for k, n in counts.items() if not any("\u0370" <= ch <= "\u03ff" for ch in k)})):
+        for w in words:
+            mixed = "".join({"о": "o", "ο": "о", "o": "ο", "а": "a", "a": "а", "e": "е", "е": "e", "ρ": "p", "c": "с"}.get(ch, ch) for ch in w)
+            assert model.canonical(mixed) == model.canonical(w)
+            if not set(w) <= set("cope score"):
+                assert model.canonical(mixed) == w
+
+
+def test_model_counts_all_neighbours(spark):
+    df = spark.createDataFrame([("вода дом",), ("δρόμος",), (None,), ("",)], "t string")
+    model = p5.fit_model(df, "t")
+    assert model.counts[("д", "а")] == 1 and model.counts[("δ", "ρ")] == 1 and model.canonical("вoдa") == "вода" and model.canonical("δpόμoς") == "δρόμος"
+
+
 # 6
 
 

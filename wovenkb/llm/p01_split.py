@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
@@ -46,11 +47,35 @@ def _combining_before(text: str, at: int, least: int) -> int:
     return back if back > least else at
 
 
+Lengths = Callable[[str], np.ndarray]
+
+
+def byte_lengths(text: str) -> np.ndarray:
+    """UTF-8 bytes of each character."""
+    cp = common.code_points(text)
+    return 1 + (cp > 0x7F).astype(np.int64) + (cp > 0x7FF) + (cp > 0xFFFF)
+
+
+def token_lengths(vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> Lengths:
+    """Tokens of the whole text by a public vocabulary that begin at each character."""
+
+    def lengths(text: str) -> np.ndarray:
+        from . import p08_tokenize as p8
+
+        core = p8._encoder(vocabulary, folder or p8.VOCABULARY_DIR)
+        sizes = [len(x) for x in core.decode_tokens_bytes(core.encode_ordinary(text))]
+        begins = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64) if sizes else np.empty(0, dtype=np.int64)
+        ends = np.cumsum(byte_lengths(text))  # of the characters
+        return np.bincount(np.searchsorted(ends, begins, side="right"), minlength=len(text))[: len(text)]
+
+    return lengths
+
+
 def split_spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP, lengths: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Spans (start, end) that cover the text in order, each of at most ``limit`` units.
 
-    A unit is a character unless ``lengths`` gives the units of each character (tokens, bytes); prefix sums of
-    it are then searched. The strongest boundary kind that leaves a piece at least half full is taken; else the
+    A unit is a character unless ``lengths`` gives the units of each character (tokens, bytes); their prefix sums are
+    what is searched. The strongest boundary kind that leaves a piece at least half full is taken; else the
     weakest boundary at all; else the cut is hard. The next span begins at the first sentence or weaker
     boundary within the overlap before the cut, or exactly the overlap before it. A single character longer
     than the limit stays one piece. The overlap must be less than the limit.
@@ -58,12 +83,17 @@ def split_spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP, lengths:
     if overlap >= limit:
         raise ValueError("the overlap must be less than the limit")
     n = len(text)
-    total = np.concatenate(([0], np.cumsum(np.ones(n, dtype=np.int64) if lengths is None else lengths))).tolist() if lengths is not None else None
-    size = (lambda a: a) if total is None else (lambda a: total[a])
-    reach = (lambda a, units: a + units) if total is None else (lambda a, units: bisect_right(total, total[a] + units) - 1)
-    back = (lambda a, units: a - units) if total is None else (lambda a, units: bisect_left(total, total[a] - units))
-    if size(n) <= limit:
+    # The prefix sums of ones are the positions themselves, which a range holds without memory.
+    total = range(n + 1) if lengths is None else np.concatenate(([0], np.cumsum(lengths))).tolist()
+    if total[n] <= limit:
         return [(0, n)]
+
+    def reach(at: int, units: int) -> int:
+        return bisect_right(total, total[at] + units) - 1
+
+    def back(at: int, units: int) -> int:
+        return bisect_left(total, total[at] - units)
+
     kinds, spans, start = _boundaries(text), [], 0
     merged = sorted({b for k in kinds[2:] for b in k} | {b for b in kinds[1]})
     while True:
@@ -88,20 +118,31 @@ def split_spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP, lengths:
         start = merged[i] if i < len(merged) and merged[i] < end else earliest
 
 
-def split_pieces(items: DataFrame, id_col: str = "id", content_col: str = "content", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+def split_pieces(items: DataFrame, id_col: str = "id", content_col: str = "content", limit: int = LIMIT, overlap: int = OVERLAP, lengths: Lengths | None = None) -> DataFrame:
     """(id, piece int, n_pieces int, start_at int, end_at int, content) for every row; pieces are substrings of the unchanged content.
 
-    Null content gives one piece with null content, empty content one empty piece. Repeated rows and null ids
-    are kept as they come; other columns are dropped; an empty table gives an empty table. No shuffle.
+    ``lengths`` measures each character (``byte_lengths``, ``token_lengths(...)``); else limit and overlap are
+    characters. Null content gives one piece with null content, empty content one empty piece. Repeated rows and null
+    ids are kept as they come; other columns are dropped; an empty table gives an empty table. No shuffle.
     """
-    rows = items.select(F.col(id_col).alias("_id"), F.col(content_col).cast("string").alias("_text"))
-    id_type = rows.schema["_id"].dataType.simpleString()
+    rows = items.select(F.col(id_col).alias(id_col), F.col(content_col).cast("string").alias("_text"))
+    return _cut(rows, limit, overlap, lengths)
+
+
+def _spans(text: str | None, limit: int, overlap: int, lengths: Lengths | None) -> list[tuple[int, int]]:
+    return [(0, 0)] if text is None else split_spans(text, limit, overlap, None if lengths is None else lengths(text))
+
+
+def _cut(rows: DataFrame, limit: int, overlap: int, lengths: Lengths | None) -> DataFrame:
+    """The rows, whose last column is _text, as pieces with the other columns."""
+    kept = rows.columns[:-1]
+    last = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.text_groups(batches, 1):
+        for batch in common.text_groups(batches, last):
             at, piece, many, start, end, content = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                spans = [(0, 0)] if text is None else split_spans(text, limit, overlap)
+            for i, text in enumerate(batch.column(last).to_pylist()):
+                spans = _spans(text, limit, overlap, lengths)
                 for k, (a, b) in enumerate(spans):
                     at.append(i)
                     piece.append(k)
@@ -109,46 +150,52 @@ def split_pieces(items: DataFrame, id_col: str = "id", content_col: str = "conte
                     start.append(a)
                     end.append(b)
                     content.append(None if text is None else text[a:b])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(x, pa.int32()) for x in (piece, many, start, end)), pa.array(content, pa.string())], names=[id_col, "piece", "n_pieces", "start_at", "end_at", "content"])
-
-    return rows.mapInArrow(run, f"`{id_col}` {id_type}, piece int, n_pieces int, start_at int, end_at int, content string")
-
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(last)), *(pa.array(x, pa.int32()) for x in (piece, many, start, end)), pa.array(content, pa.string())], names=[*kept, "piece", "n_pieces", "start_at", "end_at", "content"])
 
-#: Old ranks that are numbered by one task; a document with more is spread over several.
-RANK_BLOCK = 256
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{own}, piece int, n_pieces int, start_at int, end_at int, content string")
 
 
-def renumber(pieces: DataFrame, group_col: str = "document_id") -> DataFrame:
-    """A running rank_index from 0 per group, by old rank (null first), id and piece.
+def first_ranks(counts: DataFrame) -> DataFrame:
+    """(id, first bigint) of (id, document_id, old_rank, n): the running number of each item's first piece in its
+    document, by old rank (null first) and id. Null documents are one document.
 
-    A group of any size is spread: rows are numbered within blocks of old ranks, and each block's offset is a
-    running sum over the per-block counts, which are aggregated first. Null groups are one group.
+    The rows are sorted into ranges; each task numbers its own range, and what stands before it is a running sum
+    over one row for each range and document. So a document of any size is spread, equal and null ranks too.
     """
-    block = F.floor(F.coalesce(F.col("old_rank"), F.lit(-1)) / F.lit(RANK_BLOCK))
-    x = pieces.withColumn("_block", block)
-    counts = x.groupBy(group_col, "_block").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(group_col).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col(group_col).alias("_g"), F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(group_col, "_block").orderBy(F.col("old_rank").asc_nulls_first(), "chunk_id", "piece")
-    numbered = x.withColumn("_at", F.row_number().over(inside) - 1)
-    joined = numbered.join(offsets, numbered[group_col].eqNullSafe(offsets["_g"]) & (numbered["_block"] == offsets["_b"]))
-    return joined.withColumn("rank_index", (F.col("_offset") + F.col("_at")).cast("bigint")).drop("_block", "_at", "_g", "_b", "_offset")
-
-
-def split_chunks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    order = [F.col("document_id").asc_nulls_first(), F.col("old_rank").asc_nulls_first(), F.col("id")]
+    x = common.checkpoint(counts.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sums = x.groupBy("document_id", "_range").agg(F.sum("n").alias("_sum"))
+    before = Window.partitionBy("document_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col("document_id").alias("_d"), F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("document_id", "_range").orderBy(F.col("old_rank").asc_nulls_first(), "id").rowsBetween(Window.unboundedPreceding, -1)
+    own = x.withColumn("_before", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    joined = own.join(offsets, own["document_id"].eqNullSafe(offsets["_d"]) & (own["_range"] == offsets["_r"]))
+    return joined.select("id", (F.col("_offset") + F.col("_before")).alias("first"))
+
+
+def split_chunks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, lengths: Lengths | None = None) -> DataFrame:
     """Chunks as pieces: (chunk_id, document_id, heading, piece, n_pieces, start_at, end_at, content, rank_index).
 
-    A chunk that occurs again with the same id counts once (they are equal copies; of differing ones the
-    first by content stays). The heading of the chunk goes with each of its pieces.
+    A chunk that occurs again with the same id counts once (they are equal copies; of differing ones that with the
+    least hash of its columns stays); rows without an id are left out. The heading of a chunk goes with each of its
+    pieces. Pieces are numbered on small rows (id and number of pieces), so a text is shuffled once, by its id.
     """
-    first = Window.partitionBy("id").orderBy(F.col("content").asc_nulls_last())
-    keyed = chunks.select("id", "document_id", "heading", F.col("rank_index").alias("old_rank"), "content").dropDuplicates(["id", "document_id", "heading", "old_rank", "content"])
-    once = keyed.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    meta = F.struct("id", "document_id", "heading", "old_rank")
-    pieces = split_pieces(once.select(F.to_json(meta).alias("_meta"), "content"), "_meta", "content", limit, overlap)
-    kind = "id string, document_id string, heading string, old_rank int"
-    wide = pieces.withColumn("_m", F.from_json("_meta", kind)).select(F.col("_m.id").alias("chunk_id"), F.col("_m.document_id").alias("document_id"), F.col("_m.heading").alias("heading"), F.col("_m.old_rank").alias("old_rank"), "piece", "n_pieces", "start_at", "end_at", "content")
-    return renumber(wide).drop("old_rank")
+    rows = chunks.filter("id is not null").select("id", "document_id", F.col("rank_index").alias("old_rank"), "heading", F.col("content").cast("string").alias("_text"))
+    rows = rows.withColumn("_h", F.xxhash64("document_id", "old_rank", "heading", "_text"))
+
+    @F.pandas_udf("bigint")
+    def pieces(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(_spans(t, limit, overlap, lengths)))
+
+    counted = rows.select("id", "document_id", "old_rank", "_h", pieces("_text").alias("n"))
+    one = counted.groupBy("id").agg(F.min(F.struct("_h", "document_id", "old_rank", "n")).alias("_o")).select("id", "_o.*")
+    ranks = first_ranks(one.select("id", "document_id", "old_rank", "n"))
+    least = Window.partitionBy("id").orderBy("_h")
+    once = rows.withColumn("_n", F.row_number().over(least)).filter("_n = 1").join(ranks, "id")
+    cut = _cut(once.select(F.col("id").alias("chunk_id"), "document_id", "heading", "first", "_text"), limit, overlap, lengths)
+    return cut.withColumn("rank_index", F.col("first") + F.col("piece")).drop("first")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

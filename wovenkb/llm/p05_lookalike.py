@@ -33,6 +33,8 @@ _SAME_LOOK = {"<wide>", "<narrow>", "<compat>", "<noBreak>", "<small>", "<initia
 
 #: Cost of a change of script inside a word, weight of single letters beside bigrams, and count of an unseen letter.
 SCRIPT_CHANGE, SINGLE, UNSEEN = 8.0, 5.0, 0.01
+#: Bigrams under this share of all count as unseen, so that a model has at most 1/SHARE of them.
+SHARE = 1e-6
 
 
 def _script(ch: str) -> str:
@@ -40,7 +42,17 @@ def _script(ch: str) -> str:
 
 
 CLASSES: dict[str, tuple[str, ...]] = {ch: (base, *others) for base, others in LOOKALIKES.items() for ch in (base, *others)}
-SCRIPTS = {ch: _script(ch) for ch in CLASSES}
+_ALPHABETS = {_script(ch) for ch in CLASSES}
+SCRIPTS: dict[str, str | None] = {}
+
+
+def script_of(ch: str) -> str | None:
+    """The script of a letter, with look-alikes or without, of one of the alphabets that share looks; else None."""
+    if ch not in SCRIPTS:
+        s = _script(ch) if ch.isalpha() else None
+        SCRIPTS[ch] = s if s in _ALPHABETS else None
+    return SCRIPTS[ch]
+
 
 _FOLD: dict[str, str] = {}
 
@@ -97,9 +109,9 @@ class Model:
         self.words: dict[str, str] = {}
 
     def score(self, a: str, b: str) -> float:
-        """Log weight of b after a, less the penalty if both are look-alike letters of different scripts."""
+        """Log weight of b after a, less the penalty if they are letters of different scripts."""
         s = math.log((self.counts.get((a, b), 0) + SINGLE * (self.letters[b] + UNSEEN) / self.all) / (self.totals[a] + SINGLE))
-        x, y = SCRIPTS.get(a), SCRIPTS.get(b)
+        x, y = script_of(a), script_of(b)
         return s - SCRIPT_CHANGE if x and y and x != y else s
 
     def solve(self, word: str) -> str:
@@ -127,15 +139,17 @@ class Model:
 
 
 def fit_model(texts: DataFrame, text_col: str) -> Model:
-    """Bigram counts over all texts. The result is bounded by the pairs of characters that occur beside look-alike letters."""
+    """Counts over all texts of every bigram in which a letter has look-alikes, its neighbour being any character or a
+    word's edge. What is collected is bounded by SHARE."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
         for df in batches:
             for t in df["_text"].dropna():
                 total.update(bigrams(compatible(t)))
-        yield pd.DataFrame([(a, b, n) for (a, b), n in total.items() if b == "$" or a == "^" or (a in CLASSES and b in CLASSES) or (a.isascii() and b.isascii())], columns=["a", "b", "n"])
+        yield pd.DataFrame([(a, b, n) for (a, b), n in total.items()], columns=["a", "b", "n"])
 
-    rows = texts.select(F.col(text_col).cast("string").alias("_text")).mapInPandas(count, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
+    pairs = texts.select(F.col(text_col).cast("string").alias("_text")).mapInPandas(count, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    rows = pairs.crossJoin(F.broadcast(pairs.agg(F.sum("n").alias("_all")))).filter(F.col("n") >= F.lit(SHARE) * F.col("_all")).collect()
     return Model({(r.a, r.b): r.n for r in rows})
 
 
