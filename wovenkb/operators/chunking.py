@@ -17,7 +17,10 @@ from ..params import IngestParams
 
 CHUNK = "document_id string, source_id string, rank_index int, heading string, content string"
 _SHEET = re.compile(r"(?m)^#{2,3}\s*(?:Sheet|工作表)\s*[:：]\s*(.+?)\s*$|^={3,}\s*(.+?)\s*={3,}\s*$")
-_ROLE = re.compile(r"^#([A-Z_]+)#")
+_ROLE = re.compile(rf"^#({'|'.join(text.ROLES)})#")
+
+# The words of the table form.
+TITLE, FORM, SIGNING, HEADER, TOTAL, COLUMN = "标题: ", "表单: ", "签章: ", "表头: ", "[汇总] ", "列"
 
 
 # Plain text
@@ -166,7 +169,7 @@ def role_rows(rows: str) -> list[tuple[str, list[str]]]:
 
 def format_row(header: list[str], row: list[str]) -> str:
     """name: value lines; empty values and values equal to their name are left out, unnamed columns get their place as name."""
-    named = [(header[i] if i < len(header) and header[i] else f"列{i + 1}", v) for i, v in enumerate(row) if v]
+    named = [(header[i] if i < len(header) and header[i] else f"{COLUMN}{i + 1}", v) for i, v in enumerate(row) if v]
     return "\n".join(f"{n}: {v}" for n, v in named if n != v)
 
 
@@ -181,14 +184,14 @@ def table_chunks(content: str, size: int) -> list[tuple[str, str]]:
         header = parsed[first][1]
         title = next((c for role, cells in parsed if role == "title" for c in cells if c), "")
         join = lambda kind: " | ".join(c for role, cells in parsed if role == kind for c in cells if c)  # noqa: B023, E731
-        before = [f"## {sheet}" if sheet else "", f"标题: {title}" if title else "", f"表单: {join('form')}" if join("form") else "", f"签章: {join('signing')}" if join("signing") else "", "表头: " + " | ".join(h for h in header if h)]
+        before = [f"## {sheet}" if sheet else "", TITLE + title if title else "", FORM + join("form") if join("form") else "", SIGNING + join("signing") if join("signing") else "", HEADER + " | ".join(h for h in header if h)]
         prefix = "\n".join(x for x in before if x) + "\n\n"
         bodies = []
         for role, cells in parsed[first + 1 :]:
             body = format_row(header, cells) if role == "data" else ""
             if body:
                 total = next((c for c in cells if c), "")
-                bodies.append(("[汇总] " if any(w in total for w in text.SUMMARY_WORDS) else "") + body + "\n\n")
+                bodies.append((TOTAL if any(w in total for w in text.SUMMARY_WORDS) else "") + body + "\n\n")
         now, length = [], len(prefix)
         for b in bodies:
             if now and length + len(b) + 1 > size:

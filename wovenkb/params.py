@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-# Types of entities and genres of documents.
+# Types of entities, collections, and the defaults of all parameters.
 ENTITY_TYPES = ("time", "location", "person", "organization", "group", "topic", "work", "product", "action", "metric", "label")
 QUERY_ENTITY_TYPES = tuple(t for t in ENTITY_TYPES if t != "action")
 COLLECTIONS = ("chunks", "event_titles", "event_contents", "event_summaries", "entities")
@@ -53,7 +53,6 @@ class IngestParams:
     table_chunk_size: int = 0
     semantic_percentile: float = 95.0
     strip_html: bool = False
-    normalize_newlines: bool = True
     collapse_spaces: bool = True
     join_lines: bool = True
     protect_lists: bool = True

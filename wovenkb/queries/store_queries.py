@@ -137,10 +137,10 @@ def f8_latest_document(spark, d):
     return store.latest_document(model(spark, d, "kb_documents"), _first_sources(spark, d, 1)[0]).select("id", "title")
 
 
-@query("""SELECT DISTINCT v, CASE WHEN trim(v) = '' THEN NULL WHEN lower(trim(v)) IN ('true', '1', 'on', 'yes') THEN true WHEN lower(trim(v)) IN ('false', '0', 'off', 'no') THEN false ELSE true END AS flag,
-CASE WHEN lower(trim(v)) IN ('completed', 'failed') THEN lower(trim(v)) END AS known FROM (SELECT status AS v FROM kb_documents UNION ALL SELECT * FROM (VALUES ('On'), (' 0 '), (''), ('maybe')) t(v)) WHERE v IS NOT NULL""")
+@query("""SELECT DISTINCT v, CASE WHEN trim(v) = '' THEN NULL WHEN lower(trim(v)) IN ('true', '1', 'on') THEN true WHEN lower(trim(v)) IN ('false', '0', 'off') THEN false ELSE true END AS flag,
+CASE WHEN lower(trim(v)) IN ('completed', 'failed') THEN lower(trim(v)) END AS known FROM (SELECT status AS v FROM kb_documents UNION ALL SELECT * FROM (VALUES ('On'), (' 0 '), (''), ('maybe'), ('yes'), ('No')) t(v)) WHERE v IS NOT NULL""")
 def f9_flags(spark, d):
-    more = spark.createDataFrame([("On",), (" 0 ",), ("",), ("maybe",)], "v string")
+    more = spark.createDataFrame([("On",), (" 0 ",), ("",), ("maybe",), ("yes",), ("No",)], "v string")
     v = table(spark, d, "kb_documents").select(F.col("status").alias("v")).unionByName(more).filter("v is not null").distinct()
     return v.select("v", text.parse_flag(F.col("v"), True).alias("flag"), text.known_or_null(F.col("v"), ("completed", "failed")).alias("known"))
 

@@ -42,7 +42,9 @@ def c2_c21_newlines_checksum(spark, d):
     return _docs(spark, d).select("id", F.md5(F.encode(text.normalize_newlines(F.col("content")), "UTF-8")).alias("lines"), F.md5(F.encode("content", "UTF-8")).alias("checksum"))
 
 
-_C3 = "array_to_string(list_transform(string_split(regexp_replace(content, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \\t\\x{3000}]+', ' ', 'g'), '^ | $', '', 'g')), chr(10))"
+# White space as it is stripped, in the patterns of the SQL.
+_WS = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_C3 = "array_to_string(list_transform(string_split(regexp_replace(content, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \\t\\x{3000}]+', ' ', 'g'), '^" + _WS + "+|" + _WS + "+$', '', 'g')), chr(10))"
 
 
 @query(with_sql("kb_documents") + f" SELECT id, md5({_C3}) AS cleaned FROM m_documents")
@@ -50,21 +52,23 @@ def c3_spaces(spark, d):
     return _docs(spark, d).select("id", F.md5(F.encode(text.collapse_spaces(text.normalize_newlines(F.col("content"))), "UTF-8")).alias("cleaned"))
 
 
-_ITEM = "regexp_matches({x}, '^\\s*(?:[-*+•·]\\s+|\\d+[.)、]\\s*|[一二三四五六七八九十]+、|[（(]\\d+[)）])')"
-_BL = "trim({x}, ' ') = ''"
+def _item(x: str) -> str:
+    return f"regexp_matches({x}, '^{_WS}*(?:[-*+]{_WS}+|[0-9]+[.)]{_WS}+)')"
+
+
 
 
 @query(with_sql("kb_documents") + f""", l AS (SELECT id, string_split({_C3}, chr(10)) AS ls FROM m_documents),
-j AS (SELECT id, array_to_string([(CASE WHEN i = 1 THEN '' WHEN {_BL.format(x='ls[i]')} OR {_BL.format(x='ls[i-1]')} OR {_ITEM.format(x='ls[i]')} OR {_ITEM.format(x='ls[i-1]')} THEN chr(10) ELSE ' ' END) || ls[i] FOR i IN range(1, len(ls) + 1)], '') AS t FROM l)
+j AS (SELECT id, array_to_string([(CASE WHEN i = 1 THEN '' WHEN ls[i] = '' OR ls[i-1] = '' OR {_item('ls[i]')} OR {_item('ls[i-1]')} THEN chr(10) ELSE ' ' END) || ls[i] FOR i IN range(1, len(ls) + 1)], '') AS t FROM l)
 SELECT id, md5(t) AS joined FROM j""")
 def c4_join_lines(spark, d):
     x = text.join_lines(text.collapse_spaces(text.normalize_newlines(F.col("content"))))
     return _docs(spark, d).select("id", F.md5(F.encode(x, "UTF-8")).alias("joined"))
 
 
-@query(with_sql("kb_documents") + " SELECT id, md5(regexp_replace(regexp_replace(content, '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS cleaned FROM m_documents WHERE content NOT LIKE '%' || chr(11) || '%'")
+@query(with_sql("kb_documents") + " SELECT id, md5(regexp_replace(regexp_replace(content, '\\n{3,}', chr(10) || chr(10), 'g'), '^" + _WS + "+|" + _WS + "+$', '', 'g')) AS cleaned FROM m_documents")
 def c6_blank_lines(spark, d):
-    return _docs(spark, d).filter(~F.contains("content", F.lit("\x0b"))).select("id", F.md5(F.encode(text.limit_blank_lines(F.col("content")), "UTF-8")).alias("cleaned"))
+    return _docs(spark, d).select("id", F.md5(F.encode(text.limit_blank_lines(F.col("content")), "UTF-8")).alias("cleaned"))
 
 
 @query()
@@ -113,7 +117,7 @@ def w9_history(spark, d):
     return rank.history(turns, 5)
 
 
-@query(with_sql("kb_documents") + " SELECT id, md5(regexp_replace(content, '(?m)^#[A-Z_]+#', '', 'g')) AS plain FROM m_documents")
+@query(with_sql("kb_documents") + " SELECT id, md5(regexp_replace(content, '(?m)^#(?:TITLE|FORM|SIGNING|GROUP_HEADER|DATA)#', '', 'g')) AS plain FROM m_documents")
 def c19_strip_roles(spark, d):
     return _docs(spark, d).select("id", F.md5(F.encode(text.strip_roles(F.col("content")), "UTF-8")).alias("plain"))
 
