@@ -5,8 +5,9 @@ from __future__ import annotations
 import csv
 import io
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,14 +83,40 @@ def markdown_parts(content: str) -> list[tuple[str, str]]:
     return out
 
 
-def split_documents(documents: DataFrame, p: IngestParams = IngestParams(), mode: str = "auto") -> DataFrame:
+def semantic_parts(content: str, percentile: float, embed: Callable[[list[str]], list[list[float]]]) -> list[str]:
+    """Sentences in parts: a new one begins where the cosine distance to the sentence before is over the document's
+    percentile of these distances. The size of a part has no limit."""
+    own = sentences(content)
+    if len(own) < 3:
+        return [content]
+    x = np.asarray(embed([s.strip() for s in own]), dtype=np.float64)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    gaps = 1 - (x[1:] * x[:-1]).sum(axis=1)
+    edges = [0, *(np.flatnonzero(gaps > np.percentile(gaps, percentile)) + 1).tolist(), len(own)]
+    return ["".join(own[a:b]) if any(s[-1:].isspace() for s in own[a:b]) else _joined(own[a:b]) for a, b in zip(edges, edges[1:])]
+
+
+def _joined(parts: list[str]) -> str:
+    """Sentences put together, with a blank where both ends are Latin."""
+    out = parts[0]
+    for p in parts[1:]:
+        out += (" " if out[-1:].isascii() and p[:1].isascii() else "") + p
+    return out
+
+
+def split_documents(documents: DataFrame, p: IngestParams = IngestParams(), mode: str = "auto", embed: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
     """Chunks of (id, source_id, title, content, file_type): tables by rows, Markdown by sections, else by sentences.
 
-    Blank chunks are left out but keep their number, so rank_index may have gaps. The heading of a chunk is its own,
-    else the last one in the document, else the title. One pass, document by document.
+    With mode "semantic" texts and Markdown are cut where neighbouring sentences are least alike (``embed`` gives their
+    vectors, else hashed words), whatever the chunk size. Blank chunks are left out but keep their number, so rank_index may
+    have gaps. The heading of a chunk is its own, else the last one in the document, else the title. One pass, document by document.
     """
     routed = documents.withColumn("_route", text.route_splitter(F.col("file_type"), mode)).select("id", "source_id", "title", "content", "_route")
 
+    from ..providers import hash_embedding
+
+    model = embed or (lambda texts: [hash_embedding(t) for t in texts])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             out = []
@@ -102,6 +129,8 @@ def split_documents(documents: DataFrame, p: IngestParams = IngestParams(), mode
                     parts = [(h or d.title or "Table", c) for h, c in table_chunks(content, max(512, p.table_chunk_size or p.chunk_size))]
                 elif route == "markdown":
                     parts = [(h, c) for h, s in markdown_parts(content) for c in pack(s.splitlines(keepends=True), p.chunk_size, p.overlap)]
+                elif route == "semantic":
+                    parts = [("", c) for c in semantic_parts(content, p.semantic_percentile, model)]
                 elif route == "token":
                     parts = [("", c) for c in pack(re.findall(r"\S+\s*", content), p.chunk_size, p.overlap)]
                 else:
@@ -122,18 +151,6 @@ def carry_headings(chunks: DataFrame, titles: DataFrame) -> DataFrame:
     return x.join(titles, "document_id", "left").withColumn("heading", F.substring(F.coalesce("_last", F.nullif(F.trim("_title"), F.lit("")), F.lit("Introduction")), 1, 512)).drop("_own", "_last", "_title")
 
 
-def semantic_breaks(sentences: DataFrame, percentile: float = 95.0) -> DataFrame:
-    """(document_id, pos, part) of embedded sentences (document_id, pos, embedding): a new part where the distance to the
-    sentence before is over the document's percentile."""
-    from ..functions import vectors as V
-
-    w = Window.partitionBy("document_id").orderBy("pos")
-    x = sentences.withColumn("_gap", 1 - V.cosine(F.col("embedding"), F.lag("embedding").over(w))).withColumn("_gap", F.when(F.lag("pos").over(w).isNotNull(), F.col("_gap")))
-    cut = x.groupBy("document_id").agg(F.expr(f"percentile(_gap, {percentile / 100})").alias("_cut"))
-    y = x.join(cut, "document_id")
-    return y.withColumn("part", F.sum((F.coalesce(F.col("_gap") > F.col("_cut"), F.lit(False))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).select("document_id", "pos", "part")
-
-
 # Tables
 
 

@@ -6,6 +6,8 @@ needs an action, and hubs are dropped by their degree before the join that they
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -93,6 +95,7 @@ def _scaled(x: DataFrame, col: str) -> DataFrame:
 
 def frontier_scores(frontier: DataFrame, similarity: DataFrame | None, p: SearchParams) -> DataFrame:
     """(entity_id, score and the columns of the frontier): (1 - a) idf + a similarity, both scaled between their winsorised bounds."""
+    similarity = similarity(frontier) if callable(similarity) else similarity
     sim = frontier.withColumn("sim", F.lit(0.0)) if similarity is None else frontier.join(similarity, "entity_id", "left")
     x = sim.withColumn("idf", 1.0 / (1.0 + F.col("degree"))).withColumn("sim", F.greatest(F.coalesce("sim", F.lit(0.0)), F.lit(0.0)))
     x = _scaled(_scaled(x, "idf"), "sim")
@@ -119,7 +122,8 @@ def expand(seeds: DataFrame, links: DataFrame, p: SearchParams, events: DataFram
 
     ``event_similarity`` (event_id, sim) steers: a soft threshold drops events for good; "hopllm" takes the most
     similar as the next seeds and stops after a hop whose best is under ``hop_relevance``; "multi" takes the first by id.
-    A missing similarity is 0. A visited entity or event never counts again.
+    A missing similarity is 0. A visited entity or event never counts again. A similarity is a frame, or a function from
+    the ids that are asked for to a frame (``similarity_of``), so that no others are computed.
     """
     frames = [reuse(seeds.select("event_id").distinct()).withColumn("depth", F.lit(0))]
     seen_events = frames[0].select("event_id")
@@ -131,7 +135,8 @@ def expand(seeds: DataFrame, links: DataFrame, p: SearchParams, events: DataFram
         seen_entities = seen_entities.unionByName(frontier.select("entity_id"))
         found = reuse(store.events_of_entities(frontier.filter("not rejected"), links, events, source_ids, seen_events))
         seen_events = seen_events.unionByName(found)
-        scored = found.withColumn("sim", F.lit(0.0)) if event_similarity is None else found.join(event_similarity, "event_id", "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
+        own = event_similarity(found) if callable(event_similarity) else event_similarity
+        scored = found.withColumn("sim", F.lit(0.0)) if own is None else found.join(own, "event_id", "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
         if p.soft_threshold > 0 and event_similarity is not None:
             scored = scored.filter(F.col("sim") >= p.soft_threshold)
         frames.append(scored.select("event_id", F.lit(hop + 1).alias("depth")))
@@ -155,6 +160,16 @@ def query_similarity(vectors: DataFrame, collection: str, query: Column, id_name
     return x.groupBy("id").agg(F.max(V.cosine(F.col("embedding"), query)).alias("sim")).select(F.col("id").alias(id_name), "sim")
 
 
+def similarity_of(vectors: DataFrame, collection: str, query: Column, id_name: str) -> Callable[[DataFrame], DataFrame]:
+    """The similarity of given ids to one query vector: their vectors are picked first and no others are compared."""
+    x = vectors.filter((F.col("collection") == collection) & F.col("embedding").isNotNull()).select(F.col("id").alias(id_name), "embedding")
+
+    def of(ids: DataFrame) -> DataFrame:
+        return x.join(ids.select(id_name), id_name, "left_semi").groupBy(id_name).agg(F.max(V.cosine(F.col("embedding"), query)).alias("sim"))
+
+    return of
+
+
 def depth_histogram(expanded: DataFrame) -> DataFrame:
     return expanded.groupBy("depth").agg(F.count("*").alias("events"))
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import vectors as V
 from ..params import SearchParams
+from . import store
 
 
-def top_k(vectors: DataFrame, collection: str, query: Column, k: int, threshold: float | None = None, source_ids: list[str] | None = None, document_ids: list[str] | None = None, metric: str = "cosine") -> DataFrame:
+def top_k(vectors: DataFrame, collection: str, query: Column, k: int, threshold: float | None = None, source_ids: list[str] | None = None, document_ids: list[str] | None = None, metric: str = "cosine", unique: bool = False) -> DataFrame:
     """(id, score): the k most similar of a collection, then those over the threshold. Sources and documents filter
-    before scoring, never the entities. orderBy + limit is one partial top-k per task."""
+    before scoring (so no hit is lost to them, and no over-fetch is needed), never the entities. orderBy + limit is one
+    partial top-k per task; where ids are ``unique``, as in the catalog, nothing is shuffled before it."""
     x = vectors.filter(F.col("collection") == collection)
     if collection != "entities":
         if source_ids is not None:
@@ -20,7 +24,8 @@ def top_k(vectors: DataFrame, collection: str, query: Column, k: int, threshold:
         if document_ids is not None:
             x = x.filter(F.col("document_id").isin(document_ids))
     score = V.cosine(F.col("embedding"), query) if metric == "cosine" else V.l2_similarity(F.col("embedding"), query)
-    hits = x.filter(F.size("embedding") == F.size(query)).groupBy("id").agg(F.max(score).alias("score")).filter(~F.isnan("score"))
+    hits = x.filter(F.size("embedding") == F.size(query)).select("id", score.alias("score"))
+    hits = (hits if unique else hits.groupBy("id").agg(F.max("score").alias("score"))).filter(~F.isnan("score"))
     top = hits.orderBy(F.col("score").desc(), "id").limit(k)
     return top if threshold is None else top.filter(F.col("score") >= threshold)
 
@@ -47,9 +52,10 @@ def ordered_union(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def coarse_rank(events: DataFrame, vectors: DataFrame, query: Column, p: SearchParams) -> DataFrame:
     """(event_id, score, pos) by cosine of contents: only scores over 0 (and the threshold), the best ``max_events``.
-    If nothing remains, the first expanded with score 0."""
-    sims = vectors.filter((F.col("collection") == "event_contents") & F.col("embedding").isNotNull()).select(F.col("id").alias("event_id"), V.cosine(F.col("embedding"), query).alias("score")).groupBy("event_id").agg(F.max("score").alias("score"))
-    scored = events.select("event_id").join(sims, "event_id").filter((F.col("score") > 0) & ~F.isnan("score"))
+    If nothing remains, the first expanded with score 0. Only the events' own vectors are scored: they are picked first."""
+    own = vectors.filter((F.col("collection") == "event_contents") & F.col("embedding").isNotNull()).select(F.col("id").alias("event_id"), "embedding").join(events.select("event_id"), "event_id", "left_semi")
+    sims = own.groupBy("event_id").agg(F.max(V.cosine(F.col("embedding"), query)).alias("score"))
+    scored = sims.filter((F.col("score") > 0) & ~F.isnan("score"))
     if p.coarse_threshold > 0:
         scored = scored.filter(F.col("score") >= p.coarse_threshold)
     n = scored.agg(F.count("*").alias("_n"))
@@ -69,6 +75,42 @@ def candidate_idf(degrees: DataFrame, candidates: int) -> DataFrame:
     return raw.crossJoin(F.broadcast(top)).select("entity_id", F.when(F.col("_top") > 0, F.col("_raw") / F.col("_top")).otherwise(0.0).alias("idf"))
 
 
+def question_signals(links: DataFrame, candidates: DataFrame, entity_ids: DataFrame, p: SearchParams) -> DataFrame:
+    """(event_id, entity_id, signal, kind) of the candidates' links to the question's entities: N of the idf is the
+    number of candidates, degrees are counted over all links."""
+    wanted = entity_ids.select("entity_id").distinct()
+    n = candidates.select("event_id").distinct().agg(F.count("*").alias("_cand"))
+    degrees = store.entity_degrees(links, wanted)
+    raw = degrees.crossJoin(F.broadcast(n)).filter("_cand > 0").select("entity_id", F.log(F.col("_cand") / F.greatest("degree", F.lit(1))).alias("_raw"))
+    top = raw.agg(F.max("_raw").alias("_top"))
+    idf = raw.crossJoin(F.broadcast(top)).select("entity_id", F.when(F.col("_top") > 0, F.col("_raw") / F.col("_top")).otherwise(0.0).alias("idf"))
+    own = links.join(candidates.select("event_id"), "event_id", "left_semi").join(wanted, "entity_id", "left_semi")
+    return signals(own, idf, p)
+
+
+def rerank_with(coarse: DataFrame, depths: DataFrame, counts: DataFrame, texts: DataFrame, order: Callable[[list[dict]], list[int]] | None, p: SearchParams) -> DataFrame:
+    """(event_id, score, pos) in the order that a model gives for the candidates.
+
+    ``order`` gets the candidates as dicts (event_id, title, summary, score, adjusted, depth, strong, medium, weak) in coarse
+    order and gives places in that list. There are at most ``rerank_candidates``, so they may come to the driver. Where it is
+    None the offline order holds; where it fails, the coarse one.
+    """
+    if order is None:
+        return rerank(coarse, depths, counts, p)
+    few = coarse.filter(F.col("pos") < p.rerank_candidates)
+    x = few.join(depths, "event_id", "left").join(counts, "event_id", "left").join(texts.select("event_id", "title", "summary"), "event_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    x = x.select("event_id", "title", "summary", "score", decayed(F.col("score"), F.coalesce("depth", F.lit(0)), p).alias("adjusted"), zero("depth"), zero("strong"), zero("medium"), zero("weak"), "pos")
+    rows = [r.asDict() for r in x.orderBy("pos").collect()]
+    try:
+        told = order(rows)
+    except Exception:  # a model that fails leaves the coarse order
+        told = []
+    places = coarse.sparkSession.createDataFrame([(int(i), k) for k, i in enumerate(told)], "index int, at int")
+    ranked = apply_order(few.select(F.col("event_id").alias("id"), "pos"), places, p.rerank_top)
+    return ranked.join(few.select(F.col("event_id").alias("id"), "score"), "id").select(F.col("id").alias("event_id"), "score", F.col("rank").alias("pos"))
+
+
 def signals(links: DataFrame, idf: DataFrame, p: SearchParams) -> DataFrame:
     """(event_id, entity_id, signal, kind): weight times idf as strong, medium or weak."""
     x = links.join(idf, "entity_id", "left").withColumn("signal", F.coalesce("weight", F.lit(0.5)) * F.coalesce("idf", F.lit(0.0)))

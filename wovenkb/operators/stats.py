@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..session import checkpoint
+
 
 def percentile_threshold(values: DataFrame, col: str, pct: float = 95.0) -> DataFrame:
     """Exact percentile with linear interpolation."""
@@ -60,11 +62,22 @@ def degree_threshold(values: DataFrame, col: str, method: str, pct: float = 95.0
 
 
 def winsor_bounds(values: DataFrame, col: str) -> DataFrame:
-    """(lo, hi): least and greatest of fewer than four values, else the order statistics at a tenth and nine tenths."""
-    s = values.agg(F.sort_array(F.collect_list(col)).alias("_s"))  # a frontier: as many values as its budget lets through
-    n = F.size("_s")
-    at = lambda p: F.element_at("_s", (F.floor(n * F.lit(p)) + 1).cast("int"))
-    return s.filter(n > 0).select(F.when(n < 4, F.element_at("_s", 1)).otherwise(at(0.1)).alias("lo"), F.when(n < 4, F.element_at("_s", -1)).otherwise(at(0.9)).alias("hi"))
+    """(lo, hi): least and greatest of fewer than four values, else the order statistics at a tenth and nine tenths.
+
+    Equal values are counted first and the distinct ones sorted into ranges; running sums over one row for each range tell in
+    which range a place lies, and only there the values are numbered. So no task holds the column.
+    """
+    counts = values.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count("*").alias("_c"))
+    x = checkpoint(counts.repartitionByRange("_v").withColumn("_range", F.spark_partition_id()))
+    ranges = x.groupBy("_range").agg(F.sum("_c").alias("_sum"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("_range", "_sum", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"), F.sum("_sum").over(Window.partitionBy()).alias("_n"))
+    n = F.col("_n")
+    asked = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.when(n < 4, few).otherwise(F.floor(n * F.lit(p)) + 1).alias("at")) for k, few, p in (("lo", F.lit(1), 0.1), ("hi", n, 0.9)))))
+    places = ranges.select("_range", "_before", "_sum", asked.alias("a")).filter((F.col("a.at") > F.col("_before")) & (F.col("a.at") <= F.col("_before") + F.col("_sum")))
+    inside = x.withColumn("_upto", F.sum("_c").over(Window.partitionBy("_range").orderBy("_v")))
+    hit = inside.join(F.broadcast(places), "_range").filter((F.col("_before") + F.col("_upto") >= F.col("a.at")) & (F.col("_before") + F.col("_upto") - F.col("_c") < F.col("a.at")))
+    return hit.agg(F.max(F.when(F.col("a.k") == "lo", F.col("_v"))).alias("lo"), F.max(F.when(F.col("a.k") == "hi", F.col("_v"))).alias("hi")).filter("lo is not null")
 
 
 def winsor_scale(value: Column, lo: Column, hi: Column) -> Column:

@@ -32,8 +32,21 @@ def duplicates_of(sources: DataFrame, name: str, md5: str) -> DataFrame:
     return sources.filter((F.col("name") == name) & (F.col("md5") == md5) & (F.col("md5") != "") & F.col("archived_at").isNull())
 
 
+#: Least and greatest size of a page by what is listed.
+PAGES = {"list": (1, 500), "search": (1, 100), "context": (10, 500)}
+
+
+def checked_page(limit: int, offset: int = 0, kind: str = "list") -> tuple[int, int]:
+    """Limit and offset, or an error where they are out of range."""
+    least, most = PAGES[kind]
+    if not least <= limit <= most or offset < 0:
+        raise ValueError(f"a page of {kind} has {least} to {most} rows from a place of 0 on")
+    return limit, offset
+
+
 def list_sources(sources: DataFrame, keyword: str | None = None, archived: bool = False, limit: int = 50, offset: int = 0) -> DataFrame:
     """Newest first, by page; the keyword is taken literally."""
+    limit, offset = checked_page(limit, offset)
     x = sources if archived else sources.filter("archived_at is null")
     if keyword:
         x = x.filter(F.contains("name", F.lit(keyword)))
@@ -42,6 +55,8 @@ def list_sources(sources: DataFrame, keyword: str | None = None, archived: bool
 
 def full_text_search(documents: DataFrame, sources: DataFrame, keyword: str, source_ids: list[str] | None = None, limit: int = 20, around: int = 80) -> DataFrame:
     """Documents of live sources that contain the keyword, newest first, with a snippet."""
+    checked_page(limit, 0, "search")
+    checked_page(around, 0, "context")
     live = sources.filter("archived_at is null").select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
     x = documents.filter(F.contains("content", F.lit(keyword)))
     if source_ids is not None:
@@ -179,9 +194,14 @@ def delete_source(tables: dict[str, DataFrame], source_id: str, document_id: str
     return out
 
 
+def changes(**fields: object) -> dict[str, object]:
+    """The fields that are to be set; empty, hence false, where nothing is."""
+    return {k: v for k, v in fields.items() if v is not None}
+
+
 def update_source(sources: DataFrame, source_id: str, **fields: object) -> DataFrame:
-    """Set the fields that aren't None; with none of them the frame stays as it is."""
-    given = {k: v for k, v in fields.items() if v is not None}
+    """Set the fields that aren't None; with none of them the frame stays as it is (``changes`` tells beforehand)."""
+    given = changes(**fields)
     return sources.withColumns({k: F.when(F.col("id") == source_id, F.lit(v)).otherwise(F.col(k)) for k, v in given.items()}) if given else sources
 
 
@@ -189,10 +209,19 @@ def mark_synced(sources: DataFrame, source_id: str, synced: bool = True) -> Data
     return update_source(sources, source_id, vector_synced=synced)
 
 
-def add_vectors(present: DataFrame, batch: DataFrame) -> DataFrame:
-    """The first of a batch per (collection, id) replaces what is present. ``batch`` has a column pos for its order."""
+def new_vectors(present: DataFrame, batch: DataFrame, present_ids: str = "replace") -> DataFrame:
+    """The first of a batch per (collection, id); with "skip" only those that aren't present. ``batch`` has a column pos for its order."""
+    if present_ids not in ("replace", "skip"):
+        raise ValueError(f"unknown way {present_ids}")
     first = latest(batch, ["collection", "id"], [F.col("pos")]).drop("pos")
-    return present.join(first, ["collection", "id"], "left_anti").unionByName(first)
+    return first.join(present, ["collection", "id"], "left_anti") if present_ids == "skip" else first
+
+
+def add_vectors(present: DataFrame, batch: DataFrame, present_ids: str = "replace") -> DataFrame:
+    """What is present with a batch: rows of the batch replace those with their ids, or ("skip") leave them as they are."""
+    first = new_vectors(present, batch, present_ids)
+    kept = present if present_ids == "skip" else present.join(first, ["collection", "id"], "left_anti")
+    return kept.unionByName(first)
 
 
 def delete_vectors(vectors: DataFrame, source_id: str, document_id: str | None = None, entity_ids: DataFrame | None = None) -> DataFrame:
@@ -224,6 +253,19 @@ def repair_orphans(vectors: DataFrame, table_ids: DataFrame, collection: str, dr
     return vectors.filter(F.col("collection") != collection).unionByName(own)
 
 
+def reconcile_samples(index_ids: DataFrame, table_ids: DataFrame, limit: int = 10) -> DataFrame:
+    """(kind, id): the first ids by name of those in the index only ("orphan") and in the table only ("missing")."""
+    a, b = index_ids.select("id").distinct(), table_ids.select("id").distinct()
+    first = lambda x, kind: x.orderBy("id").limit(limit).select(F.lit(kind).alias("kind"), "id")
+    return first(a.join(b, "id", "left_anti"), "orphan").unionByName(first(b.join(a, "id", "left_anti"), "missing"))
+
+
+def rows_of_hashes(hashes: DataFrame, rows: DataFrame, live: bool = False) -> DataFrame:
+    """Rows by the numeric ids (numeric_id) of an index; with ``live`` those that aren't deleted."""
+    x = rows.withColumn("numeric_id", numeric_id(F.col("id")))
+    return (x.filter("deleted_at is null") if live else x).join(hashes.select("numeric_id").distinct(), "numeric_id", "left_semi")
+
+
 def numeric_id(column: Column) -> Column:
     """Signed 64-bit id of a string id."""
     return F.xxhash64(column)

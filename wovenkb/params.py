@@ -40,6 +40,7 @@ class SearchParams:
     decay: float = 0.6
     sections: int = 5
     fusion: str = "concat"  # or "supplement"
+    history_rounds: int = 5
     seed_recall: str = "mixed"  # title, summary
 
 
@@ -61,3 +62,6 @@ class IngestParams:
     summary_chars: int = 500
     embed_summary: bool = True
     strip_roles: bool = True
+    genre_detect: bool = True
+    parallel: bool = False
+    retries: int = 2

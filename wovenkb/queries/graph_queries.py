@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import expand, rank, stats, store
 from ..params import SearchParams
-from ..session import table
+from ..session import checkpoint, table
 from .tables import model, with_sql
 
 Q: dict = {}
@@ -56,7 +56,7 @@ e2 AS (SELECT DISTINCT event_id FROM b WHERE entity_id IN (SELECT entity_id FROM
 x AS (SELECT event_id, 0 AS depth FROM seeds UNION ALL SELECT event_id, 1 FROM e1 UNION ALL SELECT event_id, 2 FROM e2)
 SELECT event_id, depth, round(pow(0.6, depth), 6) AS score, o_orderpriority AS priority FROM x JOIN orders ON o_orderkey = event_id""")
 def g3_related_orders(spark, d):
-    b = order_bridge(spark, d)
+    b = checkpoint(order_bridge(spark, d))  # each hop reads the links
     seeds = b.select("event_id").distinct().orderBy("event_id").limit(5)
     x = expand.expand(seeds, b.select("event_id", "entity_id"), replace(P, degree_method="none", strategy="multi"))
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_orderpriority").alias("priority"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,23 +34,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; only where none is named (tests) a temporary one, kept for the session."""
+    """The shared folder that the session names. Only a local session may do without one and gets a temporary folder, kept
+    for the session; on a cluster, where executors would write what no one else can read, that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not named:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = set_dir.get() if set_dir.isDefined() else tempfile.mkdtemp(prefix="wovenkb-")
+        if set_dir.isDefined():
+            named = set_dir.get()
+        elif re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            named = tempfile.mkdtemp(prefix="wovenkb-")
+        else:
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+_MADE: ContextVar[list | None] = ContextVar("wovenkb_made", default=None)
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Delete at the end what checkpoints are written inside; what is to last must be read or written out before."""
+    made: list[DataFrame] = []
+    mark = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(mark)
+        for df in made:
+            discard(df)
+
+
+def checkpoint(df: DataFrame, lasting: bool = False) -> DataFrame:
     """Cut the lineage with a table written to the shared folder: it survives the loss of an executor, the rows are
-    computed once (an RDD checkpoint computes them twice), and later plans start at a plain scan."""
+    computed once (an RDD checkpoint computes them twice), and later plans start at a plain scan. A ``lasting`` one is
+    not deleted with the other tables of ``temporary``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/wovenkb/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._wovenkb_path = path
+    made = _MADE.get()
+    if made is not None and not lasting:
+        made.append(out)
     return out
 
 

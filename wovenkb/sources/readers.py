@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -89,51 +91,128 @@ def load_text(spark: SparkSession, content: str, title: str = "") -> DataFrame:
     return spark.createDataFrame([(None, title, content, None, "txt", None)], LOADED)
 
 
+#: For a part of a table the rows that go and those that stay.
+Rewrite = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+
+
+class Conflict(RuntimeError):
+    """Another writer has published since the version that a change was made from."""
+
+
 class Catalog:
-    """The stored tables as parquet under one folder, in versions: a pointer names the present one."""
+    """The stored tables as parquet under one folder, in versions.
+
+    A version is one small manifest, versions/<n>, which names for each table the folders of rows that make it. A
+    manifest never changes: it is written under another name and renamed into place, which fails if it is there already
+    (on file systems whose rename is one step, as HDFS's and local ones').
+    So a reader sees all of a version or nothing of it, a crash leaves the version before, and of two writers of the same
+    number one gets a ``Conflict``. Tables that a change doesn't touch and rows that it only adds to are not written
+    again: the new manifest names their folders.
+    """
 
     TABLES = {"sources": schemas.SOURCES, "documents": schemas.DOCUMENTS, "chunks": schemas.CHUNKS, "events": schemas.EVENTS, "entities": schemas.ENTITIES, "links": schemas.LINKS, "vectors": schemas.VECTORS}
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def version(self) -> int:
-        """Number of the present version, 0 before the first."""
-        fs, jvm = self._fs()
-        pointer = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/CURRENT")
-        if not fs.exists(pointer):
-            return 0
-        return int(self.spark.read.text(f"{self.folder}/CURRENT").first()[0])
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
 
     def _fs(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm
-
-    def read(self, name: str) -> DataFrame:
-        v = self.version()
-        return self.spark.createDataFrame([], self.TABLES[name]) if v == 0 else self.spark.read.schema(self.TABLES[name]).parquet(f"{self.folder}/v{v}/{name}")
-
-    def all(self) -> dict[str, DataFrame]:
-        return {n: self.read(n) for n in self.TABLES}
-
-    def publish(self, tables: dict[str, DataFrame]) -> int:
-        """Write all tables as a new version and move the pointer last: readers see all of it or nothing, and a
-        failure in between leaves the old version in place."""
-        v = self.version() + 1
-        for name, ddl in self.TABLES.items():
-            schema = T.StructType.fromDDL(ddl)
-            df = tables.get(name)
-            df = self.read(name) if df is None else df
-            out = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-            writer = out.write.mode("overwrite")
-            (writer.partitionBy("collection") if name == "vectors" else writer).parquet(f"{self.folder}/v{v}/{name}")
-        fs, jvm = self._fs()
-        new, pointer = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/CURRENT.new"), jvm.org.apache.hadoop.fs.Path(f"{self.folder}/CURRENT")
-        stream = fs.create(new, True)
-        stream.write(bytearray(f"{v}\n".encode()))
+        return self._path("versions").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def version(self) -> int:
+        """Number of the present version, the largest manifest; 0 before the first."""
+        fs, place = self._fs(), self._path("versions")
+        names = [f.getPath().getName() for f in fs.listStatus(place)] if fs.exists(place) else []
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def manifest(self, version: int | None = None) -> dict[str, list[str]]:
+        """For each table the folders that make it in a version (the present one, if none is given)."""
+        v = self.version() if version is None else version
+        if v == 0:
+            return {n: [] for n in self.TABLES}
+        stream = self._fs().open(self._path(f"versions/{v}"))
+        try:
+            return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+        finally:
+            stream.close()
+
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        return self._frame(name, self.manifest(version)[name])
+
+    def _frame(self, name: str, parts: list[str]) -> DataFrame:
+        schema = T.StructType.fromDDL(self.TABLES[name])
+        return self.spark.read.schema(schema).parquet(*(f"{self.folder}/{p}" for p in parts)) if parts else self.spark.createDataFrame([], schema)
+
+    def all(self, version: int | None = None) -> dict[str, DataFrame]:
+        """All tables of one version."""
+        parts = self.manifest(version)
+        return {n: self._frame(n, parts[n]) for n in self.TABLES}
+
+    def publish(self, tables: dict[str, DataFrame] | None = None, added: dict[str, DataFrame] | None = None, rewritten: dict[str, Rewrite] | None = None, base: int | None = None) -> int:
+        """A new version: ``tables`` are replaced, rows ``added`` are put beside the old ones, other tables stay as they are.
+
+        ``rewritten`` gives for a part of a table the rows that go and those that stay: parts in which none goes aren't touched.
+        ``base`` is the version that the change was made from, the present one if it isn't given; if there is a
+        later one in the end, nothing is published and a ``Conflict`` raised.
+        """
+        base = self.version() if base is None else base
+        parts = self.manifest(base)
+        folder = f"data/{base + 1}-{uuid.uuid4().hex}"
+        for name, change in (rewritten or {}).items():
+            if name in (tables or {}):
+                continue
+            for k, part in enumerate(parts[name]):
+                hit, kept = change(self._frame(name, [part]))
+                if not hit.isEmpty():
+                    parts[name][k] = self._write(kept, name, f"{folder}/{name}-part{k}")
+        for name, df in (tables or {}).items():
+            parts[name] = [self._write(df, name, f"{folder}/{name}-all")]
+        for name, df in (added or {}).items():
+            parts[name] = [*parts[name], self._write(df, name, f"{folder}/{name}-new")]
+        self._commit(base + 1, parts)
+        return base + 1
+
+    def _write(self, df: DataFrame, name: str, place: str) -> str:
+        out = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(self.TABLES[name]).fields])
+        # Vectors are searched by collection: rows of one stand together, so that the others are skipped by the statistics of the files.
+        (out.sortWithinPartitions("collection") if name == "vectors" else out).write.parquet(f"{self.folder}/{place}")
+        return place
+
+    def _commit(self, version: int, parts: dict[str, list[str]]) -> None:
+        fs = self._fs()
+        fs.mkdirs(self._path("versions"))
+        temporary, final = self._path(f"versions/.{version}-{uuid.uuid4().hex}"), self._path(f"versions/{version}")
+        stream = fs.create(temporary, False)
+        stream.write(bytearray(json.dumps(parts).encode()))
         stream.close()
-        if fs.exists(pointer):
-            fs.delete(pointer, False)
-        fs.rename(new, pointer)
-        return v
+        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            context.rename(temporary, final, self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Exception as e:
+            fs.delete(temporary, False)
+            if fs.exists(final):
+                raise Conflict(f"version {version} is there already") from e
+            raise
+
+    def compact(self, name: str) -> int:
+        """A version in which a table of many parts is one again."""
+        base = self.version()
+        return self.publish({name: self.read(name, base)}, base=base)
+
+    def clean(self, keep: int = 2) -> int:
+        """Delete the manifests but the last ``keep`` and the data that only they name; gives the number of folders deleted."""
+        fs, now = self._fs(), self.version()
+        used = {p for v in range(max(1, now - keep + 1), now + 1) if fs.exists(self._path(f"versions/{v}")) for x in self.manifest(v).values() for p in x}
+        gone = 0
+        for f in fs.listStatus(self._path("data")) if fs.exists(self._path("data")) else []:
+            top = f.getPath().getName()
+            if int(top.split("-")[0]) > now:  # of a writer at work
+                continue
+            for t in fs.listStatus(f.getPath()):
+                if f"data/{top}/{t.getPath().getName()}" not in used:
+                    gone += fs.delete(t.getPath(), True)
+        for v in range(1, now - keep + 1):
+            fs.delete(self._path(f"versions/{v}"), False)
+        return gone
