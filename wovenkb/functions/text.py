@@ -110,7 +110,7 @@ def heading_from_text(text: Column) -> Column:
     def found(x: Column) -> Column:
         out = F.lit(None).cast("string")
         for kind, mark in reversed(kinds.items()):
-            rest = F.trim(F.regexp_replace(x, "^" + mark, ""))
+            rest = strip(F.regexp_replace(x, "^" + mark, ""))
             named = {"chapter": F.coalesce(F.nullif(rest, F.lit("")), x), "number": F.when(F.length(rest).between(2, 60) & rest.rlike("[一-龥]"), rest)}.get(kind, F.nullif(rest, F.lit("")))
             out = F.when(x.rlike("^" + mark) & named.isNotNull(), named).otherwise(out)
         return out

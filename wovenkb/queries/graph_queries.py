@@ -101,7 +101,14 @@ def r15_l2_top_k(spark, d):
     return rank.top_k(table(spark, d, "vectors"), "entities", _query_vector(spark, d), 10, metric="l2").withColumn("score", F.round("score", 6))
 
 
-@query()
+_VALID = "len(embedding) = 64 AND list_bool_and([coalesce(isfinite(x), false) FOR x IN embedding])"
+
+
+@query(f"""WITH e AS (SELECT id, any_value(embedding)::DOUBLE[] AS e FROM vectors WHERE collection = 'entities' AND {_VALID} GROUP BY 1),
+q AS (SELECT id AS query_id, e AS q FROM e ORDER BY id LIMIT 4),
+s AS (SELECT query_id, id, CASE WHEN list_dot_product(e, e) = 0 OR list_dot_product(q, q) = 0 THEN 0 ELSE list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q)) + 1e-8) END AS score FROM e, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 10 AND score >= 0.5""")
 def j10_many_queries(spark, d):
     """The best hits of four entities. Only a handful of searches at once is meant: they are broadcast and compared with every row."""
     v = table(spark, d, "vectors").filter(V.usable(F.col("embedding"), 64))
@@ -202,14 +209,21 @@ def g3_one_hop(spark, d):
     return expand.expand(_kb_seeds(spark, d), links, replace(P, max_hops=1, degree_method="none"))
 
 
-@query()
+@query("WITH " + _VEC + ", " + with_sql("kb_event_entities")[5:] + """, sm AS (SELECT id AS event_id, sim FROM c WHERE collection = 'event_summaries' AND NOT isnan(sim)),
+seeds AS (SELECT DISTINCT event_id FROM m_event_entities ORDER BY event_id LIMIT 5),
+f1 AS (SELECT DISTINCT entity_id FROM m_event_entities WHERE event_id IN (SELECT event_id FROM seeds) ORDER BY entity_id LIMIT 100),
+r1 AS (SELECT DISTINCT event_id FROM m_event_entities WHERE entity_id IN (SELECT entity_id FROM f1) AND event_id NOT IN (SELECT event_id FROM seeds)),
+e1 AS (SELECT event_id, coalesce(sim, 0) AS sim FROM r1 LEFT JOIN sm USING (event_id) WHERE coalesce(sim, 0) >= 0.05),
+s1 AS (SELECT event_id FROM e1 WHERE (SELECT max(sim) FROM e1) >= 0.1 ORDER BY sim DESC, event_id LIMIT 8),
+f2 AS (SELECT DISTINCT entity_id FROM m_event_entities WHERE event_id IN (SELECT event_id FROM s1) AND entity_id NOT IN (SELECT entity_id FROM f1) ORDER BY entity_id LIMIT 100),
+e2 AS (SELECT DISTINCT event_id FROM m_event_entities LEFT JOIN sm USING (event_id) WHERE entity_id IN (SELECT entity_id FROM f2) AND event_id NOT IN (SELECT event_id FROM seeds UNION ALL SELECT event_id FROM r1) AND coalesce(sim, 0) >= 0.05)
+SELECT event_id, 0 AS depth FROM seeds UNION ALL SELECT event_id, 1 FROM e1 UNION ALL SELECT event_id, 2 FROM e2""")
 def g13_g14_steered_expansion(spark, d):
-    """Two hops, steered by summary similarity, with a soft threshold."""
+    """Two hops without a frontier filter, steered by summary similarity, with a soft threshold."""
     v = table(spark, d, "vectors").filter(F.size("embedding") == 64)
-    q = _query_vector(spark, d)
-    sims = expand.query_similarity(v, "event_summaries", q, "event_id").filter(~F.isnan("sim"))
+    of = expand.similarity_of(v, "event_summaries", _query_vector(spark, d), "event_id")
     links = model(spark, d, "kb_event_entities").select("event_id", "entity_id")
-    return expand.expand(_kb_seeds(spark, d), links, replace(P, soft_threshold=0.05, hop_relevance=0.1), event_similarity=sims, entity_similarity=expand.query_similarity(v, "entities", q, "entity_id").filter(~F.isnan("sim")))
+    return expand.expand(_kb_seeds(spark, d), links, replace(P, soft_threshold=0.05, hop_relevance=0.1, frontier_filter=False), event_similarity=lambda ids: of(ids).filter(~F.isnan("sim")))
 
 
 @query(_KB_BFS + ", x AS (SELECT event_id, 0 AS depth FROM seeds UNION ALL SELECT event_id, 1 FROM e1) SELECT depth, count(*) AS events FROM x GROUP BY 1")
@@ -231,46 +245,47 @@ def g1_recall_entities(spark, d):
 # Rerank and fusion
 
 
-_CAND = with_sql("kb_event_entities") + """, cand AS (SELECT DISTINCT event_id FROM m_event_entities ORDER BY event_id LIMIT 100),
-l AS (SELECT m.* FROM m_event_entities m JOIN cand USING (event_id)), dg AS (SELECT entity_id, count(*) AS degree FROM m_event_entities GROUP BY 1),
-raw AS (SELECT entity_id, ln(100.0 / greatest(degree, 1)) AS r FROM dg WHERE entity_id IN (SELECT entity_id FROM l)),
+_RERANK = with_sql("kb_events", "kb_event_entities", "kb_chunks") + ", " + _VEC + """,
+x AS (SELECT id AS event_id, sim AS score FROM c WHERE collection = 'event_contents' AND sim > 0 AND NOT isnan(sim) AND id IN (SELECT id FROM m_events WHERE deleted_at IS NULL)),
+co AS (SELECT event_id, score, row_number() OVER (ORDER BY score DESC, event_id) - 1 AS pos FROM x ORDER BY score DESC, event_id LIMIT 100),
+qe AS (SELECT DISTINCT entity_id FROM m_event_entities JOIN co USING (event_id) WHERE pos < 3),
+raw AS (SELECT entity_id, ln((SELECT count(*) FROM co)::DOUBLE / count(*)) AS r FROM m_event_entities WHERE entity_id IN (SELECT entity_id FROM qe) GROUP BY 1),
 idf AS (SELECT entity_id, CASE WHEN (SELECT max(r) FROM raw) > 0 THEN r / (SELECT max(r) FROM raw) ELSE 0 END AS idf FROM raw),
-sg AS (SELECT event_id, l.entity_id, coalesce(weight, 0.5) * coalesce(idf, 0) AS signal FROM l LEFT JOIN idf USING (entity_id))"""
-
-
-@query(_CAND + " SELECT event_id, entity_id, round(signal, 6) AS signal, CASE WHEN signal >= 0.7 THEN 'strong' WHEN signal >= 0.4 THEN 'medium' ELSE 'weak' END AS kind FROM sg")
-def r7_r8_signals(spark, d):
-    return _signals(spark, d).withColumn("signal", F.round("signal", 6))
+sg AS (SELECT event_id, entity_id, coalesce(weight, 0.5) * idf AS signal FROM m_event_entities JOIN co USING (event_id) JOIN idf USING (entity_id)),
+n AS (SELECT event_id, count(*) FILTER (signal >= 0.7) AS strong, count(*) FILTER (signal >= 0.4 AND signal < 0.7) AS medium, count(*) FILTER (signal < 0.4) AS weak FROM sg GROUP BY 1),
+de AS (SELECT event_id, score, score * pow(0.6, CASE WHEN event_id IN (SELECT event_id FROM n) THEN 0 ELSE 1 END) AS adjusted, coalesce(strong, 0) AS strong FROM co LEFT JOIN n USING (event_id)),
+rr AS (SELECT event_id, adjusted AS score, row_number() OVER (ORDER BY adjusted DESC, strong DESC, event_id) - 1 AS pos FROM de),
+top AS (SELECT * FROM rr WHERE pos < {n}),
+sec AS (SELECT c.id AS chunk_id, min(top.pos) AS p, arg_min(score, top.pos) AS score FROM top JOIN m_events e ON e.id = top.event_id JOIN m_chunks c ON c.id = e.chunk_id GROUP BY 1),
+sx AS (SELECT chunk_id, score, row_number() OVER (ORDER BY p, chunk_id) - 1 AS pos FROM sec)"""
 
 
-def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates by a question's vector, the links, and the entities of the three best as those of the question."""
+    e = model(spark, sf_dir, "kb_events").filter("deleted_at is null").select(F.col("id").alias("event_id"))
+    coarse = checkpoint(rank.coarse_rank(e, table(spark, sf_dir, "vectors").filter(F.size("embedding") == 64), _query_vector(spark, sf_dir), P))
     links = model(spark, sf_dir, "kb_event_entities")
-    cand = links.select("event_id").distinct().orderBy("event_id").limit(100)
-    own = links.join(cand, "event_id", "left_semi")
-    return rank.signals(own, rank.candidate_idf(store.entity_degrees(links, own.select("entity_id").distinct()), 100), P)
+    return coarse, links, links.join(coarse.filter("pos < 3"), "event_id", "left_semi").select("entity_id").distinct()
 
 
-@query(_CAND + " SELECT event_id, count(*) FILTER (signal >= 0.7) AS strong, count(*) FILTER (signal >= 0.4 AND signal < 0.7) AS medium, count(*) FILTER (signal < 0.4) AS weak FROM sg GROUP BY 1")
-def a6_signal_counts(spark, d):
-    return rank.signal_counts(_signals(spark, d))
+def _rerank_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Coarse scores, depths (0 for events of the question's entities, 1 for others) and counts of signals."""
+    coarse, links, entities = _ranked(spark, sf_dir)
+    counts = rank.signal_counts(rank.question_signals(links, coarse, entities, P))
+    depths = coarse.select("event_id").join(counts.select("event_id", F.lit(0).alias("d")), "event_id", "left").select("event_id", F.coalesce("d", F.lit(1)).alias("depth"))
+    return coarse, depths, counts
 
 
-def _rerank_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Coarse scores and depths made of columns of the events, so that SQL can state them."""
-    e = model(spark, sf_dir, "kb_events").select(F.col("id").alias("event_id"), (F.length("title") / 200).alias("score"), (F.coalesce("rank_index", F.lit(0)) % 3).alias("depth"))
-    order = [F.col("score").desc(), F.col("event_id")]
-    coarse = e.orderBy(*order).limit(100).withColumn("pos", F.row_number().over(Window.orderBy(*order)) - 1)
-    links = model(spark, sf_dir, "kb_event_entities")
-    counts = rank.signal_counts(links.withColumn("kind", F.when(F.coalesce("weight", F.lit(0.5)) >= 0.7, "strong").otherwise("weak")))
-    return coarse.drop("depth"), coarse.select("event_id", "depth"), counts
+@query(_RERANK.format(n=5) + " SELECT event_id, entity_id, round(signal, 6) AS signal, CASE WHEN signal >= 0.7 THEN 'strong' WHEN signal >= 0.4 THEN 'medium' ELSE 'weak' END AS kind FROM sg")
+def r7_r8_signals(spark, d):
+    """Signals of the question's entities in the candidates, N being the number of candidates."""
+    coarse, links, entities = _ranked(spark, d)
+    return rank.question_signals(links, coarse, entities, P).withColumn("signal", F.round("signal", 6))
 
 
-_RERANK = with_sql("kb_events", "kb_event_entities", "kb_chunks") + """, co AS (SELECT id AS event_id, length(title) / 200 AS score, coalesce(rank_index, 0) % 3 AS depth FROM m_events ORDER BY score DESC, id LIMIT 100),
-st AS (SELECT event_id, count(*) FILTER (coalesce(weight, 0.5) >= 0.7) AS strong FROM m_event_entities GROUP BY 1),
-rr AS (SELECT event_id, score * pow(0.6, depth) AS score, row_number() OVER (ORDER BY score * pow(0.6, depth) DESC, coalesce(strong, 0) DESC, event_id) - 1 AS pos FROM co LEFT JOIN st USING (event_id)),
-top AS (SELECT * FROM rr WHERE pos < {n}),
-sec AS (SELECT c.id AS chunk_id, min(top.pos) AS p, arg_min(score, top.pos) AS score FROM top JOIN m_events e ON e.id = top.event_id JOIN m_chunks c ON c.id = e.chunk_id GROUP BY 1),
-sx AS (SELECT chunk_id, score, row_number() OVER (ORDER BY p, chunk_id) - 1 AS pos FROM sec)"""
+@query(_RERANK.format(n=5) + " SELECT * FROM n")
+def a6_signal_counts(spark, d):
+    return _rerank_inputs(spark, d)[2]
 
 
 @query(_RERANK.format(n=5) + " SELECT event_id, round(score, 6) AS score, pos FROM top")
@@ -278,18 +293,53 @@ def r6_r9_rerank(spark, d):
     return rank.rerank(*_rerank_inputs(spark, d), P).withColumn("score", F.round("score", 6))
 
 
+@query(_RERANK.format(n=5) + """, o AS (SELECT pos, row_number() OVER (ORDER BY strong DESC, pos DESC) - 1 AS place FROM co LEFT JOIN n USING (event_id) WHERE strong > 0),
+y AS (SELECT event_id, score, row_number() OVER (ORDER BY place NULLS LAST, co.pos) - 1 AS pos FROM co LEFT JOIN o ON o.pos = co.pos)
+SELECT event_id, round(score, 6) AS score, pos FROM y WHERE pos < 5""")
+def r9_rerank_with_model(spark, d):
+    """A stand-in for a model: events with strong signals first, and it names one place twice and one that isn't there."""
+    def order(rows: list[dict]) -> list[int]:
+        told = sorted((i for i, r in enumerate(rows) if r["strong"]), key=lambda i: (-rows[i]["strong"], -i))
+        return [*told, *told[:1], len(rows) + 7]
+
+    events = model(spark, d, "kb_events").select(F.col("id").alias("event_id"), "title", "summary")
+    return rank.rerank_with(*_rerank_inputs(spark, d), events, order, P).withColumn("score", F.round("score", 6))
+
+
+@query("WITH " + _VEC + ", " + with_sql("kb_events")[5:] + " SELECT id AS event_id, 0.0::DOUBLE AS score, row_number() OVER (ORDER BY id) - 1 AS pos FROM m_events WHERE deleted_at IS NULL ORDER BY id LIMIT 100")
+def r5_coarse_fallback(spark, d):
+    """No score reaches the threshold: the first events stand with score 0."""
+    e = model(spark, d, "kb_events").filter("deleted_at is null").select(F.col("id").alias("event_id"))
+    return rank.coarse_rank(e, table(spark, d, "vectors").filter(F.size("embedding") == 64), _query_vector(spark, d), replace(P, coarse_threshold=2.0))
+
+
+@query("WITH " + _VEC + ", " + with_sql("kb_events", "kb_event_entities")[5:] + """,
+ne AS (SELECT id FROM c WHERE collection = 'entities' AND NOT isnan(sim) ORDER BY sim DESC, id LIMIT 10),
+be AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM (SELECT DISTINCT event_id FROM m_event_entities WHERE entity_id IN (SELECT id FROM ne) AND event_id IN (SELECT id FROM m_events WHERE deleted_at IS NULL))),
+bv AS (SELECT id AS event_id, row_number() OVER (ORDER BY sim DESC, id) - 1 AS pos FROM c WHERE collection = 'event_titles' AND NOT isnan(sim) ORDER BY sim DESC, id LIMIT 30),
+u AS (SELECT event_id, min((part, pos)) AS place FROM (SELECT event_id, 0 AS part, pos FROM be UNION ALL SELECT event_id, 1, pos FROM bv) GROUP BY 1)
+SELECT event_id, row_number() OVER (ORDER BY place, event_id) - 1 AS pos FROM u""")
+def r3_seed_merge(spark, d):
+    """Seeds by entities first, then those by vectors, each once."""
+    q, v, links = _query_vector(spark, d), table(spark, d, "vectors"), model(spark, d, "kb_event_entities")
+    live = model(spark, d, "kb_events").filter("deleted_at is null").select(F.col("id").alias("event_id"))
+    near = rank.top_k(v, "entities", q, 10).select(F.col("id").alias("entity_id"))
+    by_entity = store.events_of_entities(near, links).join(live, "event_id", "left_semi").select("event_id", (F.row_number().over(Window.orderBy("event_id")) - 1).alias("pos"))
+    by_vector = rank.top_k(v, "event_titles", q, 30).select(F.col("id").alias("event_id"), (F.row_number().over(Window.orderBy(F.col("score").desc(), "id")) - 1).alias("pos"))
+    return rank.ordered_union(by_entity, by_vector, "event_id")
+
+
 @query(_RERANK.format(n=5) + " SELECT chunk_id, round(score, 6) AS score, pos FROM sx")
 def r10_sections(spark, d):
     return rank.sections_of_events(rank.rerank(*_rerank_inputs(spark, d), P), model(spark, d, "kb_events"), model(spark, d, "kb_chunks")).withColumn("score", F.round("score", 6))
 
 
-_DIRECT = ", dr AS (SELECT id AS chunk_id, row_number() OVER (ORDER BY length(content) DESC, id) - 1 AS pos FROM m_chunks ORDER BY pos LIMIT 10)"
+_DIRECT = ", dr AS (SELECT id AS chunk_id, row_number() OVER (ORDER BY sim DESC, id) - 1 AS pos FROM c WHERE collection = 'chunks' AND NOT isnan(sim) ORDER BY sim DESC, id LIMIT 20)"
 
 
 def _direct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = [F.length("content").desc_nulls_last(), F.col("chunk_id")]
-    x = model(spark, sf_dir, "kb_chunks").select(F.col("id").alias("chunk_id"), "content")
-    return x.orderBy(*order).limit(10).select("chunk_id", (F.row_number().over(Window.orderBy(*order)) - 1).alias("pos"))
+    hits = rank.top_k(table(spark, sf_dir, "vectors"), "chunks", _query_vector(spark, sf_dir), 20)
+    return hits.select(F.col("id").alias("chunk_id"), (F.row_number().over(Window.orderBy(F.col("score").desc(), "id")) - 1).alias("pos"))
 
 
 def _fused(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
