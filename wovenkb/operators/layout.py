@@ -80,8 +80,10 @@ def tables_of(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
 
 
 def grid_to_markdown(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """One Markdown table per group of cells; spans are repeated over the places that they cover."""
+    """One Markdown table per group of cells; spans are repeated over the places that they cover. Of several texts for one
+    place the least counts."""
     wide = cells.withColumn("_r", F.explode(F.sequence(F.col("row"), F.col("row") + F.col("row_span") - 1))).withColumn("_c", F.explode(F.sequence(F.col("col"), F.col("col") + F.col("col_span") - 1)))
+    wide = wide.groupBy(*keys, "_r", "_c").agg(F.min("text").alias("text"))
     size = wide.groupBy(*keys).agg(F.max("_c").alias("_w"))
     rows = wide.groupBy(*keys, "_r").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_c", "text")))).alias("_m")).join(size, keys)
     line = F.concat(F.lit("| "), F.array_join(F.transform(F.sequence(F.lit(0), F.col("_w")), lambda c: F.regexp_replace(F.coalesce(F.try_element_at("_m", c), F.lit("")), r"\|", r"\\|")), " | "), F.lit(" |"))

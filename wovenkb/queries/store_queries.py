@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 from ..operators import store
-from ..session import table
+from ..plans import ingest as plan
+from ..plans import search
+from ..session import shared_folder, table
+from ..sources.readers import Catalog
 from .tables import model, with_sql
 
 Q: dict = {}
@@ -229,6 +235,17 @@ def k8_k9_update_source(spark, d):
     return store.mark_synced(store.update_source(model(spark, d, "kb_sources"), own, name="renamed", description=None), own).select("id", "name", "vector_synced")
 
 
+@query("""WITH v AS (SELECT collection, id, min(coalesce(text, '')) AS text FROM vectors GROUP BY 1, 2)
+SELECT * FROM v UNION ALL SELECT 'entities', 'new-' || id, 'again' FROM v WHERE collection = 'entities'""")
+def k10_skip_vectors(spark, d):
+    """Present ids are left as they are, new ones added."""
+    v = table(spark, d, "vectors").select("collection", "id", F.coalesce("text", F.lit("")).alias("text"))
+    once = v.groupBy("collection", "id").agg(F.min("text").alias("text"))
+    own = once.filter("collection = 'entities'")
+    batch = own.withColumn("text", F.lit("again")).unionByName(own.select("collection", F.concat(F.lit("new-"), "id").alias("id"), F.lit("again").alias("text"))).withColumn("pos", F.lit(0))
+    return store.add_vectors(once, batch, "skip")
+
+
 @query("""SELECT collection, id, arg_min(text, (coalesce(text, ''))) AS text FROM (SELECT collection, id, 'again' AS text FROM vectors WHERE collection = 'entities' UNION SELECT collection, id, coalesce(text, '') FROM vectors WHERE collection <> 'entities') GROUP BY 1, 2""")
 def k10_add_vectors(spark, d):
     v = table(spark, d, "vectors").select("collection", "id", F.coalesce("text", F.lit("")).alias("text"))
@@ -256,6 +273,57 @@ def set_orphans(spark, d):
     return store.repair_orphans(table(spark, d, "vectors"), table(spark, d, "kb_events").filter("deleted_at is null"), "event_titles")
 
 
+@query("""WITH v AS (SELECT DISTINCT id FROM vectors WHERE collection = 'chunks'), c AS (SELECT DISTINCT id FROM kb_chunks WHERE id > 'c')
+SELECT * FROM (SELECT 'orphan' AS kind, id FROM v WHERE id NOT IN (SELECT id FROM c) ORDER BY id LIMIT 10) UNION ALL SELECT * FROM (SELECT 'missing', id FROM c WHERE id NOT IN (SELECT id FROM v) ORDER BY id LIMIT 10)""")
+def set_reconcile_samples(spark, d):
+    return store.reconcile_samples(table(spark, d, "vectors").filter("collection = 'chunks'"), table(spark, d, "kb_chunks").filter("id > 'c'"))
+
+
+@query(with_sql("kb_events") + " SELECT id, title FROM m_events WHERE deleted_at IS NULL AND id IN (SELECT id FROM vectors WHERE collection = 'event_titles')")
+def j8_rows_of_hashes(spark, d):
+    """Live events by the numeric ids of an index of their titles."""
+    hashes = table(spark, d, "vectors").filter("collection = 'event_titles'").select(store.numeric_id(F.col("id")).alias("numeric_id"))
+    return store.rows_of_hashes(hashes, model(spark, d, "kb_events"), live=True).select("id", "title")
+
+
+_NAMES = {"sources": "kb_sources", "documents": "kb_documents", "chunks": "kb_chunks", "events": "kb_events", "entities": "kb_entities", "links": "kb_event_entities"}
+
+
+@query(with_sql("kb_sources", "kb_documents", "kb_chunks", "kb_events") + """, s AS (SELECT min(source_id) AS id FROM m_documents)
+SELECT 'sources' AS what, id, name AS text FROM m_sources WHERE id <> (SELECT id FROM s) UNION ALL SELECT 'documents', id, md5(content) FROM m_documents WHERE coalesce(source_id <> (SELECT id FROM s), true)
+UNION ALL SELECT 'chunks', id, md5(content) FROM m_chunks WHERE coalesce(source_id <> (SELECT id FROM s), true) UNION ALL SELECT 'events', id, title FROM m_events WHERE coalesce(source_id <> (SELECT id FROM s), true)""")
+def k1_persist(spark, d):
+    """The tables as the catalog gives them back: published in two versions, documents in two parts, then a source deleted."""
+    catalog = Catalog(spark, f"{shared_folder(spark)}/wovenkb/{uuid.uuid4().hex}")
+    t = {k: _as_stored(model(spark, d, v), Catalog.TABLES[k]) for k, v in _NAMES.items()}
+    halves = [t["documents"].filter(F.pmod(F.xxhash64("id"), F.lit(2)) == k) for k in (0, 1)]
+    catalog.publish(t | {"documents": halves[0]})
+    catalog.publish(added={"documents": halves[1]})
+    plan.delete(catalog, t["documents"].agg(F.min("source_id")).first()[0])
+    now = catalog.all()
+    md5 = F.md5(F.encode("content", "UTF-8"))
+    out = now["sources"].select(F.lit("sources").alias("what"), "id", F.col("name").alias("text"))
+    for name, value in (("documents", md5), ("chunks", md5), ("events", F.col("title"))):
+        out = out.unionByName(now[name].select(F.lit(name).alias("what"), "id", value.alias("text")))
+    return out
+
+
+def _as_stored(df: DataFrame, ddl: str) -> DataFrame:
+    return df.select(*(F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(ddl).fields))
+
+
+@query(with_sql("kb_sources", "kb_chunks", "kb_events") + """ SELECT s.id, name, (SELECT count(*) FROM m_chunks c WHERE c.source_id = s.id) AS n_chunks, (SELECT count(*) FROM m_events e WHERE e.source_id = s.id) AS n_events
+FROM m_sources s WHERE archived_at IS NULL ORDER BY created_at DESC NULLS LAST, s.id LIMIT 20""")
+def api_sources(spark, d):
+    tables = {k: model(spark, d, v) for k, v in _NAMES.items()}
+    return search.sources(tables, limit=20).select("id", "name", "n_chunks", "n_events")
+
+
+@query(with_sql("kb_sources", "kb_documents", "kb_chunks", "kb_events", "kb_entities", "kb_event_entities") + "".join(f"{' UNION ALL' if i else ''} SELECT '{k}' AS what, count(*) AS n FROM m_{v[3:]}" for i, (k, v) in enumerate(_NAMES.items())) + " UNION ALL SELECT 'vectors', count(*) FROM vectors")
+def api_stats(spark, d):
+    return search.stats({k: model(spark, d, v) for k, v in _NAMES.items()} | {"vectors": table(spark, d, "vectors")})
+
+
 @query()
 def set_numeric_ids(spark, d):
     return model(spark, d, "kb_chunks").select("id", store.numeric_id(F.col("id")).alias("numeric_id"))
