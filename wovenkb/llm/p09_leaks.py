@@ -210,6 +210,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
             for batch in common.text_groups(batches, 0):
                 texts = batch.column(0).to_pylist()
                 for zh, t in terms.items():
+                    if not len(t):  # no item of this kind: its stream isn't made
+                        continue
                     total[zh] += np.bincount(_places(_index(texts, zh)[2], t)[1], minlength=len(t))
             for zh, n in total.items():
                 at = np.flatnonzero(n)
@@ -241,7 +243,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 
 def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
+
+    return to_arrow_type(StructType.fromDDL(f"x {kind}")[0].dataType)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
