@@ -188,6 +188,27 @@ def test_scan_frames(spark):
     assert p4.repair_scans(df.limit(0)).count() == 0
 
 
+def test_marked_and_single_lines_are_repaired_too(spark):
+    words = "the modern contract was signed in the office of the company by the clerk".split()
+    docs = [(f"d{i}", " ".join(words)) for i in range(60)]
+    docs += [("one", "the contract was siqned in the office"), ("marked", "# Head\n\nthe **contract** was siqned in the office\n\n```\nx = siqned\n```\n- siqned"), ("two", "the contract of the office was\nsiqned by the com-\npany")]
+    got = {r.id: r for r in p4.repair_scans(spark.createDataFrame(docs, "id string, content string")).collect()}
+    assert got["one"].noise == ["misread"] and got["one"].repaired_text == "the contract was signed in the office"
+    assert got["marked"].noise == ["misread"] and got["marked"].repaired_text == "# Head\n\nthe **contract** was signed in the office\n\n```\nx = siqned\n```\n- siqned"
+    assert got["two"].noise == ["hyphen", "misread"] and got["two"].repaired_text == "the contract of the office was signed by the company"
+
+
+def test_header_lines_may_differ_by_a_letter():
+    pages = [f"Report on the harbour dues {n}" for n in (1, 2, 3)]
+    pages[1] = pages[1].replace("harbour", "harbur")
+    text = "\f".join(f"{h}\n{w} of the text that runs on\nand more of {w}" for h, w in zip(pages, ("Boats", "Ferries", "Bridges")))
+    page = p4.Page(text)
+    assert sorted(page.lines[i] for i in page.headers) == sorted(pages)
+    long = "Minutes of the committee on harbours, ferries and bridges of the northern districts with an appendix of all tolls and dues levied"
+    page = p4.Page("\f".join(f"{long}\n{w} of the text that runs on\nand more of {w}" for w in ("Boats", "Ferries", "Bridges")))
+    assert len(page.headers) == 3
+
+
 # 5
 
 

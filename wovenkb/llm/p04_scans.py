@@ -38,8 +38,15 @@ COMMON_ZH = 1e-4
 #: What a capitalised word is corrected to must have this share, which keeps names out; and two words that both have it
 #: and that stand nowhere undivided are a compound.
 COMMON_LATIN = 1e-4
-
-_N = r"(\d{1,4}|[ivxl]{1,7}|[\doOlISB]{2,4})"
+#: Words whose answers a task keeps (a bounded memory, not a bound on the words).
+CACHE = 300_000
+
+#: Characters of the longest form of a page number with single blanks.
+FORM_CHARS = 32
+_NO_LETTERS = re.compile(r"[\d\W]*")
+#: Letters of a line from which on one may differ.
+FUZZY = 8
+_N = r"(\d{1,6}|[ivxl]{1,7}|[\doOlISB]{2,4})"
 _FORMS = tuple(
     re.compile(p.replace("N", _N, 1).replace("N", _N.replace("(", "(?:", 1)), re.I if k == 2 else 0)
     for k, p in enumerate((
@@ -65,22 +72,37 @@ def _value(text: str) -> int | None:
     return int(text) if text.isdigit() else None
 
 
-_ALIKE = str.maketrans({"1": "i", "l": "i", "|": "i", "0": "o", "5": "s", "8": "b", "6": "b", "c": "e", "f": "t", "q": "g", "9": "g", "曰": "日", "己": "已", "朋": "期", "太": "大"})
+#: What every form of _INSIDE needs; lines without it aren't searched.
+_PARTED = re.compile(r"\s\s|[\t|·—/]")
+_ALIKE = tuple({"1": "i", "l": "i", "|": "i", "0": "o", "5": "s", "8": "b", "6": "b", "c": "e", "f": "t", "q": "g", "9": "g", "曰": "日", "己": "已", "朋": "期", "太": "大"}.items())
 _NUMERAL = re.compile(r"[oilsb|]*\d[\doilsb|]*")
 
 
-def line_key(line: str) -> str:
-    """A line for fuzzy comparison: letters that scanners confuse are one, and all numbers are one."""
-    x = _INSIDE.sub("", line.strip())
-    x = _NUMERAL.sub("#", " ".join(x.lower().split()))
-    for a, b in (("rn", "m"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("ri", "n"), ("li", "h")):
+def _without_number(line: str) -> str:
+    line = line.strip()
+    return _INSIDE.sub("", line) if _PARTED.search(line) else line
+
+
+_GAPS = re.compile(r"[^\S\n]+")
+
+
+def line_keys(lines: list[str]) -> list[str]:
+    """Lines for fuzzy comparison: letters that scanners confuse are one, and all numbers are one. All lines together."""
+    x = _GAPS.sub(" ", "\n".join(map(_without_number, lines)).lower())
+    x = _NUMERAL.sub("#", x)
+    for a, b in (("rn", "m"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("ri", "n"), ("li", "h"), *_ALIKE):
         x = x.replace(a, b)
-    return x.translate(_ALIKE)
+    return x.split("\n")
+
+
+def line_key(line: str) -> str:
+    """The key of one line."""
+    return line_keys([line.replace("\n", " ")])[0]
 
 
 def templates_of(line: str) -> list[str]:
     """What header lines of many documents share: the last words without names, or the first word and its number."""
-    x = _NUMERAL.sub("#", " ".join(_INSIDE.sub("", line.strip()).lower().split()))
+    x = _NUMERAL.sub("#", " ".join(_without_number(line).lower().split()))
     if re.search("[㐀-鿿]", x):
         return [x[-4:]] if len(x) > 6 else []
     if m := re.match(r"[a-z]+ #:", x):
@@ -118,7 +140,9 @@ class Page:
         found = {}
         for i in self.at:
             line = self.lines[i].strip()
-            if len(line) <= 24:
+            if len(line) > FORM_CHARS and _PARTED.search(line):
+                line = " ".join(line.split())
+            if len(line) <= FORM_CHARS:  # no form has more characters
                 for form, p in enumerate(_FORMS):
                     if (m := p.fullmatch(line)) and (v := _value(m[1])) is not None:
                         found[i] = (form, v)
@@ -149,12 +173,31 @@ class Page:
             return True
         return j > 0 and not _END.search(self.lines[self.at[j - 1]])
 
+    def _merge(self, keys: dict[str, list[int]], marks: set[int]) -> None:
+        """Put lines together that stand at page edges and whose keys differ by one letter (left out, added or changed)."""
+        if not marks and "\f" not in self.lines:
+            return
+        near: dict[str, str] = {}
+        for key in sorted((k for k in keys if len(k) >= FUZZY), key=lambda k: (-len(keys[k]), k)):
+            if key not in keys or not any(self._beside_feed(i) or any(self.at[j] in marks for j in (self.place[i] - 1, self.place[i] + 1) if 0 <= j < len(self.at)) for i in keys[key]):
+                continue
+            own = {key, *(key[:i] + key[i + 1 :] for i in range(len(key)))}
+            first = next((near[x] for x in sorted(own) if x in near), None)
+            if first is None:
+                near.update(dict.fromkeys(own, key))
+            else:
+                keys[first] = sorted([*keys[first], *keys.pop(key)])
+
     def _headers(self, templates: frozenset[str], marks: set[int]) -> None:
         keys: dict[str, list[int]] = {}
+        able = []
         for i in self.at:
             line = self.lines[i].strip()
-            if i not in marks and 5 < len(line) <= 100 and line[0] not in "#|*+->" and line.count(",") < 3 and not re.search(r"[.。!?！？,，;；]$", line) and not re.fullmatch(r"[\d\W]*", line):
-                keys.setdefault(line_key(line), []).append(i)
+            if i not in marks and len(line) > 2 and line[0] not in "#|*+->" and line[-1] not in ".。!?！？,，;；" and line.count(",") < 3 and not _NO_LETTERS.fullmatch(line):
+                able.append(i)
+        for i, key in zip(able, line_keys([self.lines[i] for i in able])):
+            keys.setdefault(key, []).append(i)
+        self._merge(keys, marks)
         for own in keys.values():
             if len(own) >= 2:
                 place = [self.place[i] for i in own]
@@ -174,28 +217,48 @@ _CLASS = str.maketrans({ch: group[0] for group in LETTERS for ch in group})
 _LOWER = re.compile(r"(?<![\w’'-])[a-z]{2,}(?:-[a-z]+)*(?![\w’'-])")
 _MIXED = re.compile(r"(?<![\w’'" + HYPHENS + r"])[A-Za-z0-9|]+(?![\w’'-])")
 _NUMBER_LIKE = re.compile(r"(?<![A-Za-z0-9-])(?=[OolISBZ,.]*\d)(?=[\d,.]*[OolISBZ])[\dOolISBZ]+(?:[.,][\dOolISBZ]+)*(?![A-Za-z0-9-])")
+# What a match of the next two, and of _SPLIT, can't do without; texts that lack it aren't searched further.
+_DIGIT_LETTER = re.compile(r"\d[.,]?[OolISBZ]|[OolISBZ][.,]?\d")
+_LINE_END = re.compile("[" + HYPHENS + r"][ \t]*\n")
 _LONE = re.compile(r"(?<![A-Za-z0-9-])[OolISB](?=\s(?:January|February|March|April|May|June|July|August|September|October|November|December)\b|[年月日曰])")
 _ZH = re.compile("[" + "".join(sorted(set(ZH_CONFUSIONS))) + "]")
 _SPLIT = re.compile(r"(?<![A-Za-z0-9|])([A-Za-z0-9|]+)[" + HYPHENS + r"][ \t]*\n[ \t]*([A-Za-z0-9|]+)")
 
 
-def context(text: str, at: int, ch: str) -> str | None:
-    """A Chinese character between its neighbours; digits and what is read for them count as one."""
-    a = text[at - 1] if at else " "
-    b = text[at + 1] if at + 1 < len(text) else " "
-    if not ("㐀" <= a <= "鿿" or "㐀" <= b <= "鿿"):
-        return None
-    same = lambda c: "9" if c in "0123456789OolISBZ" else c
-    return same(a) + ch + same(b)
+_IN_CONTEXT = re.compile("(?s)(?=(." + _ZH.pattern + ".))")
+
+
+def contexts(flat: str) -> Counter:
+    """How often each Chinese character that scanners confuse stands between which neighbours, in a text without line
+    ends; digits and what is read for them count as one. Those beside no Chinese character don't count."""
+    out: Counter = Counter()
+    for c, n in Counter(_IN_CONTEXT.findall(f" {flat} ")).items():
+        if "㐀" <= c[0] <= "鿿" or "㐀" <= c[2] <= "鿿":
+            out[same(c)] += n
+    return out
+
+
+def same(c: str) -> str:
+    """A context with the digits, and what is read for them, as one."""
+    a, b = ("9" if x in "0123456789OolISBZ" else x for x in (c[0], c[2]))
+    return a + c[1] + b
+
+
+# Strokes of letters: what scanners confuse has equal sums, so two words with different sums can't be confused.
+_STROKES = {"i": "i", "l": "i", "1": "i", "|": "i", "I": "i", "j": "j", "r": "i", "n": "ii", "u": "ii", "U": "ii", "h": "ii", "b": "ii", "6": "ii", "8": "ii", "B": "ii", "m": "iii", "c": "c", "e": "c", "d": "ci", "k": "ci", "v": "v", "y": "v", "w": "vv", "o": "o", "O": "o", "0": "o", "s": "s", "S": "s", "5": "s", "g": "g", "q": "g", "9": "g", "z": "z", "Z": "z", "2": "z", "f": "t", "t": "t", "a": "a", "p": "p", "x": "x"}
+_WEIGHT = {ch: sum(1 << 12 * "icvosgztajpx".index(x) for x in strokes) for ch, strokes in _STROKES.items()}
+
+
+def strokes(word: str) -> int:
+    """The sum of a word's strokes, of each kind."""
+    return sum(_WEIGHT.get(ch, 0) for ch in word)
 
 
 def words_of(text: str) -> Counter:
     """Lower-case words and Chinese contexts of a text, for the vocabulary."""
     out = Counter(_LOWER.findall(text))
-    flat = text.replace("\n", "")
-    for m in _ZH.finditer(flat):
-        if c := context(flat, m.start(), m[0]):
-            out[c] += 1
+    if _ZH.search(text):
+        out.update(contexts(text.replace("\n", "")))
     return out
 
 
@@ -223,9 +286,14 @@ class Vocabulary:
 
     def __init__(self, counts: dict[str, int], total: int, templates: frozenset[str]) -> None:
         self.counts, self.total, self.templates = counts, total, templates
+        self.rare_may_be_right = COMMON * total > LEAST + 1  # whether a word that isn't common can be a correction
         self.known: dict[str, str | None] = {}
         self.longest = max((len(w) for w in counts if w.isascii()), default=0)
         self.alike = self._by_class(counts)
+        self.strokes = Counter(strokes(w) for w, n in counts.items() if w.isascii() and n >= LEAST)
+        self.asks: dict[str, bool] = {}
+        self.maybe: dict[str, bool] = {}
+        self.wants: dict[str, list[tuple[str, int]]] = {}
         self.rare: dict[str, int] = {}
         self.rare_alike: dict[str, list[str]] = {}
 
@@ -249,15 +317,47 @@ class Vocabulary:
         """The count that makes this part of all words."""
         return max(LEAST, part * self.total)
 
+    def possible(self, word: str) -> bool:
+        """Whether the exact count of a rare word can matter: a common word, or some rare one, may be what it was read from."""
+        if word not in self.asks:
+            if len(self.asks) > CACHE:
+                self.asks.clear()
+            self.asks[word] = self.strokes.get(strokes(word), 0) > (self.counts.get(word, 0) >= LEAST and word.isascii())
+        return self.asks[word]
+
+    def may_be_misread(self, w: str) -> bool:
+        """Whether a word as it stands in a text, wherever that is, can be corrected."""
+        if w not in self.maybe:
+            if len(self.maybe) > CACHE:
+                self.maybe.clear()
+            self.maybe[w] = self._may_be_misread(w)
+        return self.maybe[w]
+
+    def _may_be_misread(self, w: str) -> bool:
+        if len(w) < 3 or w.isdigit() or not any("a" <= ch <= "z" for ch in w):
+            return False
+        if w[0].islower() or w[0] in "1|056":
+            return self.corrected(w) is not None
+        return w[1:].islower() and self.corrected(w.lower() if w[0] != "I" else "l" + w[1:]) is not None
+
+    def better(self, have: str) -> list[tuple[str, int]]:
+        """(character, count) of the common contexts that a context may have been read from."""
+        if have not in self.wants:
+            found = [(ch, self.count(have[0] + ch + have[2])) for ch in ZH_ALL.get(have[1], ())]
+            self.wants[have] = [x for x in found if x[1] >= self.share(COMMON_ZH)]
+        return self.wants[have]
+
     def corrected(self, word: str) -> str | None:
         """The word that a rare one was read from, if there is one."""
         if word not in self.known:
-            if len(self.known) > 300_000:
+            if len(self.known) > CACHE:
                 self.known.clear()
             self.known[word] = self._corrected(word)
         return self.known[word]
 
     def _corrected(self, word: str) -> str | None:
+        if not self.rare_alike and not self.possible(word):
+            return None
         longest = max((len(w) for w in self.rare), default=0)
         if len(word) > max(self.longest, longest) + 4:  # no word can come of it
             return None
@@ -295,7 +395,11 @@ def joins(a: str, b: str, v: Vocabulary) -> bool:
 
 def repair(text: str | None, v: Vocabulary) -> tuple[list[str], str | None]:
     """The kinds of noise in a text and its repaired form: continuous paragraphs, blank lines between them."""
-    return repair_words(*without_furniture(text, v), v) if text else ([], text)
+    if not text:
+        return [], text
+    plain, parts = shield(text)
+    kinds, out = repair_words(*without_furniture(plain, v), v, parts is None)
+    return kinds, unshield(out, parts)
 
 
 def without_furniture(text: str, v: Vocabulary) -> tuple[set[str], str]:
@@ -330,19 +434,23 @@ def without_furniture(text: str, v: Vocabulary) -> tuple[set[str], str]:
 def asked(body: str, v: Vocabulary) -> list[str]:
     """The words and contexts that aren't common whose counts the repair of a body can ask for."""
     out = set()
-    for m in _SPLIT.finditer(body):
+    divided = bool(_LINE_END.search(body))
+    for m in _SPLIT.finditer(body) if divided else ():
         out.update((f"{m[1]}{m[2]}".lower(), f"{m[1]}-{m[2]}".lower()))
-    for w in set(_MIXED.findall(_SPLIT.sub(r"\1\2", body))):
+    for w in set(_MIXED.findall(_SPLIT.sub(r"\1\2", body) if divided else body)):
         if len(w) > 2:
-            out.update((w,) if not w[0].isupper() else (w.lower(), "l" + w[1:]) if w[0] == "I" else (w.lower(),))
+            upper = w[0].isupper()  # what a capitalised word is corrected to is always a common one
+            for x in ((w.lower(), "l" + w[1:]) if w[0] == "I" else (w.lower() if upper else w,)):
+                if x not in v.counts and ((v.rare_may_be_right and not upper) or v.possible(x)):
+                    out.add(x)
     if v.share(COMMON_ZH) <= RATIO * LEAST:  # else a common context is always more than RATIO times one that isn't
-        flat = body.replace("\n", "")
-        out.update(c for m in _ZH.finditer(flat) if (c := context(flat, m.start(), m[0])))
+        out.update(c for c in contexts(body.replace("\n", "")) if v.better(c))
     return [w for w in out if w not in v.counts and not w.isdigit() and not w.isupper()]
 
 
-def repair_words(kinds: set[str], body: str, v: Vocabulary) -> tuple[list[str], str]:
-    """The kinds of noise, those given included, and the repaired form of a body without page furniture."""
+def repair_words(kinds: set[str], body: str, v: Vocabulary, join: bool = True) -> tuple[list[str], str]:
+    """The kinds of noise, those given included, and the repaired form of a body without page furniture; ``join``: the
+    lines of a paragraph become one (in texts with markup lines have a meaning and stay)."""
 
     def divided(m: re.Match) -> str:
         if joins(m[1], m[2], v):
@@ -350,7 +458,8 @@ def repair_words(kinds: set[str], body: str, v: Vocabulary) -> tuple[list[str],
             return m[1] + m[2]
         return m[1] + "-" + m[2]
 
-    body = _SPLIT.sub(divided, body)
+    if _LINE_END.search(body):
+        body = _SPLIT.sub(divided, body)
 
     def number(m: re.Match) -> str:
         if _CODE_TAIL.search(body[max(0, m.start() - 6) : m.start()]):
@@ -358,11 +467,13 @@ def repair_words(kinds: set[str], body: str, v: Vocabulary) -> tuple[list[str],
         kinds.add("misread")
         return _number(m)
 
-    body = _LONE.sub(number, _NUMBER_LIKE.sub(number, body))
+    if _DIGIT_LETTER.search(body):
+        body = _NUMBER_LIKE.sub(number, body)
+    body = _LONE.sub(number, body)
 
     def word(m: re.Match) -> str:
         w = m[0]
-        if len(w) < 3 or v.known.get(w, w) is None or not re.search("[a-z]", w):
+        if not v.may_be_misread(w):
             return w
         low = w
         if not w[0].islower() and w[0] not in "1|056":
@@ -376,20 +487,24 @@ def repair_words(kinds: set[str], body: str, v: Vocabulary) -> tuple[list[str],
         kinds.add("misread")
         return fixed if low == w else fixed.capitalize()
 
-    body = _MIXED.sub(word, body)
+    if any(map(v.may_be_misread, set(_MIXED.findall(body)))):
+        body = _MIXED.sub(word, body)
     if _ZH.search(body):
-        flat_at = [i for i, ch in enumerate(body) if ch != "\n"]
         flat = body.replace("\n", "")
+        told = {c for c in contexts(flat) if v.better(c)}
         fixes = {}
-        for m in _ZH.finditer(flat):
-            have = context(flat, m.start(), m[0])
-            for other in ZH_ALL.get(m[0], ()):
-                want = context(flat, m.start(), other)
-                if want and v.count(want) >= v.share(COMMON_ZH) and v.count(want) > RATIO * v.count(have):
-                    fixes[flat_at[m.start()]] = other
+        if told:
+            flat_at = [i for i, ch in enumerate(body) if ch != "\n"]
+            for m in _IN_CONTEXT.finditer(f" {flat} "):
+                c = same(m[1])
+                for ch, n in v.better(c) if c in told else ():
+                    if n > RATIO * v.count(c):
+                        fixes[flat_at[m.start()]] = ch
         if fixes:
             kinds.add("misread")
             body = "".join(fixes.get(i, ch) for i, ch in enumerate(body))
+    if not join:
+        return [k for k in KINDS if k in kinds], body
     paragraphs = []
     for p in re.split(r"\n\s*\n", body):
         parts = [x.strip() for x in p.split("\n") if x.strip()]
@@ -407,12 +522,32 @@ for _a, _b in (*ZH_CONFUSIONS.items(),):
     ZH_ALL.setdefault(_a, []).append(_b)
 
 
-def is_plain(text: str | None) -> bool:
-    """Whether a text can come from a scanned page: it has several lines and no block markup or sheet rows."""
-    return bool(text) and "\n" in text and not _MARKED.search(text)
+_MARKED = re.compile(r"\\(?:begin|end|section|item|textbf)\b|</?(?:p|li|td|tr|ul|ol|h\d|pre|table|div)\b|^```|^~~~|^\{\||^#{1,6} |^={2,}|\*\*|\[\[|^#[A-Z_]+#|\|---", re.M | re.I)
+#: In texts with markup: code, formulas and tables, lines that are built of marks, and marks inside lines.
+_SHIELDED = re.compile(
+    r"^(?P<f>```|~~~).*?(?:^(?P=f)[^\n]*$|\Z)|<(?P<t>pre|code|script|style)\b.*?</(?P=t)\s*>|\\begin\{(?P<e>verbatim|lstlisting|minted|equation|align|tabular)(?P<s>[*x]?)\}.*?\\end\{(?P=e)(?P=s)\}"
+    r"|^\{\|.*?(?:^\|\}|\Z)|\$\$.+?\$\$|\\\[.+?\\\]|^(?:[ \t]+|[#|!<=*+>:{}\\-]|\d+[.)]\s)[^\n]*$"
+    r"|`[^`\n]+`|\$[^$\n]+\$|\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?|<[^<>\n]+>|\[\[[^\]\n]*\]\]|\{\{[^}\n]*\}\}|\]\([^)\n]*\)|&#?\w+;|https?://\S+",
+    re.M | re.S | re.I,
+)
+_SHIELD = re.compile("\ue000(\\d+)\ue001")
 
 
-_MARKED = re.compile(r"\\(?:begin|end|section|item|textbf)\b|</?(?:p|li|td|tr|ul|ol|h\d|pre|table|div)\b|^```|^~~~|^\{\||^#{1,6} |^={2,}|\*\*|\[\[|^#[A-Z_]+#|\|---", re.M | re.I)
+def shield(text: str) -> tuple[str, list[str] | None]:
+    """A text with what is markup, code or formula in it replaced by signs, and these parts; plain texts have None."""
+    if not _MARKED.search(text):
+        return text, None
+    parts: list[str] = []
+
+    def put(m: re.Match) -> str:
+        parts.append(m[0])
+        return f"\ue000{len(parts) - 1}\ue001"
+
+    return _SHIELDED.sub(put, text.replace("\r\n", "\n").replace("\r", "\n").replace("\ue000", "")), parts
+
+
+def unshield(text: str, parts: list[str] | None) -> str:
+    return _SHIELD.sub(lambda m: parts[int(m[1])], text) if parts else text
 
 
 def count_words(docs: DataFrame, content_col: str = "content") -> DataFrame:
@@ -425,8 +560,8 @@ def count_words(docs: DataFrame, content_col: str = "content") -> DataFrame:
         for df in batches:
             for t in df["_text"]:
                 words.update(words_of(t))
-                if is_plain(t):
-                    page = Page(t)
+                if "\n" in t or "\f" in t:
+                    page = Page(shield(t)[0])
                     heads.update({k for i in page.repeated for k in templates_of(page.lines[i])})
         yield pd.DataFrame([("w", w, n) for w, n in words.items()] + [("h", w, n) for w, n in heads.items()] + [("n", "", sum(words.values()))], columns=["kind", "word", "n"])
 
@@ -461,9 +596,9 @@ def rare_counts(asked_for: DataFrame, counts: DataFrame, total: int) -> DataFram
 def repair_scans(docs: DataFrame, id_col: str = "id", content_col: str = "content", vocabulary: Vocabulary | None = None) -> DataFrame:
     """(id, noise array<string>, repaired_text) for every row.
 
-    Texts of one line, with markup or with sheet rows don't come from scanned pages and are kept as they are. Null
-    content gives no noise and null text; repeated rows and null ids are kept; other columns are dropped. A vocabulary
-    that is given counts as whole: what it lacks was never seen.
+    In texts with markup the marks, code, formulas, tables and sheet rows are kept as they are, and lines stay lines. Null
+    content gives no noise and null text, empty content an empty text; repeated rows and null ids are kept; other columns are
+    dropped. A vocabulary that is given counts as whole: what it lacks was never seen.
     """
     counts = count_words(docs, content_col) if vocabulary is None else None
     vocabulary = vocabulary or fit_vocabulary(counts)
@@ -474,28 +609,36 @@ def repair_scans(docs: DataFrame, id_col: str = "id", content_col: str = "conten
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = sent.value
         for df in batches:
-            done = [(*without_furniture(t, v), True) if is_plain(t) else ((), t, False) for t in df["_text"]]
-            yield pd.DataFrame({"_id": df["_id"], "_kinds": [list(d[0]) for d in done], "_text": [d[1] for d in done], "_plain": [d[2] for d in done], "_asked": [asked(d[1], v) if d[2] else [] for d in done]})
+            done = []
+            for t in df["_text"]:
+                plain, parts = shield(t) if t else (t, None)
+                kinds, body = without_furniture(plain, v) if t else ((), t)
+                done.append((list(kinds), body, parts, asked(body, v) if t else []))
+            yield pd.DataFrame({"_id": df["_id"], **{c: [d[k] for d in done] for k, c in enumerate(("_kinds", "_text", "_parts", "_asked"))}})
 
-    bodies = rows.mapInPandas(strip, f"_id {id_type}, _kinds array<string>, _text string, _plain boolean, _asked array<string>")
+    bodies = rows.mapInPandas(strip, f"_id {id_type}, _kinds array<string>, _text string, _parts array<string>, _asked array<string>")
     bodies = bodies.withColumn("_rare", F.lit(None).cast("array<string>"))
     if counts is not None:
         bodies = common.checkpoint(bodies.drop("_rare").withColumn("_row", F.monotonically_increasing_id()))
         wanted = bodies.select("_row", F.explode("_asked").alias("word"))
         told = wanted.join(rare_counts(wanted, counts, vocabulary.total), "word").groupBy("_row").agg(F.array_distinct(F.flatten(F.collect_list("rare"))).alias("_rare"))
-        bodies = bodies.filter("_plain").join(told, "_row", "left").unionByName(bodies.filter("not _plain"), allowMissingColumns=True)
+        asking = bodies.filter("size(_asked) > 0").join(told, "_row", "left")
+        bodies = asking.unionByName(bodies.filter("size(_asked) = 0"), allowMissingColumns=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = sent.value
         for df in batches:
             done = []
-            for t, k, plain, rare in zip(df["_text"], df["_kinds"], df["_plain"], df["_rare"]):
-                if plain:
+            for t, k, parts, rare in zip(df["_text"], df["_kinds"], df["_parts"], df["_rare"]):
+                if t:
                     v.add_rare({w: int(n) for n, w in (x.split(" ", 1) for x in (rare if rare is not None else ()))})
-                done.append(repair_words(set(k), t, v) if plain else ([], t))
+                    kinds, out = repair_words(set(k), t, v, parts is None)
+                    done.append((kinds, unshield(out, None if parts is None else list(parts))))
+                else:
+                    done.append((list(k), t))
             yield pd.DataFrame({id_col: df["_id"], "noise": [d[0] for d in done], "repaired_text": [d[1] for d in done]})
 
-    return bodies.select("_id", "_kinds", "_text", "_plain", "_rare").mapInPandas(run, f"`{id_col}` {id_type}, noise array<string>, repaired_text string")
+    return bodies.select("_id", "_kinds", "_text", "_parts", "_rare").mapInPandas(run, f"`{id_col}` {id_type}, noise array<string>, repaired_text string")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
