@@ -128,6 +128,34 @@ def test_neighbours_against_brute_force(spark):
     assert p3.nearest(df.limit(0)).count() == 0
 
 
+def test_neighbours_where_most_shards_are_not_asked(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 64))
+    x = centres[rng.integers(0, 40, 1500)] + 0.6 * rng.normal(size=(1500, 64))
+    df = spark.createDataFrame([("c", f"{i:04}", [float(v) for v in r]) for i, r in enumerate(x)], "collection string, id string, embedding array<float>")
+    assert len(p3.fit_shards(p3.valid_vectors(df), 45)["c"]) >= 5 * p3.PROBES
+    got: dict = {}
+    for r in p3.nearest(df, shard=45).collect():
+        got.setdefault(r.id, set()).add(r.neighbour)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -3)
+    top = np.argsort(-s, axis=1)[:, :5]
+    assert sum(len(got[f"{i:04}"] & {f"{j:04}" for j in top[i]}) for i in range(1500)) / 7500 >= 0.9
+
+
+def test_every_node_of_a_graph_is_reachable():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([c + 0.002 * rng.normal(size=(40, 64)) for c in rng.normal(size=(25, 64))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    graph, entries = p3.build_graph(x)
+    assert p3.reachable(graph, entries).all()
+    few = np.array([0], dtype=np.int32)
+    broken = graph.copy()
+    broken[broken >= 500] = -1
+    assert not p3.reachable(broken, few).all() and p3.reachable(p3.connect(x, broken, few), few).all()
+
+
 # 4
 
 

@@ -26,10 +26,10 @@ K, DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 5, 32, 32, 32, 1.1
 SHARD, SHARD_MOST, CENTROIDS_MOST = 4096, 16_384, 4096
 #: Questions to a shard that one task answers; more are spread over several tasks, each of which gets the graph.
 ASKS = 40_000
-#: Nodes at which a search starts.
-ENTRIES = 32
-#: Shards that a query searches.
-PROBES = 6
+#: Nodes of a graph at whose nearest a search starts: each is as far as can be from those before.
+ENTRIES = 256
+#: Shards that a query searches at most: those whose centroid is as similar as the nearest one's, but for MARGIN.
+PROBES, MARGIN = 6, 0.3
 #: Rows of the sample on which the centroids of a collection are fitted.
 SAMPLE = 20_000
 #: Queries of one task and one array operation.
@@ -51,11 +51,10 @@ def beam_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, beam: int
     m = len(queries)
     ids = np.full((m, beam), -1, dtype=np.int32)
     sims = np.full((m, beam), -2, dtype=np.float32)
-    start = entries[:beam]
-    ids[:, : len(start)] = start
-    sims[:, : len(start)] = queries @ x[start].T
-    order = np.argsort(-sims, axis=1, kind="stable")
-    ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+    near = queries @ x[entries].T
+    best = _top(near, beam)  # the search begins at the entries nearest to the query
+    ids[:, : best.shape[1]] = entries[best]
+    sims[:, : best.shape[1]] = np.take_along_axis(near, best, 1)
     done = ids < 0
     active = np.arange(m)
     while len(active):
@@ -106,6 +105,16 @@ def robust_prune(x: np.ndarray, nodes: np.ndarray, cand: np.ndarray, sims: np.nd
     return out
 
 
+def spread(x: np.ndarray, count: int) -> np.ndarray:
+    """Nodes spread over all regions: the one nearest to the mean, then each the farthest from those that are chosen."""
+    chosen = [int(np.argmax(x @ x.mean(axis=0)))]
+    near = x @ x[chosen[0]]
+    while len(chosen) < count:
+        chosen.append(int(np.argmin(near)))
+        near = np.maximum(near, x @ x[chosen[-1]])
+    return np.unique(np.array(chosen, dtype=np.int32))
+
+
 def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Graph and entry nodes over unit vectors, inserted in batches that double in size; two insertions of a batch
     don't see each other, but a second pass over all nodes does."""
@@ -113,7 +122,7 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
     rng = np.random.default_rng(seed)
     graph = np.full((n, degree), -1, dtype=np.int32)
     perm = rng.permutation(n).astype(np.int32)
-    entries = np.unique(np.concatenate([[np.argmax(x @ x.mean(axis=0))], perm[: min(ENTRIES, n)]])).astype(np.int32)
+    entries = spread(x, min(ENTRIES, n))
     first = perm[: min(n, 64)]
     graph[first] = robust_prune(x, first, np.broadcast_to(first, (len(first), len(first))), x[first] @ x[first].T, degree, alpha)
     known = np.isin(entries, first)
@@ -140,15 +149,47 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
             graph[b] = robust_prune(x, b, cand, s, degree, alpha)
 
     done = len(first)
-    starts = entries[known] if known.any() else first[:1]
+    starts = entries[known] if known.any() else first[:1]  # of the entries those that are in the graph
     while done < n:
         batch = perm[done : done + min(max(64, done), QUERY_BLOCK)]
         insert(batch, starts)
         done += len(batch)
         starts = entries[np.isin(entries, perm[:done])]
+        starts = starts if len(starts) else first[:1]
     for lo in range(0, n, QUERY_BLOCK):
         insert(perm[lo : lo + QUERY_BLOCK], entries)
-    return graph, entries
+    return connect(x, graph, entries, beam), entries
+
+
+def reachable(graph: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Marks of the nodes that a walk from the entries can reach."""
+    seen = np.zeros(len(graph), dtype=bool)
+    seen[entries] = True
+    now = np.unique(entries)
+    while len(now):
+        near = np.unique(graph[now])
+        now = near[near >= 0]
+        now = now[~seen[now]]
+        seen[now] = True
+    return seen
+
+
+def connect(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, beam: int = BUILD_BEAM) -> np.ndarray:
+    """The graph with more edges until every node can be reached: pruning may leave groups of near-equal vectors that only
+    point at each other. Each round links the reachable node that a search finds nearest to a lost one to it."""
+    while True:
+        lost = np.flatnonzero(~reachable(graph, entries))
+        if not len(lost):
+            return graph
+        found, sims = beam_search(x, graph, x[lost], beam, entries)
+        order = np.argsort(-sims[:, 0], kind="stable")
+        sources, first = np.unique(found[order, 0], return_index=True)  # one new edge for each source
+        targets = lost[order][first]
+        free = graph[sources] < 0
+        if not free.any(axis=1).all():
+            graph = np.concatenate([graph, np.full((len(graph), 1), -1, dtype=np.int32)], axis=1)
+            free = graph[sources] < 0
+        graph[sources, np.argmax(free, axis=1)] = targets
 
 
 def _unit(values: pd.Series) -> np.ndarray:
@@ -208,8 +249,10 @@ def nearest(vectors: DataFrame, k: int = K, dim: int = DIM, shard: int = SHARD,
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             for c, g in df.groupby("collection", sort=False):
-                near = _top(_unit(g.embedding) @ centroids.value[c].T, probes)
-                yield pd.DataFrame({"collection": c, "shards": list(near.astype("int32")), "id": g.id.to_numpy(), "embedding": g.embedding.to_numpy()})
+                sims = _unit(g.embedding) @ centroids.value[c].T
+                near = _top(sims, probes).astype("int32")
+                close = np.take_along_axis(sims, near, 1) >= sims[np.arange(len(near)), near[:, 0]][:, None] - MARGIN
+                yield pd.DataFrame({"collection": c, "shards": [n[k] for n, k in zip(near, close)], "id": g.id.to_numpy(), "embedding": g.embedding.to_numpy()})
 
     routed = valid.mapInPandas(assign, "collection string, shards array<int>, id string, embedding array<float>")
     routed = common.checkpoint(routed)
