@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 
@@ -199,6 +200,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     id_type, item_type = rows.schema["_id"].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
+    item_arrow = to_arrow_type(items.schema[item_col].dataType)
     schema = f"`{id_col}` {id_type}, `{item_col}` {item_type}, longest bigint, anchors bigint"
     spark, results = docs.sparkSession, []
     for block in _blocks(items, item_col, item_text_col, lang_col):
@@ -236,19 +238,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                     hits += [x for zh in (False, True) for x in _near(texts, test, zh, proximity) if x[:2] not in exact]
                 if hits:
                     doc, k, run, n = map(list, zip(*hits))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array([test.items[i][0] for i in k]).cast(_arrow(item_type)), pa.array(run, pa.int64()), pa.array(n, pa.int64())], names=[id_col, item_col, "longest", "anchors"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array([test.items[i][0] for i in k]).cast(item_arrow), pa.array(run, pa.int64()), pa.array(n, pa.int64())], names=[id_col, item_col, "longest", "anchors"])
 
         results.append(rows.mapInArrow(search, schema))
     return reduce(DataFrame.unionByName, results) if results else spark.createDataFrame([], schema)
 
 
-def _arrow(kind: str) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import StructType
-
-    return to_arrow_type(StructType.fromDDL(f"x {kind}")[0].dataType)
-
-
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p9_found: documents against eval_items."""
     return find_leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
