@@ -209,3 +209,116 @@ def test_store_rules(spark):
     assert providers.detect_genre("t", "c", "xlsx") == "tabular" and providers.rewrite("q", []) == "q"
     with pytest.raises(ValueError):
         office.check_workbook("a.xls", b"PK\x03\x04")
+
+
+def test_rules_of_lists_roles_and_flags(spark):
+    assert one(spark, text.clean_text(F.col("t"), F.col("k")), t="grew by\n3.5 percent in\n2024.06 report", k="txt") == "grew by 3.5 percent in 2024.06 report"
+    assert one(spark, text.clean_text(F.col("t"), F.col("k")), t="a\n1) b\n2. c\n+ d\n• e", k="txt") == "a\n1) b\n2. c\n+ d\n• e".replace("\n• e", "\n• e")
+    assert one(spark, text.clean_text(F.col("t"), F.col("k")), t="x\n• y", k="txt") == "x • y"
+    assert one(spark, text.strip_roles(F.col("t")), t="#DATA#1\n#ABC#2\nx#DATA#") == "1\n#ABC#2\nx#DATA#"
+    assert chunking.role_rows("#ABC#a,b\n#FORM#c") == [("data", ["#ABC#a", "b"]), ("form", ["c"])]
+    assert [one(spark, text.parse_flag(F.col("t"), True), t=v) for v in (" On", "0", "yes", "no", " ")] == [True, False, True, True, None]
+    assert one(spark, text.clean_text(F.col("t"), F.col("k"), spaces=False, hard_breaks=False, blank_lines=False), t=" a  b\r\nc\n\n\n\n", k="txt") == " a  b\nc\n\n\n\n"
+    assert one(spark, text.clean_text(F.col("t"), F.col("k"), protect_lists=False), t="a\n- b\n\nc", k="txt") == "a - b\n\nc"
+
+
+def _sources(spark, *ids):
+    return spark.createDataFrame([(i, i.upper()) for i in ids], "id string, name string").selectExpr("id", "name", "cast(null as string) as description", "id as md5", "true as vector_synced", "cast(null as timestamp_ntz) as archived_at", "cast(null as timestamp_ntz) as created_at", "cast(null as timestamp_ntz) as updated_at")
+
+
+def test_a_crash_between_writing_and_publishing_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    catalog = readers.Catalog(spark, str(tmp_path / "kb"))
+    assert catalog.version() == 0 and catalog.read("sources").count() == 0
+    catalog.publish({"sources": _sources(spark, "a")})
+    commit = readers.Catalog._commit
+
+    def crash(*_):
+        raise OSError("gone")
+
+    monkeypatch.setattr(readers.Catalog, "_commit", crash)
+    with pytest.raises(OSError):
+        catalog.publish(added={"sources": _sources(spark, "b")})
+    monkeypatch.setattr(readers.Catalog, "_commit", commit)
+    again = readers.Catalog(spark, str(tmp_path / "kb"))
+    assert again.version() == 1 and [r.id for r in again.read("sources").collect()] == ["a"]
+    assert again.publish(added={"sources": _sources(spark, "c")}) == 2 and again.read("sources").count() == 2
+    assert again.read("sources", 1).count() == 1  # the version before stays readable
+
+
+def test_of_two_writers_one_gets_a_conflict(spark, tmp_path):
+    one_, two = (readers.Catalog(spark, str(tmp_path / "kb")) for _ in range(2))
+    base = one_.version()
+    one_.publish({"sources": _sources(spark, "a")}, base=base)
+    with pytest.raises(readers.Conflict):
+        two.publish({"sources": _sources(spark, "b")}, base=base)
+    assert [r.id for r in two.read("sources").collect()] == ["a"]
+    parts = two.manifest()
+    assert two.publish(added={"sources": _sources(spark, "b")}) == 2 and two.manifest()["sources"][0] == parts["sources"][0]
+    assert two.publish(rewritten={"sources": lambda x: (x.filter("id = 'b'"), x.filter("id != 'b'"))}) == 3
+    assert two.manifest()["sources"][0] == parts["sources"][0] and [r.id for r in two.read("sources").collect()] == ["a"]
+    assert two.compact("sources") == 4 and two.clean(1) > 0 and two.read("sources").count() == 1
+
+
+def test_a_rebuilt_source_is_replaced_in_one_version(spark, tmp_path):
+    catalog = readers.Catalog(spark, str(tmp_path / "kb"))
+    row = lambda title, content: spark.createDataFrame([("p", title, content, "p", "txt", None)], readers.LOADED)
+    known = [("organization", "Alpha Works"), ("organization", "Beta Ltd")]
+    plan.ingest(catalog, row("Alpha", "Alpha Works signed a lease."), known)
+    own = catalog.read("sources").first().id
+    assert plan.rebuild(catalog, own, row("other", "Beta Ltd signed a lease."), known=known) == 2
+    t = catalog.all()
+    assert [r.name for r in t["sources"].collect()] == ["Alpha"] and t["documents"].count() == t["events"].count() == t["chunks"].count() == 1
+    assert [r.name for r in t["entities"].collect()] == ["Beta Ltd"] and t["vectors"].filter("collection = 'entities'").count() == 1
+    assert plan.rebuild(catalog, t["sources"].first().id, row("other", "Beta Ltd signed a lease.")) == 2
+    assert {r.what: r.n for r in search_plan.stats(t).collect()}["links"] == 1 and search_plan.sources(t).first().n_chunks == 1
+
+
+def test_semantic_splitting():
+    alike = lambda texts: [[1.0, 0.0] if "sea" in t else [0.0, 1.0] for t in texts]
+    content = "The sea is calm. A sea bird. More sea. Now of taxes. Taxes rise. Taxes fall."
+    assert chunking.semantic_parts(content, 80, alike) == ["The sea is calm. A sea bird. More sea.", "Now of taxes. Taxes rise. Taxes fall."]
+    assert chunking.semantic_parts("One. Two.", 95, alike) == ["One. Two."]
+
+
+def test_models_of_the_scenes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(providers, "REGISTRY", {})
+    providers.register("extract", lambda prompt: '{"title": "T", "summary": "' + ("after" if "What came before" in prompt else "first") + '", "entities": [{"type": "person", "name": "Ann", "weight": 0.9}]}')
+    rows = spark.createDataFrame([("c1", "d", 0, "h", "x", "generic"), ("c2", "d", 1, "h", "y", "generic"), ("c3", "e", 0, "h", "z", "tabular"), ("c4", "e", 1, "h", "z", "tabular")], "id string, document_id string, rank_index int, heading string, content string, genre string")
+    told = {r.id: r.event.summary for r in providers.extract_events(rows, []).collect()}
+    assert told == {"c1": "first", "c2": "after", "c3": "first", "c4": "first"}
+    assert {r.event.summary for r in providers.extract_events(rows, [], p=IngestParams(parallel=True)).collect()} == {"first"}
+    providers.register("entities", lambda prompt: '["Ann", "Bob"]')
+    entities = spark.createDataFrame([("1", "ann", "Ann"), ("2", "bobby", "Bobby")], "id string, normalized_name string, name string")
+    assert [r.entity_id for r in providers.query_entities("who?", entities).collect()] == ["1"]
+    providers.register("entities", lambda prompt: "no list")
+    assert providers.query_entities("who?", entities).count() == 0
+    providers.register("rerank", lambda prompt: "2, 9, 0, 2")
+    coarse = spark.createDataFrame([("a", 0.9, 0), ("b", 0.8, 1), ("c", 0.7, 2)], "event_id string, score double, pos int")
+    depths, counts = spark.createDataFrame([], "event_id string, depth int"), spark.createDataFrame([], "event_id string, strong long, medium long, weak long")
+    texts = spark.createDataFrame([("a", "A", "s")], "event_id string, title string, summary string")
+    run = lambda order: [r.event_id for r in rank.rerank_with(coarse, depths, counts, texts, order, P).orderBy("pos").collect()]
+    assert run(providers.model_order("q")) == ["c", "a", "b"]
+
+    def fails(rows):
+        raise OSError
+
+    assert run(fails) == ["a", "b", "c"] and run(None) == ["a", "b", "c"]
+
+
+def test_pages_are_checked():
+    with pytest.raises(ValueError):
+        store.checked_page(501)
+    with pytest.raises(ValueError):
+        store.checked_page(5, 0, "context")
+    assert store.checked_page(100, 3, "search") == (100, 3) and store.changes(a=None, b=1) == {"b": 1} and not store.changes(a=None)
+
+
+def test_fill_down_keeps_to_data_rows_and_word_tables_have_sections():
+    m = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    c = lambda ref, v: f'<c r="{ref}" t="inlineStr"><is><t>{v}</t></is></c>'
+    sheet = f'<worksheet {m}><sheetData><row r="1">{c("A1", "Report")}</row><row r="2">{c("B2", "Signed by: X")}{c("C2", "2020")}</row><row r="3">{c("A3", "item")}{c("B3", "n")}</row><row r="4">{c("A4", "x")}{c("B4", "1")}</row><row r="5">{c("B5", "2")}</row></sheetData><mergeCells><mergeCell ref="A1:A2"/><mergeCell ref="A4:A5"/></mergeCells></worksheet>'
+    book = _zip({"xl/workbook.xml": f'<workbook {m}><sheets><sheet name="S" r:id="r1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>', "xl/worksheets/sheet1.xml": sheet})
+    assert office.workbook_text(book) == "=== S ===\n#TITLE#Report,,\n#SIGNING#,Signed by: X,2020\n#DATA#item,n,\n#DATA#x,1,\n#DATA#x,2,"
+    assert [(r["row"], r["col"], r["text"]) for r in office.workbook_raw(book)][-1] == (4, 1, "2") and len(office.workbook_raw(book)) == 8
+    assert office._sections_markdown([["a", "b"], ["1", "2"], ["Part two", "Part two"], ["3", "4"]]) == "| a | b |\n|---|---|\n| 1 | 2 |\n\n**Part two**\n\n|  |  |\n|---|---|\n| 3 | 4 |"
+    assert office.word_text(_zip({"word/document.xml": "<w:document><w:p><w:t>one &amp; two</w:t></w:p><w:p><w:t xml:space='preserve'>three</w:t></w:p>"})) == "one & two\n\nthree"

@@ -115,6 +115,27 @@ def column_clusters(blocks: DataFrame, tolerance: int) -> DataFrame:
     return x.select("page_id", "x0", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("column"))
 
 
+def table_regions(blocks: DataFrame, keys: list[str], tolerance: float = 30.0, columns: int = 2, rows: int = 3) -> DataFrame:
+    """(keys, region, first_line, last_line) of tables on pages of blocks (keys, line, x0, x1).
+
+    A line's signature are the centres of the gaps between its blocks. Lines that follow each other and have equally
+    many gaps, of which three fifths lie near one of the line before, make a region; of ``columns`` blocks a line and
+    ``rows`` lines at least.
+    """
+    block = F.struct(((F.col("x0") + F.col("x1")) / 2).alias("c"), "x0", "x1")
+    x = blocks.groupBy(*keys, "line").agg(F.sort_array(F.collect_list(block)).alias("_b"))
+    n = F.size("_b")
+    gaps = F.when(n > 1, F.zip_with(F.slice("_b", 1, F.greatest(n - 1, F.lit(1))), F.slice("_b", 2, F.greatest(n - 1, F.lit(1))), lambda a, b: (a["x1"] + b["x0"]) / 2)).otherwise(F.array().cast("array<double>"))
+    w = Window.partitionBy(*keys).orderBy("line")
+    x = x.select(*keys, "line", gaps.alias("_g")).withColumn("_p", F.lag("_g").over(w))
+    near = F.size(F.filter("_g", lambda a: F.exists("_p", lambda b: F.abs(a - b) <= tolerance)))
+    able = F.size("_g") >= columns - 1
+    follows = F.coalesce((F.size("_g") == F.size("_p")) & (F.size("_g") > 0) & (near >= F.size("_g") * 0.6), F.lit(False))
+    x = x.withColumn("_able", able).withColumn("_new", (~(follows & F.coalesce(F.lag(able).over(w), F.lit(False)))).cast("int"))
+    x = x.withColumn("region", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("_able")
+    return x.groupBy(*keys, "region").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count("*").alias("_n")).filter(F.col("_n") >= rows).drop("_n")
+
+
 def blocks_in_boxes(blocks: DataFrame, boxes: DataFrame) -> DataFrame:
     """Blocks whose centre lies in a box (page_id, box_id, bx0, by0, bx1, by1), borders included. Joined by page, then by range."""
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2

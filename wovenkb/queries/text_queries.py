@@ -196,6 +196,14 @@ def c23_rewrites(spark, d):
     return table(spark, d, "kb_events").select("id", told.alias("told")).distinct().select("id", text.clean_rewrite(F.col("told")).alias("question"))
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each line number of an order."""
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_returnflag")))
+
+
+_LINES = "lines AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2)"
+
+
 # Pages, made of the lines of orders: an order is a page, a line a block
 
 
@@ -222,6 +230,22 @@ def w6_reading_order(spark, d):
     return layout.reading_order(_blocks(spark, d)).select("page_id", "text", "line", "pos")
 
 
+@query("WITH " + _LINES + """, b AS (SELECT l_orderkey AS page_id, l_linenumber AS line, u.x0, u.x1 FROM lines, LATERAL (VALUES (0, 40 + l_partkey % 3 * 20), (100 + l_suppkey % 4 * 20, 160 + l_suppkey % 4 * 20), (300, 340)) u(x0, x1) WHERE u.x0 < 300 OR l_partkey % 5 > 0),
+s AS (SELECT page_id, line, list(struct_pack(c := (x0 + x1) / 2.0, a := x0, z := x1) ORDER BY (x0 + x1) / 2.0, x0, x1) AS l FROM b GROUP BY 1, 2),
+g AS (SELECT page_id, line, [(l[i].z + l[i + 1].a) / 2.0 FOR i IN range(1, len(l))] AS g FROM s), p AS (SELECT *, lag(g) OVER (PARTITION BY page_id ORDER BY line) AS p FROM g),
+n AS (SELECT *, CASE WHEN p IS NOT NULL AND len(g) = len(p) AND len(list_filter(g, lambda a: len(list_filter(p, lambda b: abs(a - b) <= 30)) > 0)) >= 0.6 * len(g) THEN 0 ELSE 1 END AS new FROM p),
+r AS (SELECT page_id, line, sum(new) OVER (PARTITION BY page_id ORDER BY line) AS region FROM n)
+SELECT page_id, region, min(line) AS first_line, max(line) AS last_line FROM r GROUP BY 1, 2 HAVING count(*) >= 3""")
+def w8_table_regions(spark, d):
+    """Regions of tables: lines of orders stand for lines of two or three blocks."""
+    p, q = F.col("l_partkey"), F.col("l_suppkey")
+    block = lambda a, b: F.struct(F.lit(a).alias("x0") if isinstance(a, int) else a.alias("x0"), F.lit(b).alias("x1") if isinstance(b, int) else b.alias("x1"))
+    as_long = lambda c: c.cast("bigint")
+    b = F.explode(F.array(block(as_long(F.lit(0)), as_long(40 + p % 3 * 20)), block(as_long(100 + q % 4 * 20), as_long(160 + q % 4 * 20)), block(as_long(F.lit(300)), as_long(F.lit(340))))).alias("b")
+    x = _lines(spark, d).select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("line"), "l_partkey", b).filter("b.x0 < 300 or l_partkey % 5 > 0")
+    return layout.table_regions(x.select("page_id", "line", "b.x0", "b.x1"), ["page_id"])
+
+
 @query("WITH " + _BLOCKS + """, x AS (SELECT o_orderkey AS page_id, unnest([0, 1]) AS box_id, o_custkey % 300 AS bx0, o_custkey % 400 AS by0 FROM orders)
 SELECT b.page_id, text, box_id FROM b JOIN x ON x.page_id = b.page_id WHERE (x0 + x1) / 2.0 BETWEEN bx0 + box_id * 150 AND bx0 + box_id * 150 + 200 AND (y0 + y1) / 2.0 BETWEEN by0 AND by0 + 300""")
 def j11_blocks_in_boxes(spark, d):
@@ -241,14 +265,6 @@ def d16_page_kinds(spark, d):
 # Tables: the lines of an order are rows, three of their values cells
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each line number of an order."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_returnflag")))
-
-
-_LINES = "lines AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2)"
-
-
 def _cells(spark: SparkSession, sf_dir: str, second: bool = False) -> DataFrame:
     part = F.when(F.lit(second) | (F.col("l_partkey") % 4 != 0), F.col("l_partkey").cast("string")).otherwise(F.lit(""))
     supplier = F.when(F.lit(second) & (F.col("l_suppkey") % 3 == 0), F.lit("?")).otherwise(F.col("l_suppkey").cast("string"))

@@ -6,6 +6,7 @@ import csv
 import io
 import re
 import zipfile
+from html import unescape
 from datetime import datetime, timedelta
 from xml.etree import ElementTree as ET
 
@@ -109,7 +110,7 @@ def workbook_cells(data: bytes, hidden: bool = False) -> list[dict]:
             (r1, c1), (r2, c2) = _place(a), _place(b or a)
             if c1 == c2 and (r1, c1) in cells:
                 for r in range(r1 + 1, r2 + 1):
-                    cells[r, c1] = {**cells[r1, c1], "row": r, "formula": None}
+                    cells[r, c1] = {**cells[r1, c1], "row": r, "formula": None, "filled": True}
         own_rels, notes, links = _sheet_relations(z, names, path), {}, {}
         for kind, target in own_rels.values():
             if kind.endswith("/comments") and target in names:
@@ -210,21 +211,29 @@ def workbook_arrays(data: bytes) -> dict[str, list[list[object]]]:
     return {n: [[native(c) for c in r] for r in grid] for n, grid in _grids(data).items()}
 
 
+def workbook_raw(data: bytes) -> list[dict]:
+    """Cells (sheet, row, col, text) as they are stored: nothing but the first cell of a merged range, formulas as their text."""
+    return [{"sheet": c["sheet"], "row": c["row"], "col": c["col"], "text": f"={c['formula']}" if c["formula"] else c["text"]} for c in workbook_cells(data) if not c.get("filled")]
+
+
 def workbook_text(data: bytes) -> str:
-    """Role-marked CSV of all sheets, the form that the table splitter reads."""
+    """Role-marked CSV of all sheets, the form that the table splitter reads. Merged cells are filled down in data rows
+    only; titles, forms, signatures and group headers stay as they are."""
     out: list[str] = []
-    by: dict[str, dict[int, dict[int, str]]] = {}
+    by: dict[str, dict[int, dict[int, dict]]] = {}
     for c in workbook_cells(data):
-        by.setdefault(c["sheet"], {}).setdefault(c["row"], {})[c["col"]] = c["text"]
+        by.setdefault(c["sheet"], {}).setdefault(c["row"], {})[c["col"]] = c
     for name, rows in by.items():
         out.append(f"=== {name} ===")
         width = max((max(r) for r in rows.values()), default=-1) + 1
-        full = [[rows[r].get(c, "") for c in range(width)] for r in sorted(rows)]
-        full = [r for r in full if any(r)]
-        for i, (r, role) in enumerate(zip(full, row_roles(full))):
-            line = io.StringIO()
-            csv.writer(line, lineterminator="").writerow(r)
-            out.append(f"#{role.upper()}#{line.getvalue()}")
+        grids = [[[("" if c is None or (bare and c.get("filled")) else c["text"]) for c in (rows[r].get(k) for k in range(width))] for r in sorted(rows)] for bare in (False, True)]
+        kept = [(full, bare) for full, bare in zip(*grids) if any(full)]
+        for (full, bare), role in zip(kept, row_roles([bare for _, bare in kept])):
+            own = full if role == "data" else bare
+            if any(own):
+                line = io.StringIO()
+                csv.writer(line, lineterminator="").writerow(own)
+                out.append(f"#{role.upper()}#{line.getvalue()}")
     return "\n".join(out)
 
 
@@ -263,12 +272,46 @@ def _word_table(tbl: ET.Element) -> str:
                 above[len(row)] = text
                 row.append(text)
         grid.append(row)
+    return _sections_markdown(grid)
+
+
+def _sections_markdown(grid: list[list[str]]) -> str:
+    """Markdown of a grid: a row that one text spans begins a section with that text as its title; the first row of a
+    section is its header, unless it has gaps or numbers, and then the header is empty."""
     width = max(map(len, grid), default=0)
-    lines = ["| " + " | ".join(c.replace("|", "\\|") for c in [*r, *[""] * (width - len(r))]) + " |" for r in grid]
-    return "\n".join([*lines[:1], "|" + "---|" * width, *lines[1:]]) if lines else ""
+    sections: list[tuple[str, list[list[str]]]] = [("", [])]
+    for row in grid:
+        if width > 1 and len(row) == width and row[0] and len(set(row)) == 1:
+            sections.append((row[0], []))
+        else:
+            sections[-1][1].append([*row, *[""] * (width - len(row))])
+    out = []
+    for title, rows in sections:
+        if title:
+            out.append(f"**{title}**")
+        if rows:
+            named = all(rows[0]) and not any(re.fullmatch(r"[-+]?[\d.,]+%?", c) for c in rows[0])
+            lines = ["| " + " | ".join(c.replace("|", "\\|") for c in r) + " |" for r in (rows if named else [[""] * width, *rows])]
+            out.append("\n".join([lines[0], "|" + "---|" * width, *lines[1:]]))
+    return "\n\n".join(out)
+
+
+def word_paragraphs(data: bytes) -> str:
+    """The paragraphs of a Word file without any structure, for files whose structure can't be read."""
+    body = zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml").decode("utf-8", "ignore")
+    paragraphs = ("".join(re.findall(r"<w:t(?:\s[^>]*)?>([^<]*)</w:t>", p)) for p in re.split(r"</w:p>", body))
+    return "\n\n".join(unescape(p).strip() for p in paragraphs if p.strip())
 
 
 def word_text(data: bytes) -> str:
+    """Markdown of a Word file, or its bare paragraphs where that fails."""
+    try:
+        return _word_markdown(data)
+    except (ET.ParseError, KeyError, TypeError, AttributeError):
+        return word_paragraphs(data)
+
+
+def _word_markdown(data: bytes) -> str:
     """Markdown of a Word file: paragraphs and tables in their order, headings by style or numbering level."""
     z = zipfile.ZipFile(io.BytesIO(data))
     styles = {}
