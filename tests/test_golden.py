@@ -39,6 +39,7 @@ def test_text_functions(spark):
     assert one(spark, text.heading_from_text(F.col("t")), t="## Title\ntext") == "Title"
     assert one(spark, text.heading_from_text(F.col("t")), t="第一章 总则\n正文") == "总则"
     assert one(spark, text.heading_from_text(F.col("t")), t="just text") == ""
+    assert one(spark, text.heading_from_text(F.col("t")), t="\n  # set in \nx") == "set in" and one(spark, text.heading_from_text(F.col("t")), t="1.2 中文标题") == "中文标题"
     long = "key" + "x" * 500
     assert one(spark, text.snippet(F.col("t"), "KEY"), t=long) == long[:83] + "..."
     assert one(spark, text.snippet(F.col("t"), "absent"), t=long) == long[:160]

@@ -115,7 +115,7 @@ def heading_from_text(text: Column) -> Column:
             out = F.when(x.rlike("^" + mark) & named.isNotNull(), named).otherwise(out)
         return out
 
-    lines = F.filter(F.transform(F.slice(_lines(text), 1, 5), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.slice(_lines(text), 1, 5), lambda x: strip(x)), lambda x: x != "")
     heads = F.filter(F.transform(lines, found), lambda x: x.isNotNull())
     return F.coalesce(F.substring(F.try_element_at(heads, F.lit(1)), 1, 80), F.lit(""))
 

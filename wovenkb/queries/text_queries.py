@@ -104,7 +104,7 @@ def c8_c10_split_documents(spark, d):
 
 _REST = "regexp_replace(regexp_replace(x, '^(?:{mark})', ''), '^" + _WS + "+|" + _WS + "+$', '', 'g')"
 _HASHES, _CHAPTER, _ORDINAL, _NUMBER = "#{1,6}", "第[一二三四五六七八九十百]+[章节部分](?:[\\s、．.])?", "[一二三四五六七八九十]+、", "[0-9]+(?:\\.[0-9]+)*[\\s、．.]"
-_HEADING = f"""(SELECT id, document_id, rank_index, heading, substr(coalesce(list_filter(list_transform(list_filter(list_transform(string_split(content, chr(10))[1:5], lambda x: trim(x)), lambda x: x <> ''), lambda x:
+_HEADING = f"""(SELECT id, document_id, rank_index, heading, substr(coalesce(list_filter(list_transform(list_filter(list_transform(string_split(content, chr(10))[1:5], lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: x <> ''), lambda x:
 CASE WHEN regexp_matches(x, '^{_HASHES}\\s') AND {_REST.replace('{mark}', _HASHES)} <> '' THEN {_REST.replace('{mark}', _HASHES)}
 WHEN regexp_matches(x, '^{_CHAPTER}') THEN coalesce(nullif({_REST.replace('{mark}', _CHAPTER)}, ''), x)
 WHEN regexp_matches(x, '^{_ORDINAL}') AND {_REST.replace('{mark}', _ORDINAL)} <> '' THEN {_REST.replace('{mark}', _ORDINAL)}
