@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+import sys
 
 import numpy as np
 import pytest
@@ -237,6 +239,47 @@ def test_header_lines_may_differ_by_a_letter():
     assert len(page.headers) == 3
 
 
+def test_scan_repair_steps_go_with_distinct_words_and_lines():
+    page = "ACME Annual Report 2016\n" + "the record of the archive committee until the inspection of the lease\n" * 20 + "the unti1 lease\n- {} -\n"
+    text = "\f".join(page.format(i) for i in range(1, 21))
+    v = p4.Vocabulary({w: 400 for w in text.lower().split() if w.isalpha()}, 10**4, frozenset({"annual report #"}))
+    steps = 0
+
+    def count(frame, event, arg):
+        nonlocal steps
+        steps += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        kinds, body = p4.without_furniture(text, v)
+        p4.asked(body, v)
+        kinds, fixed = p4.repair_words(kinds, body, v)
+    finally:
+        sys.setprofile(None)
+    assert kinds == ["misread", "header", "page_number"] and "unti1" not in fixed and fixed.count("the until lease") == 20
+    assert steps < 2.5 * len(text.split())
+
+
+NOISE = st.text(alphabet="abilorns1530OISB|'’-¬ \t\n\f\xa0.,:/·—第页日曰年\u0663", max_size=60)
+
+
+@settings(max_examples=500, deadline=None)
+@given(NOISE)
+def test_scan_patterns_equal_their_plain_forms(text):
+    h = re.escape(p4.HYPHENS)
+    assert p4._LOWER.findall(text) == re.findall(r"(?<![\w’'-])[a-z]{2,}(?:-[a-z]+)*(?![\w’'-])", text)
+    assert p4._MIXED.findall(text) == re.findall(rf"(?<![\w’'{p4.HYPHENS}])[A-Za-z0-9|]+(?![\w’'-])", text)
+    assert bool(p4._PARTED.search(text)) == bool(re.search(r"\s\s|[\t|·—/]", text))
+    assert bool(p4._DIGIT_LETTER.search(text)) == bool(re.search(r"\d[.,]?[OolISBZ]|[OolISBZ][.,]?\d", text))
+    assert p4._LONE.sub("#", text) == re.sub(r"(?<![A-Za-z0-9-])[OolISB](?=[年月日曰])", "#", text)
+    assert p4._one_number(text.lower()) == re.sub(r"[oilsb|]*\d[\doilsb|]*", "#", text.lower())
+    split = re.compile(rf"(?<![A-Za-z0-9|])([A-Za-z0-9|]+)[{h}][ \t]*\n[ \t]*([A-Za-z0-9|]+)")
+    assert p4.divisions(text) == [(*m.span(), m[1], m[2]) for m in split.finditer(text)]
+    lines = text.replace("\f", "\n\f\n").split("\n")
+    beside = {i for i, x in enumerate(lines) if x.strip(" \t\f") and any("".join(y).strip(" \t")[:1] in ("", "\f") for y in (lines[i + 1 :], lines[:i][::-1]))}
+    assert not hasattr(p4.Page(text), "beside") or p4.Page(text).beside == beside
+
+
 # 5
 
 

@@ -54,7 +54,10 @@ _FORMS = tuple(
     ))
 )
 _INSIDE = re.compile(r"(?:\s{2,}|\s[|·—/]\s?|\t)(?:page |p\. |第 ?|- ?)?" + _N + r"(?: ?页| ?-)?$|^(?:page |p\. |第 ?)?" + _N + r"(?: ?页)?(?:\s{2,}|\s[|·—/]\s|\t)", re.I)
-_END = re.compile(r"[.!?。！？：:;；”\")）]\s*$")
+#: What the forms of page numbers begin and end with, besides digits (any case, as some are compared without case).
+_FORM_STARTS, _FORM_ENDS = frozenset("-–—·•[(pP第ivxloOISB"), frozenset("-–—·•])页ivxlIVXLoOsSbBıİſ")
+#: What a line ends with that ends a sentence.
+_ENDS = frozenset(".!?。！？：:;；”\")）")
 _CODE_TAIL = re.compile(r"[A-Z]{2}[" + HYPHENS + r"]\s*$")
 
 
@@ -72,10 +75,11 @@ def _value(text: str) -> int | None:
     return int(text) if text.isdigit() else None
 
 
-#: What every form of _INSIDE needs; lines without it aren't searched.
-_PARTED = re.compile(r"\s\s|[\t|·—/]")
+# Patterns that search whole texts begin with a set of characters, as re then skips to these; a look behind comes after it.
+#: What every form of _INSIDE needs (two blanks, or a sign that parts); lines without it aren't searched.
+_PARTED = re.compile(r"[\s|·—/](?:(?<=[\t|·—/])|\s)")
 _ALIKE = tuple({"1": "i", "l": "i", "|": "i", "0": "o", "5": "s", "8": "b", "6": "b", "c": "e", "f": "t", "q": "g", "9": "g", "曰": "日", "己": "已", "朋": "期", "太": "大"}.items())
-_NUMERAL = re.compile(r"[oilsb|]*\d[\doilsb|]*")
+_NUMERAL = re.compile(r"\d[\doilsb|]*")
 
 
 def _without_number(line: str) -> str:
@@ -83,13 +87,33 @@ def _without_number(line: str) -> str:
     return _INSIDE.sub("", line) if _PARTED.search(line) else line
 
 
+def _one_number(x: str) -> str:
+    """A lower-case text with ``#`` for each run of digits and what is read for them that holds a digit."""
+    out, done = [], 0
+    for m in _NUMERAL.finditer(x):
+        out += x[done : m.start()].rstrip("oilsb|"), "#"
+        done = m.end()
+    return "".join((*out, x[done:])) if out else x
+
+
 _GAPS = re.compile(r"[^\S\n]+")
+_ODD_GAP = re.compile(r"[^\S\n ]")
+
+
+def plain_lines(lines: list[str]) -> list[str]:
+    """Lines in small letters without the page numbers inside, with single blanks and all numbers as one. All together."""
+    x = "\n".join([line.strip() for line in lines])
+    if _PARTED.search(x):
+        x = "\n".join(map(_without_number, lines))
+    x = x.lower()
+    if "  " in x or _ODD_GAP.search(x):
+        x = _GAPS.sub(" ", x)
+    return _one_number(x).split("\n")
 
 
-def line_keys(lines: list[str]) -> list[str]:
-    """Lines for fuzzy comparison: letters that scanners confuse are one, and all numbers are one. All lines together."""
-    x = _GAPS.sub(" ", "\n".join(map(_without_number, lines)).lower())
-    x = _NUMERAL.sub("#", x)
+def line_keys(plain: list[str]) -> list[str]:
+    """Plain lines for fuzzy comparison: letters that scanners confuse are one. All lines together."""
+    x = "\n".join(plain)
     for a, b in (("rn", "m"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("ri", "n"), ("li", "h"), *_ALIKE):
         x = x.replace(a, b)
     return x.split("\n")
@@ -97,18 +121,24 @@ def line_keys(lines: list[str]) -> list[str]:
 
 def line_key(line: str) -> str:
     """The key of one line."""
-    return line_keys([line.replace("\n", " ")])[0]
+    return line_keys(plain_lines([line.replace("\n", " ")]))[0]
+
+
+_HAN = re.compile("[㐀-鿿]")
 
 
 def templates_of(line: str) -> list[str]:
     """What header lines of many documents share: the last words without names, or the first word and its number."""
-    x = _NUMERAL.sub("#", " ".join(_without_number(line).lower().split()))
-    if re.search("[㐀-鿿]", x):
+    return _templates(plain_lines([line])[0].strip())
+
+
+def _templates(x: str) -> list[str]:
+    if not x.isascii() and _HAN.search(x):
         return [x[-4:]] if len(x) > 6 else []
-    if m := re.match(r"[a-z]+ #:", x):
+    if "#:" in x and (m := re.match(r"[a-z]+ #:", x)):
         return [m[0]]
-    words = x.split(" ")
-    return [" ".join(words[-3:])] if len(words) > 3 else []
+    words = x.rsplit(" ", 3)
+    return [" ".join(words[1:])] if len(words) > 3 else []
 
 
 class Page:
@@ -116,30 +146,37 @@ class Page:
 
     def __init__(self, text: str, templates: frozenset[str] = frozenset()) -> None:
         self.lines = text.replace("\r\n", "\n").replace("\r", "\n").replace("\f", "\n\f\n").split("\n")
-        self.at = [i for i, line in enumerate(self.lines) if line.strip() and line != "\f"]
+        self.bare = [line.strip() for line in self.lines]
+        self.at = [i for i, line in enumerate(self.bare) if line]
         self.place = {i: j for j, i in enumerate(self.at)}
         self.numbers: dict[int, int] = {}
         self.headers: dict[int, int | None] = {}
         self.repeated: set[int] = set()
         if len(self.at) > 1:
+            self.beside = self._beside_feeds()
             marks = self._marks()
             self._headers(templates, {i for i, (form, _) in marks.items() if form < 5})
             self._numbers(marks)
 
-    def _beside_feed(self, i: int) -> bool:
-        """Whether only blank lines part a line from a form feed or from the end of the text."""
-        for step in (-1, 1):
-            j = i + step
-            while 0 <= j < len(self.lines) and not self.lines[j].strip(" \t"):
-                j += step
-            if not 0 <= j < len(self.lines) or self.lines[j] == "\f":
-                return True
-        return False
+    def _beside_feeds(self) -> set[int]:
+        """The lines that only blank lines part from a form feed or from the end of the text."""
+        feeds = [-1, *(i for i, line in enumerate(self.lines) if line == "\f"), len(self.lines)]
+        out = set()
+        for feed in feeds:
+            for step in (-1, 1):
+                j = feed + step
+                while 0 <= j < len(self.lines) and not self.lines[j].strip(" \t"):
+                    j += step
+                if 0 <= j < len(self.lines) and self.lines[j] != "\f":
+                    out.add(j)
+        return out
 
     def _marks(self) -> dict[int, tuple[int, int]]:
         found = {}
         for i in self.at:
-            line = self.lines[i].strip()
+            line = self.bare[i]
+            if not (line[0] in _FORM_STARTS or line[0].isdecimal()) or not (line[-1] in _FORM_ENDS or line[-1].isdecimal()):
+                continue
             if len(line) > FORM_CHARS and _PARTED.search(line):
                 line = " ".join(line.split())
             if len(line) <= FORM_CHARS:  # no form has more characters
@@ -162,86 +199,113 @@ class Page:
             near = [seen[j] for j in (k - 1, k + 1) if 0 <= j < len(seen)]
             run = any(abs(x[1] - v) <= 2 and (x[1] - v) * (x[0] - i) > 0 for x in near)
             beside = any(self.at[j] in self.headers for j in (self.place[i] - 1, self.place[i] + 1) if 0 <= j < len(self.at))
-            if run or beside or (self._beside_feed(i) and self.place[i] > 0):
+            if run or beside or (i in self.beside and self.place[i] > 0):
                 self.numbers[i] = v
         self.numbers.update(inside)
 
-    def _edge(self, i: int, marks: set[int]) -> bool:
+    def _edge(self, i: int, close: set[int]) -> bool:
         """Whether a line stands at a page edge (beside a form feed, the text's end or a page number) or breaks a sentence."""
-        j = self.place[i]
-        if self._beside_feed(i) or any(self.at[k] in marks for k in (j - 1, j + 1) if 0 <= k < len(self.at)):
-            return True
-        return j > 0 and not _END.search(self.lines[self.at[j - 1]])
+        return i in close or (self.place[i] > 0 and self.bare[self.at[self.place[i] - 1]][-1] not in _ENDS)
 
-    def _merge(self, keys: dict[str, list[int]], marks: set[int]) -> None:
+    def _merge(self, keys: dict[str, list[int]], close: set[int]) -> None:
         """Put lines together that stand at page edges and whose keys differ by one letter (left out, added or changed)."""
-        if not marks and "\f" not in self.lines:
+        able = [k for k, own in keys.items() if len(k) >= FUZZY and not close.isdisjoint(own)]
+        if len(able) < 2:
             return
         near: dict[str, str] = {}
-        for key in sorted((k for k in keys if len(k) >= FUZZY), key=lambda k: (-len(keys[k]), k)):
-            if key not in keys or not any(self._beside_feed(i) or any(self.at[j] in marks for j in (self.place[i] - 1, self.place[i] + 1) if 0 <= j < len(self.at)) for i in keys[key]):
-                continue
+        for key in sorted(able, key=lambda k: (-len(keys[k]), k)):
             own = {key, *(key[:i] + key[i + 1 :] for i in range(len(key)))}
-            first = next((near[x] for x in sorted(own) if x in near), None)
-            if first is None:
+            known = own.intersection(near)
+            if not known:
                 near.update(dict.fromkeys(own, key))
             else:
+                first = near[min(known)]
                 keys[first] = sorted([*keys[first], *keys.pop(key)])
 
     def _headers(self, templates: frozenset[str], marks: set[int]) -> None:
         keys: dict[str, list[int]] = {}
         able = []
         for i in self.at:
-            line = self.lines[i].strip()
-            if i not in marks and len(line) > 2 and line[0] not in "#|*+->" and line[-1] not in ".。!?！？,，;；" and line.count(",") < 3 and not _NO_LETTERS.fullmatch(line):
+            line = self.bare[i]
+            if len(line) > 2 and line[0] not in "#|*+->" and line[-1] not in ".。!?！？,，;；" and i not in marks and line.count(",") < 3 and not _NO_LETTERS.fullmatch(line):
                 able.append(i)
-        for i, key in zip(able, line_keys([self.lines[i] for i in able])):
+        plain = dict(zip(able, plain_lines([self.bare[i] for i in able])))
+        key_of = dict(zip(able, line_keys([*plain.values()])))
+        for i, key in key_of.items():
             keys.setdefault(key, []).append(i)
-        self._merge(keys, marks)
+        close = self.beside | {self.at[j] for i in marks for j in (self.place[i] - 1, self.place[i] + 1) if 0 <= j < len(self.at)}
+        if marks or "\f" in self.lines:
+            self._merge(keys, close)
         for own in keys.values():
             if len(own) >= 2:
                 place = [self.place[i] for i in own]
-                around = [{line_key(self.lines[self.at[j + d]]) for j in place if 0 <= j + d < len(self.at) and self.at[j + d] not in marks} for d in (-1, 1)]
-                differ = all(len(a) >= sum(0 <= j + d < len(self.at) and self.at[j + d] not in marks for j in place) for a, d in zip(around, (-1, 1)))
-                if differ and 2 * sum(self._edge(i, marks) for i in own) > len(own):
+                around = [[i for j in place if 0 <= j + d < len(self.at) and (i := self.at[j + d]) not in marks] for d in (-1, 1)]
+                differ = all(len({key_of[i] if i in key_of else line_key(self.lines[i]) for i in a}) >= len(a) for a in around)
+                if differ and 2 * sum(self._edge(i, close) for i in own) > len(own):
                     self.repeated.update(own)
                     continue
-            if templates and any(t in templates for t in templates_of(self.lines[own[0]])):
-                self.repeated.update(i for i in own if self._edge(i, marks))
+            if templates and not templates.isdisjoint(_templates(plain[own[0]].strip())):
+                self.repeated.update(i for i in own if self._edge(i, close))
         for i in self.repeated:
-            m = _INSIDE.search(self.lines[i].strip())
+            m = _INSIDE.search(self.bare[i])
             self.headers[i] = _value(m[1] or m[2]) if m else None
 
 
 _CLASS = str.maketrans({ch: group[0] for group in LETTERS for ch in group})
-_LOWER = re.compile(r"(?<![\w’'-])[a-z]{2,}(?:-[a-z]+)*(?![\w’'-])")
-_MIXED = re.compile(r"(?<![\w’'" + HYPHENS + r"])[A-Za-z0-9|]+(?![\w’'-])")
+_LOWER = re.compile(r"[a-z](?<![\w’'-][a-z])[a-z]+(?:-[a-z]+)*(?![\w’'-])")
+_MIXED = re.compile(r"([A-Za-z0-9|](?<![\w’'" + HYPHENS + r"][A-Za-z0-9|])[A-Za-z0-9|]*(?![\w’'-]))")
 _NUMBER_LIKE = re.compile(r"(?<![A-Za-z0-9-])(?=[OolISBZ,.]*\d)(?=[\d,.]*[OolISBZ])[\dOolISBZ]+(?:[.,][\dOolISBZ]+)*(?![A-Za-z0-9-])")
-# What a match of the next two, and of _SPLIT, can't do without; texts that lack it aren't searched further.
-_DIGIT_LETTER = re.compile(r"\d[.,]?[OolISBZ]|[OolISBZ][.,]?\d")
-_LINE_END = re.compile("[" + HYPHENS + r"][ \t]*\n")
-_LONE = re.compile(r"(?<![A-Za-z0-9-])[OolISB](?=\s(?:January|February|March|April|May|June|July|August|September|October|November|December)\b|[年月日曰])")
+# What a match of _NUMBER_LIKE can't do without; texts that lack it aren't searched further.
+_DIGIT_LETTER = re.compile(r"\d(?:[.,]?[OolISBZ]|(?<=[OolISBZ]\d)|(?<=[OolISBZ][.,]\d))")
+_LONE = re.compile(r"[OolISB](?<![A-Za-z0-9-][OolISB])(?=\s(?:January|February|March|April|May|June|July|August|September|October|November|December)\b|[年月日曰])")
 _ZH = re.compile("[" + "".join(sorted(set(ZH_CONFUSIONS))) + "]")
-_SPLIT = re.compile(r"(?<![A-Za-z0-9|])([A-Za-z0-9|]+)[" + HYPHENS + r"][ \t]*\n[ \t]*([A-Za-z0-9|]+)")
+#: A sign at a line end that divides a word, and the rest of the word.
+_SPLIT = re.compile("[" + HYPHENS + r"](?<=[A-Za-z0-9|].)[ \t]*\n[ \t]*([A-Za-z0-9|]+)")
+_TAIL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789|"
+
+
+def divisions(body: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, first part, second part) of the words that are divided at line ends; of three parts the first two."""
+    out, done = [], 0
+    for m in _SPLIT.finditer(body):
+        at = m.start()
+        if out and at == done:
+            continue
+        line = body[max(done, body.rfind("\n", 0, at)) : at]
+        first = line[len(line.rstrip(_TAIL)) :]
+        out.append((at - len(first), m.end(), first, m[1]))
+        done = m.end()
+    return out
+
+
+def replaced(body: str, places: list[tuple[int, int]], texts: list[str]) -> str:
+    """A text with others in its places (start, end), which are in order."""
+    out, done = [], 0
+    for (start, end), text in zip(places, texts):
+        out += body[done:start], text
+        done = end
+    return "".join((*out, body[done:]))
 
 
-_IN_CONTEXT = re.compile("(?s)(?=(." + _ZH.pattern + ".))")
+_IN_CONTEXT = re.compile("(?s)" + _ZH.pattern + "(?<=(..))(?=(.))")
 
 
 def contexts(flat: str) -> Counter:
     """How often each Chinese character that scanners confuse stands between which neighbours, in a text without line
     ends; digits and what is read for them count as one. Those beside no Chinese character don't count."""
     out: Counter = Counter()
-    for c, n in Counter(_IN_CONTEXT.findall(f" {flat} ")).items():
-        if "㐀" <= c[0] <= "鿿" or "㐀" <= c[2] <= "鿿":
-            out[same(c)] += n
+    for (c, after), n in Counter(_IN_CONTEXT.findall(f" {flat} ")).items():
+        if "㐀" <= c[0] <= "鿿" or "㐀" <= after <= "鿿":
+            out[same(c + after)] += n
     return out
 
 
 def same(c: str) -> str:
     """A context with the digits, and what is read for them, as one."""
-    a, b = ("9" if x in "0123456789OolISBZ" else x for x in (c[0], c[2]))
-    return a + c[1] + b
+    return _AS_DIGIT.get(c[0], c[0]) + c[1] + _AS_DIGIT.get(c[2], c[2])
+
+
+_AS_DIGIT = dict.fromkeys("0123456789OolISBZ", "9")
 
 
 # Strokes of letters: what scanners confuse has equal sums, so two words with different sums can't be confused.
@@ -254,12 +318,11 @@ def strokes(word: str) -> int:
     return sum(_WEIGHT.get(ch, 0) for ch in word)
 
 
-def words_of(text: str) -> Counter:
-    """Lower-case words and Chinese contexts of a text, for the vocabulary."""
-    out = Counter(_LOWER.findall(text))
+def add_words(words: Counter, text: str) -> None:
+    """Count the lower-case words and Chinese contexts of a text, for the vocabulary."""
+    words.update(_LOWER.findall(text))
     if _ZH.search(text):
-        out.update(contexts(text.replace("\n", "")))
-    return out
+        words.update(contexts(text.replace("\n", "")))
 
 
 def confusions(word: str) -> list[tuple[int, str]]:
@@ -292,7 +355,9 @@ class Vocabulary:
         self.alike = self._by_class(counts)
         self.strokes = Counter(strokes(w) for w, n in counts.items() if w.isascii() and n >= LEAST)
         self.asks: dict[str, bool] = {}
-        self.maybe: dict[str, bool] = {}
+        self.needs: dict[str, tuple[str, ...]] = {}
+        self.needless: set[str] = set()
+        self.fine: set[str] = set()
         self.wants: dict[str, list[tuple[str, int]]] = {}
         self.rare: dict[str, int] = {}
         self.rare_alike: dict[str, list[str]] = {}
@@ -325,13 +390,40 @@ class Vocabulary:
             self.asks[word] = self.strokes.get(strokes(word), 0) > (self.counts.get(word, 0) >= LEAST and word.isascii())
         return self.asks[word]
 
-    def may_be_misread(self, w: str) -> bool:
-        """Whether a word as it stands in a text, wherever that is, can be corrected."""
-        if w not in self.maybe:
-            if len(self.maybe) > CACHE:
-                self.maybe.clear()
-            self.maybe[w] = self._may_be_misread(w)
-        return self.maybe[w]
+    def needed(self, words: set[str]) -> set[str]:
+        """The words that aren't common whose counts the repair of these, as they stand in a text, can ask for."""
+        out = set()
+        for w in words.difference(self.counts, self.needless):
+            found = self.needs.get(w)
+            if found is None:
+                if len(self.needs) + len(self.needless) > CACHE:
+                    self.needs.clear()
+                    self.needless.clear()
+                found = tuple(self._needed(w))
+                if not found:
+                    self.needless.add(w)
+                    continue
+                self.needs[w] = found
+            out.update(found)
+        return out
+
+    def _needed(self, w: str) -> Iterator[str]:
+        upper = w[0].isupper()  # what a capitalised word is corrected to is always a common one
+        for x in ((w.lower(), "l" + w[1:]) if w[0] == "I" else (w.lower() if upper else w,)) if len(w) > 2 else ():
+            if x not in self.counts and ((self.rare_may_be_right and not upper) or self.possible(x)):
+                yield x
+
+    def misread(self, words: set[str]) -> set[str]:
+        """Those words, as they stand in a text, wherever that is, that can be corrected."""
+        out = set()
+        for w in words.difference(self.fine):
+            if self._may_be_misread(w):
+                out.add(w)
+                continue
+            if len(self.fine) > CACHE:
+                self.fine.clear()
+            self.fine.add(w)
+        return out
 
     def _may_be_misread(self, w: str) -> bool:
         if len(w) < 3 or w.isdigit() or not any("a" <= ch <= "z" for ch in w):
@@ -417,14 +509,14 @@ def without_furniture(text: str, v: Vocabulary) -> tuple[set[str], str]:
         if i in gone or line == "\f":
             cut = True
             continue
-        if not line.strip():
+        if not page.bare[i]:
             if not cut and lines and lines[-1]:
                 lines.append("")
             continue
         if cut and lines:
             while lines and not lines[-1]:
                 lines.pop()
-            if lines and _END.search(lines[-1]):
+            if lines and lines[-1][-1] in _ENDS:
                 lines.append("")
         cut = False
         lines.append(line.rstrip())
@@ -434,15 +526,11 @@ def without_furniture(text: str, v: Vocabulary) -> tuple[set[str], str]:
 def asked(body: str, v: Vocabulary) -> list[str]:
     """The words and contexts that aren't common whose counts the repair of a body can ask for."""
     out = set()
-    divided = bool(_LINE_END.search(body))
-    for m in _SPLIT.finditer(body) if divided else ():
-        out.update((f"{m[1]}{m[2]}".lower(), f"{m[1]}-{m[2]}".lower()))
-    for w in set(_MIXED.findall(_SPLIT.sub(r"\1\2", body) if divided else body)):
-        if len(w) > 2:
-            upper = w[0].isupper()  # what a capitalised word is corrected to is always a common one
-            for x in ((w.lower(), "l" + w[1:]) if w[0] == "I" else (w.lower() if upper else w,)):
-                if x not in v.counts and ((v.rare_may_be_right and not upper) or v.possible(x)):
-                    out.add(x)
+    if parts := divisions(body):
+        for _, _, a, b in parts:
+            out.update((f"{a}{b}".lower(), f"{a}-{b}".lower()))
+        body = replaced(body, [p[:2] for p in parts], [a + b for _, _, a, b in parts])
+    out |= v.needed(set(_MIXED.findall(body)))
     if v.share(COMMON_ZH) <= RATIO * LEAST:  # else a common context is always more than RATIO times one that isn't
         out.update(c for c in contexts(body.replace("\n", "")) if v.better(c))
     return [w for w in out if w not in v.counts and not w.isdigit() and not w.isupper()]
@@ -452,14 +540,11 @@ def repair_words(kinds: set[str], body: str, v: Vocabulary, join: bool = True) -
     """The kinds of noise, those given included, and the repaired form of a body without page furniture; ``join``: the
     lines of a paragraph become one (in texts with markup lines have a meaning and stay)."""
 
-    def divided(m: re.Match) -> str:
-        if joins(m[1], m[2], v):
+    if parts := divisions(body):
+        whole = [joins(a, b, v) for _, _, a, b in parts]
+        if any(whole):
             kinds.add("hyphen")
-            return m[1] + m[2]
-        return m[1] + "-" + m[2]
-
-    if _LINE_END.search(body):
-        body = _SPLIT.sub(divided, body)
+        body = replaced(body, [p[:2] for p in parts], [a + ("" if one else "-") + b for (_, _, a, b), one in zip(parts, whole)])
 
     def number(m: re.Match) -> str:
         if _CODE_TAIL.search(body[max(0, m.start() - 6) : m.start()]):
@@ -471,13 +556,10 @@ def repair_words(kinds: set[str], body: str, v: Vocabulary, join: bool = True) -
         body = _NUMBER_LIKE.sub(number, body)
     body = _LONE.sub(number, body)
 
-    def word(m: re.Match) -> str:
-        w = m[0]
-        if not v.may_be_misread(w):
-            return w
-        low = w
+    def word(k: int) -> str:
+        w = low = pieces[k]
         if not w[0].islower() and w[0] not in "1|056":
-            before = body[: m.start()].rstrip(" ")[-1:]
+            before = pieces[k - 1].rstrip(" ")[-1:] or (pieces[k - 2][-1] if k > 1 else "")
             if before not in ("", "\n", ".", "。") or not w[1:].islower():
                 return w
             low = w.lower() if w[0] != "I" else "l" + w[1:]
@@ -487,8 +569,9 @@ def repair_words(kinds: set[str], body: str, v: Vocabulary, join: bool = True) -
         kinds.add("misread")
         return fixed if low == w else fixed.capitalize()
 
-    if any(map(v.may_be_misread, set(_MIXED.findall(body)))):
-        body = _MIXED.sub(word, body)
+    pieces = _MIXED.split(body)  # every second one is a word
+    if wrong := v.misread(set(pieces[1::2])):
+        body = "".join([word(k) if k % 2 and x in wrong else x for k, x in enumerate(pieces)])
     if _ZH.search(body):
         flat = body.replace("\n", "")
         told = {c for c in contexts(flat) if v.better(c)}
@@ -496,10 +579,10 @@ def repair_words(kinds: set[str], body: str, v: Vocabulary, join: bool = True) -
         if told:
             flat_at = [i for i, ch in enumerate(body) if ch != "\n"]
             for m in _IN_CONTEXT.finditer(f" {flat} "):
-                c = same(m[1])
+                c = same(m[1] + m[2])
                 for ch, n in v.better(c) if c in told else ():
                     if n > RATIO * v.count(c):
-                        fixes[flat_at[m.start()]] = ch
+                        fixes[flat_at[m.start() - 1]] = ch
         if fixes:
             kinds.add("misread")
             body = "".join(fixes.get(i, ch) for i, ch in enumerate(body))
@@ -507,9 +590,9 @@ def repair_words(kinds: set[str], body: str, v: Vocabulary, join: bool = True) -
         return [k for k in KINDS if k in kinds], body
     paragraphs = []
     for p in re.split(r"\n\s*\n", body):
-        parts = [x.strip() for x in p.split("\n") if x.strip()]
-        out = ""
-        for x in parts:
+        parts = [x for x in map(str.strip, p.split("\n")) if x]
+        out = " ".join(parts) if p.isascii() else ""
+        for x in parts if not out else ():
             both = out and ("㐀" <= x[0] or "㐀" <= out[-1]) and not (out[-1].isascii() and x[0].isascii() and out[-1].isalpha() and x[0].isalpha() and " " in out)
             out = x if not out else out + ("" if both else " ") + x
         if out:
@@ -523,6 +606,8 @@ for _a, _b in (*ZH_CONFUSIONS.items(),):
 
 
 _MARKED = re.compile(r"\\(?:begin|end|section|item|textbf)\b|</?(?:p|li|td|tr|ul|ol|h\d|pre|table|div)\b|^```|^~~~|^\{\||^#{1,6} |^={2,}|\*\*|\[\[|^#[A-Z_]+#|\|---", re.M | re.I)
+#: What _MARKED can't do without.
+_MARKS = ("\\", "<", "```", "~~~", "{|", "#", "==", "**", "[[", "|---")
 #: In texts with markup: code, formulas and tables, lines that are built of marks, and marks inside lines.
 _SHIELDED = re.compile(
     r"^(?P<f>```|~~~).*?(?:^(?P=f)[^\n]*$|\Z)|<(?P<t>pre|code|script|style)\b.*?</(?P=t)\s*>|\\begin\{(?P<e>verbatim|lstlisting|minted|equation|align|tabular)(?P<s>[*x]?)\}.*?\\end\{(?P=e)(?P=s)\}"
@@ -535,7 +620,7 @@ _SHIELD = re.compile("\ue000(\\d+)\ue001")
 
 def shield(text: str) -> tuple[str, list[str] | None]:
     """A text with what is markup, code or formula in it replaced by signs, and these parts; plain texts have None."""
-    if not _MARKED.search(text):
+    if not any(x in text for x in _MARKS) or not _MARKED.search(text):
         return text, None
     parts: list[str] = []
 
@@ -559,7 +644,7 @@ def count_words(docs: DataFrame, content_col: str = "content") -> DataFrame:
         heads: Counter = Counter()
         for df in batches:
             for t in df["_text"]:
-                words.update(words_of(t))
+                add_words(words, t)
                 if "\n" in t or "\f" in t:
                     page = Page(shield(t)[0])
                     heads.update({k for i in page.repeated for k in templates_of(page.lines[i])})
