@@ -148,6 +148,28 @@ def test_layout(spark):
     assert sorted((r.x0, r.column) for r in layout.column_clusters(blocks, 20).collect()) == [(0, 0), (50, 1)]
 
 
+def test_reading_order_without_a_call_for_each_page(spark):
+    rng = np.random.default_rng(5)
+    blocks = [(p, str(t), int(x), None if rng.random() < 0.05 else int(y), int(y + h)) for p in range(300) for t, (x, y, h) in enumerate(rng.integers([0, 0, 5], [9, 60, 20], (rng.integers(1, 12), 3)))]
+    told = []
+    for p in range(300):
+        line, held, numbered = -1, [], []
+        for t, x, y, z in sorted((b[1:] for b in blocks if b[0] == p), key=lambda b: (b[2] is None, 0 if b[2] is None else (b[2] + b[3]) / 2, b[1], b[0])):
+            if y is None or not held or abs((y + z) / 2 - sum(m for m, _ in held) / len(held)) > 0.6 * max(sum(h for _, h in held) / len(held), z - y):
+                line, held = line + 1, []
+            held = [] if y is None else [*held, ((y + z) / 2, z - y)]
+            numbered.append((line, x, t))
+        told += [(p, t, line, pos) for pos, (line, x, t) in enumerate(sorted(numbered))]
+    df = layout.reading_order(spark.createDataFrame(blocks, "page_id long, text string, x0 int, y0 int, y1 int").withColumn("x1", F.col("x0") + 5))
+    assert "FlatMapGroups" not in df._jdf.queryExecution().toString()  # a Python call for each page doesn't scale with pages
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # pages go on over batches
+    try:
+        assert sorted((r.page_id, r.text, r.line, r.pos) for r in df.collect()) == sorted(told)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def _zip(files):
     b = io.BytesIO()
     with zipfile.ZipFile(b, "w") as z:

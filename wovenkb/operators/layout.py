@@ -8,8 +8,10 @@ from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 
@@ -93,19 +95,33 @@ def grid_to_markdown(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def reading_order(blocks: DataFrame, tolerance: float = 0.6) -> DataFrame:
-    """Blocks (page_id, text, x0, y0, x1, y1) with (line, pos): a block joins the line while its centre is near the line's mean centre."""
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.assign(_y=(g.y0 + g.y1) / 2, _h=g.y1 - g.y0).sort_values(["_y", "x0", "text"])
-        lines, line, total, n, height = [], -1, 0.0, 0, 0.0
-        for y, h in zip(g["_y"], g["_h"]):
-            if n == 0 or abs(y - total / n) > tolerance * max(height / n, h):
-                line, total, n, height = line + 1, 0.0, 0, 0.0
-            total, n, height = total + y, n + 1, height + h
-            lines.append(line)
-        g = g.assign(line=lines).sort_values(["line", "x0", "text"])
-        return g.assign(pos=range(len(g)))[["page_id", "text", "x0", "y0", "x1", "y1", "line", "pos"]]
-
-    return blocks.groupBy("page_id").applyInPandas(run, "page_id bigint, text string, x0 int, y0 int, x1 int, y1 int, line int, pos int")
+    """Blocks (page_id, text, x0, y0, x1, y1) with (line, pos): a block joins the line while its centre is near the line's
+    mean centre; one without a centre is a line of its own, at the end. Pages follow each other sorted, so each task
+    numbers all lines in one pass and keeps only the sums of the present line."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line, total, n, height = -1, 0.0, 0, 0.0
+        for b in batches:
+            lines = []
+            for k, y0, y1 in zip(*(b.column(c).to_pylist() for c in ("_k", "y0", "y1"))):
+                if k == 1:
+                    line, n = -1, 0
+                if y0 is None or y1 is None:
+                    line, n = line + 1, 0
+                    lines.append(line)
+                    continue
+                y, h = (y0 + y1) / 2, y1 - y0
+                if n == 0 or abs(y - total / n) > tolerance * max(height / n, h):
+                    line, total, n, height = line + 1, y, 1, h
+                else:
+                    total, n, height = total + y, n + 1, height + h
+                lines.append(line)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(lines, pa.int32())], [*columns, "line"])
+
+    columns = ["page_id", "text", "x0", "y0", "x1", "y1"]
+    order = lambda first: Window.partitionBy("page_id").orderBy(*(c.asc_nulls_last() for c in (first, F.col("x0"), F.col("text"))))
+    x = blocks.select(*columns).withColumn("_k", F.row_number().over(order(F.col("y0") + F.col("y1"))))
+    x = x.mapInArrow(run, T.StructType([*x.select(*columns).schema, T.StructField("line", T.IntegerType())]))
+    return x.withColumn("pos", F.row_number().over(order(F.col("line"))) - 1)
 
 
 def column_clusters(blocks: DataFrame, tolerance: int) -> DataFrame:
